@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.session import checkpointed
+
 _B, _S, _OFF = "__bucket", "__sub", "__offset"
 SKETCH_ACCURACY = 10_000
 
@@ -19,29 +21,52 @@ def _bucket_index(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda edge: edge < value))
 
 
-def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
+def _search(edges: list, value: Column, low: int = 0, high: int | None = None) -> Column:
+    """Number of edges below the value, as nested comparisons (a binary search)."""
+    high = len(edges) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value > F.lit(edges[mid]), _search(edges, value, mid + 1, high)).otherwise(
+        _search(edges, value, low, mid)
+    )
+
+
+def _edges(df: DataFrame, value: str, buckets: int) -> list:
+    """Cut points from a fixed-size sketch. They are fetched once, so every later pass,
+    and every retried task, cuts the rows in the same places."""
     grid = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(value), grid, SKETCH_ACCURACY)).scalar()
-    return df.withColumn(_B, _bucket_index(bounds, F.col(value)))
+    found = df.agg(F.percentile_approx(F.col(value), grid, SKETCH_ACCURACY)).first()[0]
+    return sorted(set(found or []))
+
+
+def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    return df.withColumn(_B, _search(_edges(df, value, buckets), F.col(value)))
 
 
 def global_row_number(
     df: DataFrame, value: str, tiebreak: str, *, descending: bool = False,
-    out: str = "row_number", buckets: int = 128,
+    out: str = "row_number", buckets: int = 64,
 ) -> DataFrame:
     """1-based position of each row by ``value`` then ``tiebreak``.
 
-    ``tiebreak`` must be a unique hash in hex (for instance sha-256 of the key):
-    its first two digits split ties evenly while keeping their order.
+    ``tiebreak`` must be a unique hash in hex (for instance sha-256 of the key).
+    A value frequent enough to fill a bucket is one of the cut points; rows
+    equal to a cut point are split further by the first two digits of the hash,
+    which keeps their order. Pass only the columns needed: the rows are
+    materialised once and read three times.
     """
-    sign = -1 if descending else 1
-    marked = (
-        _with_bucket(df, value, buckets)
-        .withColumn(_B, F.col(_B) * sign)
-        .withColumn(_S, F.conv(F.substring(tiebreak, 1, 2), 16, 10).cast("int"))
+    rows = checkpointed(df)
+    edges = _edges(rows, value, buckets)
+    v = F.col(value)
+    on_edge = v.isin(edges) if edges else F.lit(False)
+    digits = F.conv(F.substring(tiebreak, 1, 2), 16, 10).cast("int")
+    # Rows on a bucket's upper cut point come last in it, or first when descending.
+    marked = rows.withColumn(_B, _search(edges, v) * (-1 if descending else 1)).withColumn(
+        _S, F.when(on_edge, digits).otherwise(256 if descending else -1)
     )
-    before = W.orderBy(_B, _S).rowsBetween(W.unboundedPreceding, -1)
-    # At most buckets * 256 rows: safe on one task and safe to broadcast.
+    before = W.partitionBy(F.lit(1)).orderBy(_B, _S).rowsBetween(W.unboundedPreceding, -1)
+    # At most buckets * 257 rows: safe on one task and safe to broadcast.
     offsets = (
         marked.groupBy(_B, _S).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(_OFF, F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -60,7 +85,7 @@ def group_row_number(
     df: DataFrame, group: list[str], order: str, *, out: str = "row_number", buckets: int = 64,
 ) -> DataFrame:
     """row_number per group by a unique numeric ``order``; hot groups are split by order range."""
-    marked = _with_bucket(df, order, buckets)
+    marked = _with_bucket(checkpointed(df), order, buckets)
     before = W.partitionBy(*group).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     # At most ``buckets`` rows per group.
     offsets = (
@@ -78,12 +103,12 @@ def group_row_number(
 
 
 def running_totals(
-    df: DataFrame, key: str, measures: list[str], *, descending: bool = False, buckets: int = 128,
+    df: DataFrame, key: str, measures: list[str], *, descending: bool = False, buckets: int = 64,
 ) -> DataFrame:
     """Inclusive running sums over a unique numeric ``key``; adds ``cum_<measure>``."""
     sign = -1 if descending else 1
-    marked = _with_bucket(df, key, buckets).withColumn(_B, F.col(_B) * sign)
-    before = W.orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
+    marked = _with_bucket(checkpointed(df), key, buckets).withColumn(_B, F.col(_B) * sign)
+    before = W.partitionBy(F.lit(1)).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
     # At most ``buckets`` rows.
     starts = marked.groupBy(_B).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     starts = starts.select(
@@ -100,7 +125,7 @@ def running_totals(
 
 def exact_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float], *,
-    weight: str | None = None, buckets: int = 128,
+    weight: str | None = None, buckets: int = 64,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: columns group, ``prob``, ``quantile``, ``n``.
 
@@ -115,6 +140,7 @@ def exact_quantiles(
         counted = known.groupBy(*group, v).agg(F.count(F.lit(1)).alias("__n"))
     else:
         counted = known.select(*group, v, F.col(weight).alias("__n"))
+    counted = checkpointed(counted)
     grid = [i / buckets for i in range(1, buckets)]
     sketch = counted.groupBy(*group).agg(
         F.percentile_approx("__v", grid, SKETCH_ACCURACY).alias("__bounds")

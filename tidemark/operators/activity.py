@@ -29,9 +29,13 @@ def as_of_date(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def as_of_column(tables: dict[str, DataFrame], as_of=None) -> Column:
-    """A given date as a literal, or the data's own horizon as a scalar subquery."""
+    """A given date, or the data's own horizon, as a literal.
+
+    The horizon is read once as a single value, so the plans built on it carry a
+    constant that reaches the scans.
+    """
     if as_of is None:
-        return as_of_date(tables).scalar()
+        as_of = as_of_date(tables).first()[0]
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
 
 

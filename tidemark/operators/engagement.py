@@ -65,8 +65,8 @@ def segment_summary(engagement: DataFrame, digits: int = 2) -> DataFrame:
     return (
         engagement.groupBy("segment").agg(
             F.count("hashed_member_id").alias("members"),
-            F.bround(F.avg("engagement_score"), digits).alias("avg_engagement"),
-            F.bround(F.avg("churn_probability"), digits).alias("avg_churn_risk"),
+            F.bround(F.round(F.avg("engagement_score"), 9), digits).alias("avg_engagement"),
+            F.bround(F.round(F.avg("churn_probability"), 9), digits).alias("avg_churn_risk"),
             F.bround(F.sum("monthly_price"), digits).alias("monthly_revenue"),
         ).orderBy(F.desc("members"), "segment")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.expressions import count_when, ratio
 from tidemark.functions.ranking import global_row_number, running_totals
+from tidemark.session import checkpointed
 
 PRED, LABEL = "churn_probability", "actual"
 
@@ -40,7 +41,7 @@ def average_precision(scored: DataFrame, *, pred: str = PRED, label: str = LABEL
 
 def roc_curve(scored: DataFrame, *, pred: str = PRED, label: str = LABEL) -> DataFrame:
     """One point per distinct score: rates when predicting positive at or above it."""
-    by_score = _by_score(scored, pred, label)
+    by_score = checkpointed(_by_score(scored, pred, label))
     totals = by_score.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     t = running_totals(by_score, "score", ["pos", "neg"], descending=True).withColumn("__t", totals)
     return t.select(
@@ -96,9 +97,9 @@ def precision_at_top_k(
     tiebreak: str = "row_key",
 ) -> DataFrame:
     """Mean label over the top floor(n * k) scores."""
-    n = scored.agg(F.floor(F.count(F.lit(1)) * k)).scalar()
-    top = global_row_number(scored.select(pred, label, tiebreak), pred, tiebreak,
-                            descending=True, out="__r").filter(F.col("__r") <= n)
+    rows = checkpointed(scored.select(pred, label, tiebreak))
+    n = rows.agg(F.floor(F.count(F.lit(1)) * k)).scalar()
+    top = global_row_number(rows, pred, tiebreak, descending=True, out="__r").filter(F.col("__r") <= n)
     return top.agg(
         F.count(F.lit(1)).alias("top_rows"),
         F.round(F.avg(F.col(label).cast("double")), 6).alias("precision_at_k"),

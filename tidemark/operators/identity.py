@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,39 +34,43 @@ def normalize_contacts(
 
 # --- name similarity ----------------------------------------------------------
 
-def _jaro_winkler(a: str, b: str) -> float:
-    """Similarity of two strings without spaces; the prefix boost always applies."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    free = list(b)
-    hits_a: list[str] = []
-    taken = np.zeros(len(b), dtype=bool)
-    for i, ch in enumerate(a):
-        low, high = max(0, i - reach), min(len(b), i + reach + 1)
-        j = next((j for j in range(low, high) if not taken[j] and free[j] == ch), -1)
-        if j >= 0:
-            taken[j] = True
-            hits_a.append(ch)
-    m = len(hits_a)
-    if m == 0:
-        return 0.0
-    hits_b = [ch for ch, used in zip(b, taken) if used]
-    swaps = sum(x != y for x, y in zip(hits_a, hits_b)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3.0
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1.0 - jaro)
-
-
-@F.pandas_udf("double")
-def _jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+def _similarity_udf():
+    """Arrow UDF over two columns of names without spaces; the prefix boost always applies.
+
+    Built in a closure so that it travels to the workers by value.
+    """
+    def matched(a: str, b: str) -> tuple[list[str], list[str]]:
+        reach = max(len(a), len(b)) // 2 - 1
+        used = [False] * len(b)
+        from_a = []
+        for i, ch in enumerate(a):
+            window = range(max(0, i - reach), min(len(b), i + reach + 1))
+            j = next((j for j in window if b[j] == ch and not used[j]), None)
+            if j is not None:
+                used[j] = True
+                from_a.append(ch)
+        return from_a, [ch for ch, hit in zip(b, used) if hit]
+
+    def similarity(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        left, right = matched(a, b) if a and b else ([], [])
+        m = len(left)
+        if m == 0:
+            return 0.0
+        swaps = sum(x != y for x, y in zip(left, right)) // 2
+        jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3.0
+        prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+        return jaro + prefix * 0.1 * (1.0 - jaro)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run
+
+
+_jaro_winkler_udf = _similarity_udf()
 
 
 def _compact(name: Column) -> Column:
@@ -130,13 +133,15 @@ def match_exact_contacts(
     row order without listing all pairs, however many rows share the key.
     """
     pos, app = normalize_contacts(pos), normalize_contacts(app)
+    pos = checkpointed(pos.select("member_id", "row_order", "norm_email", "norm_phone"))
+    app = checkpointed(app.select("app_member_id", "row_order", "norm_email", "norm_phone"))
     by_email = pos
     if shared_email_guard:
         shared = (
             pos.filter(F.col("norm_email") != "").groupBy("norm_email").count().filter("count > 1")
         )
         by_email = pos.join(shared.select("norm_email"), "norm_email", "left_anti")
-    email = _pair_by_key(by_email, app, "norm_email")
+    email = checkpointed(_pair_by_key(by_email, app, "norm_email"))
     phone = _pair_by_key(
         _without(pos, email, "member_id"), _without(app, email, "app_member_id"), "norm_phone"
     )

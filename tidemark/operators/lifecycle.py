@@ -36,40 +36,46 @@ def lifecycle_stage(
     the ground truth calls churned, who has an identity and no active row.
     """
     names = identity.select("hashed_member_id", "member_id")
-    active = (
-        snapshot.join(scores.select("hashed_member_id", "churn_probability", "risk_tier"),
-                      "hashed_member_id", "left")
-        .join(names, "hashed_member_id", "left")
-        .select(
-            "hashed_member_id", "member_id", F.lit(False).alias("gone"),
-            F.lit(None).cast("int").alias("days_gone"), "home_studio_id", "monthly_price",
-            "tenure_days", F.coalesce("risk_tier", F.lit("Low")).alias("risk_tier"),
-            F.coalesce("churn_probability", F.lit(0.0)).alias("churn_probability"),
-            "sessions_attended_30d", "days_since_last_session",
-        )
+    active = snapshot.join(
+        scores.select("hashed_member_id", "churn_probability", "risk_tier"), "hashed_member_id", "left"
+    ).select(
+        "hashed_member_id", F.lit(True).alias("is_active"), F.col("home_studio_id").alias("a_studio"),
+        F.col("monthly_price").alias("a_price"), "tenure_days", "risk_tier", "churn_probability",
+        "sessions_attended_30d", "days_since_last_session",
     )
     plan = dedup_first(memberships, ["member_id"], [F.asc("membership_id")]).select(
-        "member_id", F.col("studio_id").alias("home_studio_id"), "monthly_price"
+        "member_id", F.col("studio_id").alias("g_studio"), F.col("monthly_price").alias("g_price")
     )
-    cancelled = (
-        ground_truth.filter(F.col("churned"))
-        .join(names, "member_id")
-        .join(active.select("hashed_member_id"), "hashed_member_id", "left_anti")
-        .join(plan, "member_id", "left")
-        .select(
-            "hashed_member_id", "member_id", F.lit(True).alias("gone"),
-            F.datediff(as_of, F.col("churn_date")).alias("days_gone"), "home_studio_id",
-            F.coalesce("monthly_price", F.lit(0.0)).alias("monthly_price"),
-            F.lit(0).alias("tenure_days"), F.lit("N/A").alias("risk_tier"),
-            F.lit(1.0).alias("churn_probability"), F.lit(0).alias("sessions_attended_30d"),
-            F.lit(C.NEVER_ATTENDED_DAYS).cast("long").alias("days_since_last_session"),
-        )
+    fate = ground_truth.select("member_id", "churned", "churn_date")
+    known = names.join(fate, "member_id", "left").join(plan, "member_id", "left")
+    # One outer join decides active or cancelled, so the snapshot is computed once.
+    rows = active.join(known, "hashed_member_id", "full_outer").filter(
+        F.col("is_active") | F.col("churned")
     )
-    return active.unionByName(cancelled).select(
+    here = F.col("is_active").isNotNull()
+
+    def pick(if_active: Column, if_cancelled) -> Column:
+        other = if_cancelled if isinstance(if_cancelled, Column) else F.lit(if_cancelled)
+        return F.when(here, if_active).otherwise(other)
+
+    c = F.col
+    return rows.select(
+        "hashed_member_id", "member_id",
+        pick(c("a_studio"), c("g_studio")).alias("home_studio_id"),
+        pick(c("a_price"), F.coalesce("g_price", F.lit(0.0))).alias("monthly_price"),
+        pick(c("tenure_days"), 0).alias("tenure_days"),
+        pick(F.coalesce("risk_tier", F.lit("Low")), "N/A").alias("risk_tier"),
+        pick(F.coalesce("churn_probability", F.lit(0.0)), 1.0).alias("churn_probability"),
+        pick(c("sessions_attended_30d"), 0).alias("sessions_attended_30d"),
+        pick(c("days_since_last_session"), C.NEVER_ATTENDED_DAYS).cast("long").alias("days_since_last_session"),
+        (~here).alias("gone"),
+        F.datediff(as_of, c("churn_date")).alias("days_gone"),
+        as_of.alias("snapshot_date"),
+    ).select(
         "hashed_member_id", "member_id",
-        stage_of(F.col("gone"), F.col("days_gone"), **limits).alias("stage"),
+        stage_of(c("gone"), c("days_gone"), **limits).alias("stage"),
         "home_studio_id", "monthly_price", "tenure_days", "risk_tier", "churn_probability",
-        "sessions_attended_30d", "days_since_last_session", as_of.alias("snapshot_date"),
+        "sessions_attended_30d", "days_since_last_session", "snapshot_date",
     )
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when
-from tidemark.functions.ranking import exact_quantiles
+from tidemark.functions.ranking import exact_quantiles, global_row_number
 from tidemark.operators.scoring import with_risk_tier
+from tidemark.session import checkpointed
 
 MISSING = -1.0
 
@@ -65,17 +66,17 @@ def chronological_split(
     if split_date is not None:
         before = F.col(date_col) < F.lit(split_date).cast("date")
     else:
-        cut = quantile_date(df, date_col, fraction).scalar()
+        found = quantile_date(df, date_col, fraction).first()
+        cut = F.lit(found[0] if found else None).cast("double")
         before = F.unix_date(F.col(date_col)).cast("double") * 86400 < cut
     return df.filter(before), df.filter(~before)
 
 
 def split_by_order(df: DataFrame, *, order: str, tiebreak: str, fraction: float = 0.8):
     """First ``fraction`` of rows by time order, and the rest."""
-    from tidemark.functions.ranking import global_row_number
-
-    cut = df.agg(F.floor(F.count(F.lit(1)) * fraction)).scalar()
-    ranked = global_row_number(df, order, tiebreak, out="__r")
+    rows = checkpointed(df)
+    cut = rows.agg(F.floor(F.count(F.lit(1)) * fraction)).scalar()
+    ranked = global_row_number(rows, order, tiebreak, out="__r")
     first = F.col("__r") <= cut
     return ranked.filter(first).drop("__r"), ranked.filter(~first).drop("__r")
 
@@ -145,10 +146,13 @@ class ChurnModel:
 
 
 def _fit(train: DataFrame, estimator) -> ChurnModel:
-    weights = class_weight(train).select("scale_pos_weight").scalar()
-    data = _prepared(train).withColumn(
-        "weight", F.when(F.col("label") == 1.0, weights).otherwise(1.0)
-    )
+    """Fit all stages on rows materialised once: every stage and iteration reads them again."""
+    cols = [*C.NUMERIC_FEATURES, *C.BOOLEAN_FEATURES, *C.CATEGORICAL_FEATURES, "label"]
+    data = checkpointed(_prepared(train).select(*cols))
+    weight = data.agg(
+        F.coalesce(F.try_divide(F.sum(1 - F.col("label")), F.sum("label")), F.lit(1.0))
+    ).first()[0]
+    data = data.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(weight)).otherwise(1.0))
     return ChurnModel(Pipeline(stages=[*feature_stages(), estimator]).fit(data))
 
 
@@ -171,9 +175,9 @@ def train_churn_gbt(
 
 def calibrate_isotonic(model: ChurnModel, held_out: DataFrame) -> ChurnModel:
     """Fit an isotonic map from raw probability to label on recent rows."""
-    raw = model.stages.transform(_prepared(held_out)).select(
+    raw = checkpointed(model.stages.transform(_prepared(held_out)).select(
         vector_to_array("probability")[1].alias("raw_probability"), "label"
-    )
+    ))
     fitted = IsotonicRegression(
         featuresCol="raw_probability", labelCol="label", predictionCol="churn_probability"
     ).fit(raw)
@@ -196,7 +200,8 @@ def feature_importance(model: ChurnModel, sample: DataFrame, top: int = 15) -> D
     values = fitted.coefficients if values is None else values
     meta = model.stages.transform(_prepared(sample).limit(0)).schema["features"].metadata
     attrs = [a for kind in meta["ml_attr"]["attrs"].values() for a in kind]
-    rows = [(a["name"], float(abs(values[a["idx"]]))) for a in attrs]
+    names = dict(enumerate(C.NUMERIC_FEATURES))  # the scaled vector comes first, unnamed
+    rows = [(names.get(a["idx"], a["name"]), float(abs(values[a["idx"]]))) for a in attrs]
     return (
         spark.createDataFrame(rows, "feature string, importance double")
         .orderBy(F.desc("importance"), "feature").limit(top)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.ranking import exact_quantiles, global_row_number
+from tidemark.session import checkpointed
 
 
 def mature_window(
@@ -28,9 +29,9 @@ def calibration_deciles(
     Bin edges fall as in a linear-interpolation quantile cut of ranks 1..N. The
     rank comes from bucket offsets, so no task sorts the whole table.
     """
-    rows = scored.select(pred, label, tiebreak)
+    rows = checkpointed(scored.select(pred, label, tiebreak))
     ranked = global_row_number(rows, pred, tiebreak, out="__r")
-    last = scored.agg(F.count(F.lit(1)) - 1).scalar()
+    last = rows.agg(F.count(F.lit(1)) - 1).scalar()
     step = F.greatest(last, F.lit(1))
     # ceil((r - 1) * bins / (N - 1)) - 1, in whole numbers.
     decile = F.greatest(
@@ -74,40 +75,42 @@ def perturb_window(current: DataFrame) -> DataFrame:
     return current.withColumns({k: v for k, v in shifts.items() if k in current.columns})
 
 
-def _long_counts(df: DataFrame, features: list[str], name: str) -> DataFrame:
-    wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+def _long_counts(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """Occurrences per feature and value on both sides, in one aggregation."""
+    def side(df: DataFrame, nr: int) -> DataFrame:
+        return df.select(
+            *[F.col(f).cast("double").alias(f) for f in features],
+            F.lit(nr).alias("in_ref"), F.lit(1 - nr).alias("in_cur"),
+        )
+
+    wide = side(reference, 1).unionByName(side(current, 0))
     return (
-        wide.unpivot([], features, "feature", "value")
+        wide.unpivot(["in_ref", "in_cur"], features, "feature", "value")
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value").agg(F.count(F.lit(1)).alias(name))
+        .groupBy("feature", "value").agg(F.sum("in_ref").alias("nr"), F.sum("in_cur").alias("nc"))
     )
 
 
 def psi_table(
     reference: DataFrame, current: DataFrame, features: list[str], *, bins: int = 10,
-    min_rows: int = 10, eps: float = 1e-6, approximate: bool = False,
+    min_rows: int = 10, eps: float = 1e-6,
 ) -> DataFrame:
     """Population stability index per feature, all features in one job.
 
     Values are counted per feature first, so repeated values shuffle once.
     Fewer than ``min_rows`` values on a side, or fewer than three distinct
-    edges, gives 0. ``approximate`` takes sketched edges instead of exact ones.
+    edges, gives 0.
     """
-    ref, cur = _long_counts(reference, features, "nr"), _long_counts(current, features, "nc")
+    both = checkpointed(_long_counts(reference, current, features))
+    ref = both.filter(F.col("nr") > 0)
     probs = [i / bins for i in range(bins + 1)]
-    if approximate:
-        edges = ref.groupBy("feature").agg(
-            F.percentile_approx("value", probs, 10_000).alias("__e")
-        ).withColumn("edges", F.array_sort(F.array_distinct("__e"))).drop("__e")
-    else:
-        q = exact_quantiles(ref, ["feature"], "value", probs, weight="nr")
-        # One fixed-length array per feature.
-        edges = q.groupBy("feature").agg(
-            F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges")
-        )
+    q = exact_quantiles(ref, ["feature"], "value", probs, weight="nr")
+    # One fixed-length array per feature.
+    edges = q.groupBy("feature").agg(
+        F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges")
+    )
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     axis = edges.withColumn("inner", inner).drop("edges").withColumn("n_edges", F.size("inner") + 2)
-    both = ref.unionByName(cur, allowMissingColumns=True).fillna(0, ["nr", "nc"])
     binned = (
         both.join(axis, "feature")
         .withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))

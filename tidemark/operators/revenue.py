@@ -12,11 +12,12 @@ def channel_cost(
     action_type: Column, costs: dict[str, float] = C.CHANNEL_COSTS,
     default: float = C.DEFAULT_CHANNEL_COST,
 ) -> Column:
+    """Cost of one send as an exact decimal, so that sums do not depend on row order."""
     (first, price), *rest = costs.items()
     chain = F.when(action_type == first, price)
     for name, value in rest:
         chain = chain.when(action_type == name, value)
-    return chain.otherwise(default)
+    return chain.otherwise(default).cast("decimal(12,4)")
 
 
 def avg_lifetime_months(
@@ -77,7 +78,9 @@ def revenue_summary(
     winback_effectiveness: float = C.WINBACK_EFFECTIVENESS,
 ) -> DataFrame:
     """Programme totals (one row)."""
-    spend = outcomes.agg(F.coalesce(F.sum(channel_cost(F.col("action_type"), costs)), F.lit(0.0))).scalar()
+    spend = outcomes.agg(
+        F.coalesce(F.sum(channel_cost(F.col("action_type"), costs)).cast("double"), F.lit(0.0))
+    ).scalar()
     months = lifetime.select("avg_lifetime_months").scalar()
     totals = treated.agg(
         F.countDistinct("hashed_member_id").alias("members_treated"),
@@ -113,7 +116,7 @@ def channel_roi(
     """Per channel: sends, cost and the saved revenue of members it reached most."""
     cost = outcomes.groupBy(F.col("action_type").alias("channel")).agg(
         F.count(F.lit(1)).alias("sends"),
-        F.round(F.sum(channel_cost(F.col("action_type"), costs)), 2).alias("cost"),
+        F.round(F.sum(channel_cost(F.col("action_type"), costs)), 2).cast("double").alias("cost"),
     )
     saved = treated.groupBy(F.col("primary_channel").alias("channel")).agg(
         F.round(F.sum("saved_members_exp"), 1).alias("members_saved"),
@@ -156,7 +159,7 @@ def studio_leaderboard(
             F.round(F.sum("lost_mrr"), 2).alias("lost_mrr"),
         )
         .join(spend, "home_studio_id", "left")
-        .withColumn("spend", F.round(F.coalesce("__spend", F.lit(0.0)), 2))
+        .withColumn("spend", F.coalesce(F.round("__spend", 2).cast("double"), F.lit(0.0)))
         .withColumn("net_monthly", F.round(F.col("saved_mrr") - F.col("spend"), 2))
         .drop("__spend")
     )

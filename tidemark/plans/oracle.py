@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.plans.context import NOW
 from tidemark.plans.oracle_base import with_blocks
+from tidemark.sources.bindings import SALT
 
 ORACLE: dict[str, str] = {}
 
@@ -238,8 +239,8 @@ SELECT count(*) FILTER (previous_stage IN ('at_risk','lapsed') AND stage = 'enga
 check("engagement_score", f"SELECT * REPLACE ({num('churn_probability')}) FROM engagement")
 check("engagement_segment", "SELECT membership_tier, segment, count(*) AS members FROM engagement GROUP BY 1, 2")
 check("segment_summary", """
-SELECT segment, count(*) AS members, round_even(avg(engagement_score), 2) AS avg_engagement,
-  round_even(avg(churn_probability), 2) AS avg_churn_risk, round_even(sum(monthly_price), 2) AS monthly_revenue FROM engagement GROUP BY 1""")
+SELECT segment, count(*) AS members, round_even(round(avg(engagement_score), 9), 2) AS avg_engagement,
+  round_even(round(avg(churn_probability), 9), 2) AS avg_churn_risk, round_even(sum(monthly_price), 2) AS monthly_revenue FROM engagement GROUP BY 1""")
 check("engagement_quadrant", """
 SELECT CASE WHEN coalesce(churn_probability, 0) * 100 >= 50 THEN CASE WHEN engagement_score < 50 THEN 'CRITICAL OUTREACH' ELSE 'VULNERABLE ENGAGED' END
   WHEN engagement_score < 50 THEN 'UNDER-ENGAGED / PASSIVE' ELSE 'HEALTHY / CHAMPIONS' END AS quadrant,
@@ -281,17 +282,17 @@ SELECT members_treated, round(es, 1) AS est_members_saved, confirmed_reengaged,
   CASE WHEN spend > 0 THEN round((saved - spend) / spend, 1) END AS roi_ratio
 FROM (SELECT count(DISTINCT hashed_member_id) AS members_treated, sum(churn_probability * effectiveness) AS es,
     count(*) FILTER (confirmed_save) AS confirmed_reengaged, count(*) FILTER (is_lost) AS members_lost, sum(targeted_mrr) AS risk,
-    sum(targeted_mrr * effectiveness) AS saved, sum(lost_mrr) AS lost, (SELECT sum(cost) FROM costed) AS spend,
+    sum(targeted_mrr * effectiveness) AS saved, sum(lost_mrr) AS lost, (SELECT CAST(sum(cost) AS DOUBLE) FROM costed) AS spend,
     (SELECT avg_lifetime_months FROM {_LIFETIME}) AS alm FROM treated)""")
 check("channel_roi", """
 SELECT c.channel, sends, cost, coalesce(members_saved, 0) AS members_saved, coalesce(saved_mrr, 0) AS saved_mrr,
   round(coalesce(saved_mrr, 0) - cost, 2) AS net_monthly, CASE WHEN cost > 0 THEN round((coalesce(saved_mrr, 0) - cost) / cost, 1) END AS roi_ratio
-FROM (SELECT action_type AS channel, count(*) AS sends, round(sum(cost), 2) AS cost FROM costed GROUP BY 1) c
+FROM (SELECT action_type AS channel, count(*) AS sends, CAST(round(sum(cost), 2) AS DOUBLE) AS cost FROM costed GROUP BY 1) c
 LEFT JOIN (SELECT primary_channel AS channel, round(sum(churn_probability * effectiveness), 1) AS members_saved,
   round(sum(targeted_mrr * effectiveness), 2) AS saved_mrr FROM treated GROUP BY 1) s USING (channel)""")
 check("studio_leaderboard", """
-SELECT b.*, round(coalesce(sp.s, 0), 2) AS spend, round(saved_mrr - round(coalesce(sp.s, 0), 2), 2) AS net_monthly,
-  row_number() OVER (ORDER BY round(saved_mrr - round(coalesce(sp.s, 0), 2), 2) DESC, b.home_studio_id) AS rank
+SELECT b.*, coalesce(CAST(round(sp.s, 2) AS DOUBLE), 0.0) AS spend, round(saved_mrr - coalesce(CAST(round(sp.s, 2) AS DOUBLE), 0.0), 2) AS net_monthly,
+  row_number() OVER (ORDER BY round(saved_mrr - coalesce(CAST(round(sp.s, 2) AS DOUBLE), 0.0), 2) DESC, b.home_studio_id) AS rank
 FROM (SELECT home_studio_id, count(DISTINCT hashed_member_id) AS members_treated, round(sum(churn_probability * effectiveness), 2) AS est_saved,
     count(*) FILTER (is_lost) AS members_lost, round(sum(targeted_mrr), 2) AS mrr_at_risk, round(sum(targeted_mrr * effectiveness), 2) AS saved_mrr,
     round(sum(lost_mrr), 2) AS lost_mrr FROM treated WHERE home_studio_id IS NOT NULL GROUP BY 1) b
@@ -306,7 +307,7 @@ FROM (SELECT m AS month, count(*) FILTER (dur >= m - 1) AS at_risk,
     range(1, 85) t(m) GROUP BY m)""")
 _REACT = """(SELECT hashed_member_id, member_id, home_studio_id, monthly_price, rate AS studio_target_rate_pct,
     CAST('0x' || left(sha256(member_id || 'winback'), 8) AS BIGINT) % 100 < rate AS reactivated
-  FROM (SELECT *, 8 + CAST(list_sum(list_transform(string_split(sha256(home_studio_id), ''), x -> CAST('0x' || x AS INTEGER))) AS BIGINT) % 15 AS rate
+  FROM (SELECT *, 8 + CAST(list_sum(list_transform(string_split(sha256(home_studio_id), ''), lambda x: CAST('0x' || x AS INTEGER))) AS BIGINT) % 15 AS rate
     FROM life_now WHERE stage = 'win_back_eligible'))"""
 check("hash_bernoulli", f"SELECT * FROM {_REACT}")
 _BOARD = f"""(SELECT home_studio_id, eligible, reactivated, recovered_mrr, reactivation_rate, recovered_annual,
@@ -408,6 +409,12 @@ SELECT n_holdout, n_treatment, churned_holdout, churned_treatment, round(rh, 6)
   round(rh - rt, 6) AS lift, round(CASE WHEN rh > 0 THEN (rh - rt) / rh END, 6) AS relative_lift
 FROM (SELECT *, CASE WHEN n_holdout > 0 THEN churned_holdout / CAST(n_holdout AS DOUBLE) END AS rh,
   CASE WHEN n_treatment > 0 THEN churned_treatment / CAST(n_treatment AS DOUBLE) END AS rt FROM {_AB})""")
+check("ab_significance", f"""
+SELECT n_holdout, n_treatment, round(x, 6) AS chi_square, round(p, 4) AS p_value, p < 0.05 AS significant
+FROM (SELECT *, 1 - 2 / sqrt(pi()) * (SELECT sum(exp(-pow((i + 0.5) * sqrt(x / 2) / 20000, 2))) FROM range(0, 20000) t(i)) * sqrt(x / 2) / 20000 AS p
+  FROM (SELECT *, (a + b + c + d) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x
+    FROM (SELECT *, CAST(churned_holdout AS DOUBLE) AS a, CAST(n_holdout - churned_holdout AS DOUBLE) AS b,
+      CAST(churned_treatment AS DOUBLE) AS c, CAST(n_treatment - churned_treatment AS DOUBLE) AS d FROM {_AB})))""")
 check("ab_saved_revenue", f"""
 SELECT n_treatment, round(churned_holdout / CAST(n_holdout AS DOUBLE) - churned_treatment / CAST(n_treatment AS DOUBLE), 6) AS lift,
   round(p, 6) AS avg_monthly_price, round(n_treatment * (churned_holdout / CAST(n_holdout AS DOUBLE) - churned_treatment / CAST(n_treatment AS DOUBLE)) * p, 6) AS saved_revenue
@@ -572,6 +579,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY np ORDER BY row_order) AS rn FRO
 JOIN (SELECT *, row_number() OVER (PARTITION BY np ORDER BY row_order) AS rn FROM appn WHERE np <> '') a ON p.np = a.np AND p.rn = a.rn""")
 check("fuzzy_candidates", "SELECT member_id, app_member_id FROM fuzzy_pairs")
 
+check("jaro_winkler", """
+SELECT a.app_member_id, round(jaro_winkler_similarity(lower(regexp_replace(a.name, '\\s', '', 'g')),
+  lower(regexp_replace(p.name, '\\s', '', 'g') || right(a.app_member_id, 2))), 6) AS similarity
+FROM app a JOIN pos p USING (row_order)""")
+check("resolve_identities", f"""
+SELECT p.member_id, coalesce(m.app_member_id, 'NONE') AS app_member_id, sha256(p.ne || '{SALT}') AS hashed_member_id, p.name, p.email, p.phone
+FROM posn p LEFT JOIN matches m USING (member_id)
+UNION ALL SELECT 'NONE', app_member_id, sha256(ne || '{SALT}'), name, email, phone FROM appn
+WHERE app_member_id NOT IN (SELECT app_member_id FROM matches)""")
+
 # --- model
 check("training_window", """
 SELECT CAST(min(date_day) FILTER (inside) AS VARCHAR) AS window_start, CAST(max(date_day) FILTER (inside) AS VARCHAR) AS window_end,
@@ -637,7 +654,7 @@ UNION ALL SELECT '{name}', CAST({c} AS DOUBLE), 2 FROM {table} WHERE {cur} AND {
 FROM (SELECT a.feature, a.e, a.b, t.tr, t.tc, greatest(coalesce(x.nr, 0) / CAST(t.tr AS DOUBLE), 1e-6) AS rs, greatest(coalesce(x.nc, 0) / CAST(t.tc AS DOUBLE), 1e-6) AS cs
   FROM (SELECT feature, e, unnest(range(0, greatest(len(e) - 1, 1))) AS b FROM (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS e FROM ({union}) WHERE side = 1 GROUP BY 1)) a
   JOIN (SELECT feature, count(*) FILTER (side = 1) AS tr, count(*) FILTER (side = 2) AS tc FROM ({union}) GROUP BY 1) t USING (feature)
-  LEFT JOIN (SELECT u.feature, len(list_filter(q.e[2:len(q.e) - 1], z -> z <= u.v)) AS b, count(*) FILTER (side = 1) AS nr, count(*) FILTER (side = 2) AS nc
+  LEFT JOIN (SELECT u.feature, len(list_filter(q.e[2:len(q.e) - 1], lambda z: z <= u.v)) AS b, count(*) FILTER (side = 1) AS nr, count(*) FILTER (side = 2) AS nc
     FROM ({union}) u JOIN (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS e FROM ({union}) WHERE side = 1 GROUP BY 1) q USING (feature) GROUP BY 1, 2) x
     ON x.feature = a.feature AND x.b = a.b WHERE t.tc > 0) GROUP BY feature)"""
 
@@ -684,8 +701,8 @@ FROM transactions JOIN ground_truth USING (member_id)
 WHERE churned AND cohort = 'sudden_drop' AND transaction_type = 'Membership Fee' AND status = 'Failed'""")
 check("attendance_by_lifetime_decile", """
 SELECT round(bin, 6) AS progress_bin, count(*) AS sessions, round(avg(CAST(attended AS INTEGER)), 6) AS attendance_rate
-FROM (SELECT attended, least(greatest(round_even(CASE WHEN life <> 0 THEN at / CAST(life AS DOUBLE) WHEN at > 0 THEN 1.0 WHEN at < 0 THEN 0.0 END * 10, 0) / 10, 0), 1) AS bin
-  FROM (SELECT s.attended, g.churn_date - m.join_date AS life, s.d - m.join_date AS at FROM sessions s JOIN ground_truth g USING (member_id) JOIN members m USING (member_id)
+FROM (SELECT attended, least(greatest(round_even(CASE WHEN life <> 0 THEN elapsed / CAST(life AS DOUBLE) WHEN elapsed > 0 THEN 1.0 WHEN elapsed < 0 THEN 0.0 END * 10, 0) / 10, 0), 1) AS bin
+  FROM (SELECT s.attended, g.churn_date - m.join_date AS life, s.d - m.join_date AS elapsed FROM sessions s JOIN ground_truth g USING (member_id) JOIN members m USING (member_id)
     WHERE g.churned AND g.cohort = 'declining')) WHERE bin IS NOT NULL GROUP BY 1""")
 
 # --- streams

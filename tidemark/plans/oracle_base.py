@@ -240,8 +240,8 @@ FROM (SELECT hashed_member_id, count(*) AS touches, bool_or(churned_within_30d)
   FROM outcomes o GROUP BY hashed_member_id) o
 LEFT JOIN life_now l USING (hashed_member_id)""")
 _block("costed", """
-SELECT *, CASE action_type WHEN 'Email' THEN 0.01::DOUBLE WHEN 'WinBackEmail' THEN 0.01::DOUBLE WHEN 'SMS' THEN 0.05::DOUBLE
-  WHEN 'Push' THEN 0.005::DOUBLE WHEN 'Call' THEN 5.0::DOUBLE ELSE 0.01::DOUBLE END AS cost FROM outcomes""")
+SELECT *, CASE action_type WHEN 'Email' THEN 0.01::DECIMAL(12,4) WHEN 'WinBackEmail' THEN 0.01 WHEN 'SMS' THEN 0.05
+  WHEN 'Push' THEN 0.005 WHEN 'Call' THEN 5.0 ELSE 0.01 END AS cost FROM outcomes""")
 _block("o_members", """
 SELECT 'M' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS member_id, CAST(min(o_orderdate) AS DATE) AS join_date,
   'S' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS home_studio_id,
@@ -293,6 +293,16 @@ FROM posn p JOIN appn a ON (p.ne <> '' AND a.ne <> '' AND split_part(p.ne, '@',
   OR (p.np <> '' AND a.np <> '' AND left(p.np, 3) = left(a.np, 3))
 WHERE p.member_id NOT IN (SELECT member_id FROM exact_match) AND a.app_member_id NOT IN (SELECT app_member_id FROM exact_match)
   AND jaro_winkler_similarity(regexp_replace(p.nn, '\\s', '', 'g'), regexp_replace(a.nn, '\\s', '', 'g')) >= 0.85""")
+_block("choices", """
+SELECT member_id, row_number() OVER (ORDER BY po) AS i, cands FROM
+  (SELECT member_id, po, list(app_member_id ORDER BY ao) AS cands FROM fuzzy_pairs GROUP BY 1, 2)""")
+_block("served", """
+SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS member_id, CAST(NULL AS VARCHAR) AS app_member_id
+UNION ALL SELECT c.i, list_append(s.used, list_filter(c.cands, lambda x: NOT list_contains(s.used, x))[1]), c.member_id,
+  list_filter(c.cands, lambda x: NOT list_contains(s.used, x))[1] FROM served s JOIN choices c ON c.i = s.i + 1""")
+_block("matches", """
+SELECT member_id, app_member_id FROM exact_match
+UNION ALL SELECT member_id, app_member_id FROM served WHERE app_member_id IS NOT NULL""")
 _block("holdout", f"""
 SELECT member_id, CAST(('0x' || right(sha256(concat(member_id, '{HOLDOUT_SALT}')), 4)) AS INTEGER) % 10 = 0 AS is_holdout FROM identity""")
 
@@ -311,4 +321,5 @@ def with_blocks(select: str) -> str:
 
     visit(select)
     ctes = [f"{name} AS ({sql})" for name, sql in BLOCKS.items() if name in needed]
-    return (f"WITH {', '.join(ctes)} " if ctes else "") + select.strip()
+    recursive = "RECURSIVE " if "served" in needed else ""
+    return (f"WITH {recursive}{', '.join(ctes)} " if ctes else "") + select.strip()

@@ -42,8 +42,19 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+_frames: dict[tuple[str, str], Frames] = {}
+
+
+def frames_for(spark: SparkSession, sf_dir: str) -> Frames:
+    """The plans of one session and directory, built once; nothing is cached but plans."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _frames or _frames[key].spark is not spark:
+        _frames[key] = Frames(spark, sf_dir)
+    return _frames[key]
+
+
 def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: present(QUERIES[name](Frames(spark, sf_dir)))
+    return lambda spark, sf_dir: present(QUERIES[name](frames_for(spark, sf_dir)))
 
 
 # --- scans and sinks ---------------------------------------------------------

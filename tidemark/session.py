@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -10,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture per column expression only slows down plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -23,18 +27,21 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df, eager: bool = True):
-    """Cut lineage in the folder the cluster names in ``spark.checkpoint.dir``.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder is set here only where none is configured, as in local tests.
+    A folder is set here only where none is configured, as in local tests. A frame
+    that is a checkpoint already is returned as it is.
     """
+    if getattr(df, "_tidemark_checkpoint", False):
+        return df
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            import tempfile
-
             configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         sc.setCheckpointDir(configured)
-    return df.checkpoint(eager)
+    out = df.checkpoint()
+    out._tidemark_checkpoint = True
+    return out
