@@ -8,8 +8,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "boolean": T.BooleanType(),
+    "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Columns from "name type, ..."; needs no running session."""
+    pairs = [column.split() for column in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_TABLES: dict[str, T.StructType] = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.expressions import (
     normalize_email, normalize_name, normalize_phone, salted_hash,
@@ -63,7 +63,7 @@ def _similarity_udf():
         prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
         return jaro + prefix * 0.1 * (1.0 - jaro)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 

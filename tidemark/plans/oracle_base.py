@@ -320,6 +320,10 @@ def with_blocks(select: str) -> str:
                 visit(BLOCKS[word])
 
     visit(select)
-    ctes = [f"{name} AS ({sql})" for name, sql in BLOCKS.items() if name in needed]
+    once = {"fuzzy_pairs", "choices", "mart"}
+    ctes = [
+        f"{name} AS {'MATERIALIZED ' if name in once else ''}({sql})"
+        for name, sql in BLOCKS.items() if name in needed
+    ]
     recursive = "RECURSIVE " if "served" in needed else ""
     return (f"WITH {recursive}{', '.join(ctes)} " if ctes else "") + select.strip()
