@@ -129,7 +129,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: columns group, ``prob``, ``quantile``, ``n``.
 
-    ``weight`` names a count column when ``df`` already has one row per value.
+    ``weight`` names a count column when ``df`` already has one row per value; such a
+    frame should be materialised, as it is read several times.
 
     Equal values are first counted, a sketch cuts the distinct values into
     buckets, and only the buckets that hold a wanted position are sorted.
@@ -137,10 +138,9 @@ def exact_quantiles(
     known = df.filter(F.col(value).isNotNull())
     v = F.col(value).cast("double").alias("__v")
     if weight is None:
-        counted = known.groupBy(*group, v).agg(F.count(F.lit(1)).alias("__n"))
+        counted = checkpointed(known.groupBy(*group, v).agg(F.count(F.lit(1)).alias("__n")))
     else:
         counted = known.select(*group, v, F.col(weight).alias("__n"))
-    counted = checkpointed(counted)
     grid = [i / buckets for i in range(1, buckets)]
     sketch = counted.groupBy(*group).agg(
         F.percentile_approx("__v", grid, SKETCH_ACCURACY).alias("__bounds")

@@ -70,11 +70,25 @@ def _finish(df: DataFrame, label_days: int) -> DataFrame:
 
 
 SHORT = ["booked", "attended", "logins"]
+ROWS_PER_TASK = 2_000_000
+
+
+def _panel_partitions(people: DataFrame, first_day: Column, last_day: Column, rows_per_task: int) -> int:
+    """Partition count for the panel from its own row count.
+
+    The spine grows after the shuffle, so sizing by shuffled bytes would pack far
+    too many members into one task.
+    """
+    days = F.greatest(F.datediff(last_day, first_day) + 1, F.lit(0))
+    total = people.agg(F.coalesce(F.sum(days), F.lit(0))).first()[0]
+    floor = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-total // rows_per_task))
 
 
 def member_features_daily(
     tables: dict[str, DataFrame], *, salt: str, as_of=None, since=None,
     short_days: int = 7, long_days: int = 30, label_days: int = 14,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Dense panel: one row per member and day from joining to churn or the as-of date.
 
@@ -90,12 +104,17 @@ def member_features_daily(
     run emits one day without rebuilding the history.
     """
     horizon = as_of_column(tables, as_of)
-    people = _member_frame(tables, salt).repartition("member_id")
-    acts = daily_activity(tables).repartition("member_id")
     first_day: Column = F.col("join_date")
     if since is not None:
         start = F.date_sub(F.lit(since).cast("date"), long_days)
         first_day = F.greatest(first_day, start)
+    # The spine ends at the as-of date, whatever the churn date says.
+    last_day = F.least(F.coalesce("churn_date", horizon), horizon)
+    people = _member_frame(tables, salt)
+    n = _panel_partitions(people, first_day, last_day, rows_per_task)
+    people = people.repartition(n, "member_id")
+    acts = daily_activity(tables).repartition(n, "member_id")
+    if since is not None:
         recent = F.col("event_date") >= start
         acts = (
             acts.join(people.select("member_id", "join_date"), "member_id")
@@ -106,8 +125,6 @@ def member_features_daily(
                 "attended_on", "fee_state",
             )
         )
-    last_day = F.least(F.coalesce("churn_date", horizon), horizon)
-    # The reference spine ends at the as-of date, whatever the churn date says.
     spine = (
         people.filter(first_day <= last_day)
         .select("member_id", F.explode(F.sequence(first_day, last_day)).alias("event_date"))
