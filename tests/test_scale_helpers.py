@@ -155,3 +155,20 @@ def test_noisy_pairs_all_resolve(spark):
     app = spark.createDataFrame(noisy, "app_member_id string, row_order long, name string, email string, phone string")
     got = identity.resolve_identities(pos, app, salt="s").collect()
     assert {(r.member_id, r.app_member_id) for r in got} == {(f"M{i}", f"APP{i}") for i in range(10)}
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.7])
+def test_name_keys_lose_no_pair(spark, threshold):
+    """All pairs of short, long and repetitive names at the threshold share a key."""
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 13))) for _ in range(45)]
+    names = sorted({s for stem in stems for s in (stem, stem[::-1], stem + "jr", stem[1:] + stem[:1], "x" + stem)} | {""})
+    people = lambda key: spark.createDataFrame(
+        [(n, i, f"{key}{i}", "", "5551234567") for i, n in enumerate(names)],
+        f"norm_name string, row_order long, {key} string, norm_email string, norm_phone string")
+    got = {(r.member_id[9:], r.app_member_id[13:]) for r in identity.fuzzy_candidates(
+        people("member_id"), people("app_member_id"), threshold=threshold).collect()}
+    a, b = spark.createDataFrame(list(enumerate(names)), "i int, a string"), spark.createDataFrame(list(enumerate(names)), "j int, b string")
+    want = {(str(r.i), str(r.j)) for r in a.join(b).withColumn(
+        "s", identity.jaro_winkler(F.col("a"), F.col("b"))).filter(F.col("s") >= threshold).collect()}
+    assert got == want and len(want) > len(names)

@@ -37,6 +37,11 @@ def nan_to_null(value: Column, dtype: str) -> Column:
     return F.when(as_double.isNull() | F.isnan(as_double), None).otherwise(value.cast(dtype))
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing whitespace of any kind."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def percent_text(value: Column) -> Column:
     """0.123 -> '12%', halves to even."""
     return F.concat(F.bround(value * 100, 0).cast("long").cast("string"), F.lit("%"))
@@ -137,7 +142,7 @@ def primary_reason(idle_days: int = 14, min_sessions: int = 2) -> Column:
 def parse_risk_tier(why: Column, marker: str = "Tier: ") -> Column:
     """Text after the last marker, or 'Unknown'."""
     return F.when(F.contains(why, F.lit(marker)),
-                  F.trim(F.substring_index(why, marker, -1))).otherwise("Unknown")
+                  strip(F.substring_index(why, marker, -1))).otherwise("Unknown")
 
 
 def has_text_intent(text: Column, words: list[str] = C.INTENT_WORDS) -> Column:
@@ -179,7 +184,7 @@ def hash_mod_15(value: Column) -> Column:
 # --- contact normalisation ---------------------------------------------------
 
 def normalize_email(email: Column, fold_gmail: bool = False) -> Column:
-    out = F.lower(F.trim(F.coalesce(email, F.lit(""))))
+    out = F.lower(strip(F.coalesce(email, F.lit(""))))
     if fold_gmail:
         local = F.regexp_replace(F.regexp_replace(F.substring_index(out, "@", 1), r"\+.*$", ""), r"\.", "")
         out = F.when(out.endswith("@gmail.com"), F.concat(local, F.lit("@gmail.com"))).otherwise(out)
@@ -197,7 +202,7 @@ NAME_SUFFIXES = ["jr", "sr", "iii", "dds", "phd", "md"]
 
 
 def normalize_name(name: Column, strip_suffixes: bool = False) -> Column:
-    out = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}\s]", "")
+    out = F.regexp_replace(F.lower(strip(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}\s]", "")
     if strip_suffixes:
         out = F.regexp_replace(out, r"\s+(" + "|".join(NAME_SUFFIXES) + r")$", "")
     return out

@@ -70,7 +70,8 @@ def record_hash(prev: Column, fields: list[str] = CHAIN_FIELDS) -> Column:
 
 
 def check_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH) -> DataFrame:
-    """Each record with ``intact``: it follows its predecessor's hash and its own hash is right.
+    """Each record with ``linked`` (it follows its predecessor's hash) and ``intact``
+    (linked, and its own hash is right).
 
     The predecessor is found by an equi join on the dense sequence number, so no
     task needs the whole log in order. A record whose hash is null (a malformed
@@ -80,8 +81,9 @@ def check_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENES
     joined = log.join(before, seq, "left").withColumn(
         "__prev", F.when(F.col(seq) == 1, F.lit(genesis)).otherwise(F.col("__before"))
     )
-    ok = (F.col("prev_hash") == F.col("__prev")) & (F.col("hash") == record_hash(F.col("__prev")))
-    return joined.withColumn("intact", F.coalesce(ok, F.lit(False))).drop("__before", "__prev")
+    linked = F.coalesce(F.col("prev_hash") == F.col("__prev"), F.lit(False))
+    right = F.coalesce(F.col("hash") == record_hash(F.col("__prev")), F.lit(False))
+    return joined.withColumns({"linked": linked, "intact": linked & right}).drop("__before", "__prev")
 
 
 def verify_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH) -> DataFrame:

@@ -82,15 +82,47 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return _jaro_winkler_udf(_compact(a), _compact(b))
 
 
+# Letters from frequent to rare, and stand-ins that sort the other way round.
+_FREQUENT_FIRST = "etaoinshrdlucmfgypwbvkjxqz"
+_SORTS_LAST_FIRST = "zyxwvutsrqponmlkjihgfedcba"
+
+
 def _tokens(name: Column) -> Column:
-    """Characters numbered by occurrence, so a set intersection counts repeated letters."""
-    chars = F.split(name, "")
-    return F.transform(
+    """Letters numbered by occurrence, rarest first.
+
+    The numbering makes a set intersection count repeated letters; later
+    occurrences and rare letters sort to the front.
+    """
+    chars = F.split(F.translate(name, _FREQUENT_FIRST, _SORTS_LAST_FIRST), "")
+    numbered = F.transform(
         chars,
         lambda ch, i: F.concat(
-            ch, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == ch)).cast("string")
+            F.lpad((999 - F.size(F.filter(F.slice(chars, 1, i), lambda x: x == ch))).cast("string"), 3, "0"), ch
         ),
     )
+    return F.array_sort(numbered)
+
+
+def _name_keys(name: str, threshold: float) -> Column:
+    """Keys such that two names at or above the threshold share at least one.
+
+    A shared prefix of k letters boosts the score, so the unboosted similarity,
+    and with it the number of shared letters, has a lower bound that depends on
+    k. Names sharing four letters meet on those. For each smaller k two names
+    meet on their first k letters and one of their rarest letters: enough of
+    those are listed that a pair with the required overlap cannot miss.
+    """
+    size = F.length(name)
+    keys = [F.array(F.when(size == 0, "empty").when(size >= 4, F.concat(F.lit("4"), F.left(F.col(name), F.lit(4)))))]
+    for k in (0, 1, 2, 3):
+        jaro = (threshold - 0.1 * k) / (1.0 - 0.1 * k)
+        share = max(3.0 * jaro - 2.0, 0.0)
+        needed = F.greatest(F.ceil(size * share - 1e-9), F.lit(1))
+        listed = F.slice(f"{name}_tokens", F.lit(1), F.greatest(size - needed + 1, F.lit(0)).cast("int"))
+        lead = F.concat(F.lit(str(k)), F.left(F.col(name), F.lit(k)) if k else F.lit(""))
+        keys.append(F.when((size > 0) & (size >= k), F.transform(listed, lambda t: F.concat(lead, F.lit("~"), t)))
+                    .otherwise(F.array().cast("array<string>")))
+    return F.array_compact(F.concat(*keys))
 
 
 def _similarity_bound(a: str, b: str) -> Column:
@@ -153,9 +185,10 @@ def match_exact_contacts(
 def fuzzy_candidates(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
     """Pairs with a contact overlap and a similar name.
 
-    Distinct names per overlap block are compared, not rows. A bound computed
-    in the JVM drops pairs that cannot reach the threshold, so the Arrow UDF
-    only sees plausible ones.
+    Distinct names per overlap block meet on keys that any pair at or above the
+    threshold must share, so blocks are never compared pair by pair. A bound
+    computed in the JVM then drops what cannot reach the threshold, and the Arrow
+    UDF only sees plausible pairs.
     """
     def blocks(df: DataFrame, key: str) -> DataFrame:
         local = F.substring_index("norm_email", "@", 1)
@@ -168,12 +201,15 @@ def fuzzy_candidates(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85)
         ).select("block", _compact(F.col("norm_name")).alias("cname"), key, "row_order")
 
     left, right = blocks(pos, "member_id"), blocks(app, "app_member_id")
-    names_l = left.select("block", F.col("cname").alias("a")).distinct().withColumn("a_tokens", _tokens(F.col("a")))
-    names_r = right.select("block", F.col("cname").alias("b")).distinct().withColumn("b_tokens", _tokens(F.col("b")))
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        names = df.select("block", F.col("cname").alias(name)).distinct()
+        tokens = names.withColumn(f"{name}_tokens", _tokens(F.col(name)))
+        return tokens.withColumn("key", F.explode(_name_keys(name, threshold)))
+
     alike = (
-        names_l.join(names_r, "block")
+        keyed(left, "a").join(keyed(right, "b"), ["block", "key"])
         .filter(_similarity_bound("a", "b") >= threshold - 1e-9)
-        .select("block", "a", "b")
+        .select("block", "a", "b").distinct()
         .filter(_jaro_winkler_udf("a", "b") >= threshold)
     )
     return (

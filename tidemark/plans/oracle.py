@@ -679,12 +679,22 @@ SELECT '{NOW}' AS checked_at, round(dev, 4) AS calib_max_dev, round(mp, 4) AS ma
   coalesce(nullif(concat_ws('; ', CASE WHEN dev >= 0.15 THEN 'calibration deviation ' || printf('%.1f', dev * 100) || '% >= 15%' END,
     CASE WHEN mp >= 0.25 THEN 'feature drift PSI ' || printf('%.2f', mp) || ' >= 0.25 (' || w || ')' END), ''), 'none') AS reasons, 'live' AS mode
 FROM (SELECT (SELECT max(abs_deviation) FROM {_CALIB}) AS dev, max(psi) AS mp, arg_max(feature, (psi, feature)) AS w FROM {_DP})""")
-check("model_registry", """
-SELECT 'v2' AS version_id, '2024-01-30 00:00:00' AS trained_at, 'manual' AS trigger, CAST(min(date_day) FILTER (inside) AS VARCHAR) AS train_window_start,
-  CAST(max(date_day) FILTER (inside) AS VARCHAR) AS train_window_end, 2 AS window_months, count(*) FILTER (NOT is_churned_14d) AS train_rows,
+_RECORD = """SELECT 'v{n}' AS version_id, '2024-01-{d} 00:00:00' AS trained_at, 'manual' AS trigger, CAST(min(date_day) FILTER (inside) AS VARCHAR) AS train_window_start,
+  CAST(max(date_day) FILTER (inside) AS VARCHAR) AS train_window_end, {n} AS window_months, count(*) FILTER (NOT is_churned_14d) AS train_rows,
   count(*) FILTER (is_churned_14d) AS val_rows, count(*) FILTER (date_day < ws) AS rows_discarded_as_old,
-  round(count(*) FILTER (NOT is_churned_14d) / CAST(count(*) FILTER (is_churned_14d) AS DOUBLE), 1) AS scale_pos_weight, 0.5 AS val_auc, 0.1 AS val_pr_auc, 'models/v2' AS model_path
-FROM (SELECT date_day, is_churned_14d, as_of_date - INTERVAL 2 MONTH AS ws, date_day >= as_of_date - INTERVAL 2 MONTH AND date_day <= as_of_date - 14 AS inside FROM mart, config)""")
+  round(count(*) FILTER (NOT is_churned_14d) / CAST(count(*) FILTER (is_churned_14d) AS DOUBLE), 1) AS scale_pos_weight, 0.5 AS val_auc, 0.1 AS val_pr_auc, 'models/v{n}' AS model_path
+FROM (SELECT date_day, is_churned_14d, as_of_date - INTERVAL {n} MONTH AS ws, date_day >= as_of_date - INTERVAL {n} MONTH AND date_day <= as_of_date - 14 AS inside FROM mart, config)"""
+check("model_registry", _RECORD.format(n=1, d=29) + " UNION ALL " + _RECORD.format(n=2, d=30))
+check("registry_latest", _RECORD.format(n=2, d=30))
+check("calibrate_isotonic", f"SELECT count(*) AS rows, round(avg(CAST(actual AS INTEGER)), 6) AS mean_calibrated FROM {_SP}")
+check("drift_windows", """
+SELECT 'reference' AS side, count(*) AS rows, CAST(min(date_day) AS VARCHAR) AS first_day, CAST(max(date_day) AS VARCHAR) AS last_day
+FROM mart, config WHERE date_day >= as_of_date - INTERVAL 12 MONTH AND date_day <= as_of_date - 20
+UNION ALL SELECT 'current', count(*), CAST(min(date_day) AS VARCHAR), CAST(max(date_day) AS VARCHAR) FROM mart, config WHERE date_day > as_of_date - 20""")
+check("perturb_window", f"""
+SELECT {day('date_day')}, round(sum(sessions_attended_30d * 0.3::DOUBLE), 6) AS attended, CAST(sum(days_since_last_session + 25) AS BIGINT) AS idle,
+  round(sum(app_logins_30d * 0.4::DOUBLE), 6) AS logins, CAST(sum(failed_payments_count_30d + 1) AS BIGINT) AS failed
+FROM mart WHERE date_day > (SELECT as_of_date - 30 FROM config) GROUP BY date_day""")
 
 # --- exploration
 check("monthly_signups", "SELECT strftime(join_date, '%Y-%m') AS join_month, count(*) AS signups FROM o_members GROUP BY 1")
@@ -705,6 +715,43 @@ FROM (SELECT attended, least(greatest(round_even(CASE WHEN life <> 0 THEN elapse
   FROM (SELECT s.attended, g.churn_date - m.join_date AS life, s.d - m.join_date AS elapsed FROM sessions s JOIN ground_truth g USING (member_id) JOIN members m USING (member_id)
     WHERE g.churned AND g.cohort = 'declining')) WHERE bin IS NOT NULL GROUP BY 1""")
 
+# --- shared primitives
+check("scan_jsonl_log", "SELECT outcome, source, count(*) AS events FROM auth GROUP BY 1, 2")
+check("sink_parquet", f"""
+SELECT {day('date_day')}, count(*) AS rows, CAST(sum(app_logins_30d) AS BIGINT) AS logins FROM mart GROUP BY date_day""")
+_LQ = f"""(SELECT hashed_member_id, member_id, CASE WHEN stage = 'onboarding' THEN 'OnboardingEmail' WHEN days_in_stage <= 14 THEN 'WinBackEmail'
+    WHEN days_in_stage <= 45 THEN 'WinBackSMS' ELSE 'WinBackEmail' END AS action_type, 'DryRun' AS status FROM lifecycle
+  WHERE ((stage = 'onboarding' AND tenure_days <= 14) OR stage = 'win_back_eligible') AND hashed_member_id NOT IN {_RECENT})"""
+check("sink_append", f"""
+SELECT action_type, status, count(*) AS rows FROM (SELECT action_type, status FROM {_D} WHERE status IS NOT NULL AND status <> 'RateLimited'
+  UNION ALL SELECT action_type, status FROM {_LQ}) GROUP BY 1, 2""")
+check("concat_append", f"""
+SELECT 'ACr1' || left(hashed_member_id, 16) AS action_id, member_id, action_type, status, '{NOW}' AS created_at,
+  CASE WHEN status <> 'Pending' THEN '{NOW}' END AS processed_at FROM {_D} WHERE status IS NOT NULL
+UNION ALL SELECT 'LCr1' || left(hashed_member_id, 16), member_id, action_type, status, '{NOW}', '{NOW}' FROM {_LQ}""")
+check("union_all_text", """
+SELECT value, count(*) AS n FROM (SELECT hashed_member_id AS value FROM snap UNION ALL SELECT gender FROM snap
+  UNION ALL SELECT home_studio_id FROM snap UNION ALL SELECT membership_tier FROM snap) GROUP BY 1""")
+check("union_distinct_pii", "SELECT name AS value FROM identity UNION SELECT email FROM identity UNION SELECT phone FROM identity")
+check("band_join", "SELECT audit_id, sessions_post_7d, sessions_post_14d, sessions_post_30d FROM outcomes")
+check("running_survival", """
+SELECT month, round(exp(sum(ln(greatest(step, 1e-300))) OVER (ORDER BY month)), 4) AS retention, at_risk
+FROM (SELECT m AS month, count(*) FILTER (dur >= m - 1) AS at_risk, CASE WHEN count(*) FILTER (dur >= m - 1) > 0
+      THEN 1 - count(*) FILTER (churned AND dur >= m - 1 AND dur < m) / CAST(count(*) FILTER (dur >= m - 1) AS DOUBLE) ELSE 1.0 END AS step
+  FROM (SELECT churned, greatest((coalesce(churn_date, (SELECT as_of_date FROM config)) - join_date) / 30.44, 0) AS dur
+    FROM members JOIN ground_truth USING (member_id)), range(1, 37) t(m) GROUP BY m)""")
+check("rank_dense_index", """
+SELECT o_orderpriority, count(*) AS orders, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1""")
+check("rank_first", f"""
+SELECT row_key, round(p, 6) AS churn_probability, row_number() OVER (ORDER BY p, row_key) AS row_number FROM {_SP}""")
+check("running_send_count", f"""
+SELECT hashed_member_id, round(risk_score, 6) AS risk_score, row_number() OVER (ORDER BY d.risk_score DESC, hashed_member_id) AS sent_so_far
+FROM (SELECT *, CASE WHEN is_holdout THEN 'Holdout' WHEN dt IN ('Email','SMS') AND hashed_member_id IN {_RECENT} THEN 'RateLimited' ELSE 'Sent' END AS st FROM {_D}) d
+WHERE dt IN ('Email','SMS') AND st = 'Sent'""")
+check("prev_row_link", "SELECT line + 1 AS seq, line > 0 AS linked, FALSE AS intact FROM auth")
+check("dq_constant_flag", """
+SELECT unnest(['studios','members','ground_truth','memberships','sessions','transactions','app_events','ai_coach_chats','email_events']) AS table_name, TRUE AS flag_constant""")
+
 # --- streams
 _ACT = """(SELECT member_id, scheduled_at AS ts, CASE WHEN attended THEN 'attended' ELSE 'booked' END AS kind FROM sessions
   UNION ALL SELECT member_id, event_timestamp, event_type FROM app_events UNION ALL SELECT member_id, sent_at, status FROM emails)"""

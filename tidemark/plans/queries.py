@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import contracts as C
-from tidemark.functions import expressions as X
+from tidemark.functions import expressions as X, ranking
 from tidemark.operators import (
     activity, audit, engagement, evaluation, explore, features, identity, lifecycle, model,
     monitoring, outcomes, quality, reports, revenue, routing, scoring, summaries, winback,
@@ -81,6 +81,60 @@ def scan_by_mode(f: Frames) -> DataFrame:
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def scan_jsonl_log(f: Frames) -> DataFrame:
+    """Sign-in events written as JSON lines with broken lines in between, read back."""
+    path = runner.scratch_dir(f.spark, "auth-log")
+    good = f.auth.select(F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event", "username", "outcome", "source", "reason")).alias("value"))
+    bad = f.auth.filter(F.col("outcome") == "success").select(F.lit('{"ts": "broken').alias("value"))
+    good.unionByName(bad).write.text(path)
+    return tables.read_auth_log(f.spark, path).groupBy("outcome", "source").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def sink_parquet(f: Frames) -> DataFrame:
+    """The panel written by date, then its last days written again."""
+    path = runner.scratch_dir(f.spark, "panel")
+    sinks.write_daily_panel(f.panel, path)
+    sinks.write_daily_panel(features.member_features_daily(f.t, salt=B.SALT, since="2024-01-26"), path)
+    return f.spark.read.parquet(path).groupBy("date_day").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("app_logins_30d").alias("logins"))
+
+
+@query
+def sink_append(f: Frames) -> DataFrame:
+    """Audit rows of two router runs appended to one log."""
+    path = runner.scratch_dir(f.spark, "audit-log")
+    sinks.append_table(routing.audit_rows(_churn(f), run_id="r1", now=NOW), path)
+    sinks.append_table(routing.audit_rows(_life_actions(f), run_id="r1", now=NOW, prefix="LA"), path)
+    return f.spark.read.parquet(path).groupBy("action_type", "status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def concat_append(f: Frames) -> DataFrame:
+    """Queue rows of two routers as one queue."""
+    rows = _queue(f).unionByName(routing.queue_rows(_life_actions(f), run_id="r1", now=NOW, prefix="LC"))
+    return rows.select("action_id", "member_id", "action_type", "status", "created_at", "processed_at")
+
+
+@query
+def union_all_text(f: Frames) -> DataFrame:
+    """Occurrences of every text value of the snapshot."""
+    text = ["hashed_member_id", "gender", "home_studio_id", "membership_tier"]
+    return f.snapshot.select(F.explode(F.array(*text)).alias("value")).groupBy("value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def union_distinct_pii(f: Frames) -> DataFrame:
+    return f.identity.select(F.explode(F.array("name", "email", "phone")).alias("value")).distinct()
+
+
+def _life_actions(f: Frames) -> DataFrame:
+    return routing.route_lifecycle_actions(f.lifecycle, f.identity, f.audit, now=NOW)
+
+
 def _stage(name: str) -> None:
     def run(f: Frames) -> DataFrame:
         return tables.stage(f.t[name], name)
@@ -440,6 +494,12 @@ def intervention_outcomes(f: Frames) -> DataFrame:
     return f.outcomes
 
 
+@query
+def band_join(f: Frames) -> DataFrame:
+    """Visits after each intervention, counted per window."""
+    return f.outcomes.select("audit_id", "sessions_post_7d", "sessions_post_14d", "sessions_post_30d")
+
+
 @query
 def conversion_rates(f: Frames) -> DataFrame:
     return outcomes.conversion_rates(f.outcomes)
@@ -486,6 +546,25 @@ def km_retention(f: Frames) -> DataFrame:
     return revenue.km_retention(o["members"], o["ground_truth"], as_of=o["as_of"].scalar(), max_months=84)
 
 
+@query
+def running_survival(f: Frames) -> DataFrame:
+    """The same curve over the activity members, three years long."""
+    return revenue.km_retention(f.t["members"], f.t["ground_truth"], as_of=f.as_of)
+
+
+@query
+def rank_dense_index(f: Frames) -> DataFrame:
+    board = f.raw("orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+    return revenue.ranked(board, F.desc("orders"), F.asc("o_orderpriority"))
+
+
+@query
+def rank_first(f: Frames) -> DataFrame:
+    """Position of every panel row by probability."""
+    rows = f.scored_panel.select("row_key", "churn_probability")
+    return ranking.global_row_number(rows, "churn_probability", "row_key")
+
+
 @query
 def hash_bernoulli(f: Frames) -> DataFrame:
     return f.reactivations
@@ -572,9 +651,18 @@ def send_cap(f: Frames) -> DataFrame:
         "hashed_member_id", "risk_score", "action_type", "status", "counts_to_cap")
 
 
+@query
+def running_send_count(f: Frames) -> DataFrame:
+    """Number of each live send in the run's order, before any cap."""
+    sends = routing.route_churn_actions(
+        f.scores, f.identity, f.snapshot, f.audit, None, now=NOW, holdout_salt=B.HOLDOUT_SALT, live=True, cap=10**6
+    ).filter("counts_to_cap").select("hashed_member_id", "risk_score")
+    return ranking.global_row_number(sends, "risk_score", "hashed_member_id", descending=True, out="sent_so_far")
+
+
 @query
 def route_lifecycle_actions(f: Frames) -> DataFrame:
-    return routing.route_lifecycle_actions(f.lifecycle, f.identity, f.audit, now=NOW)
+    return _life_actions(f)
 
 
 @query
@@ -729,6 +817,11 @@ def dq_row_counts(f: Frames) -> DataFrame:
     return quality.dq_row_counts(f.t, {"studios": 25})
 
 
+@query
+def dq_constant_flag(f: Frames) -> DataFrame:
+    return quality.dq_row_counts(f.t).select("table_name", "flag_constant")
+
+
 @query
 def dq_signal_coverage(f: Frames) -> DataFrame:
     return quality.dq_signal_coverage(f.t["ground_truth"], f.t["transactions"])
@@ -785,6 +878,13 @@ def record_hash(f: Frames) -> DataFrame:
     return f.auth_chain.select("seq", audit.record_hash(F.col("prev_hash")).alias("digest"))
 
 
+@query
+def prev_row_link(f: Frames) -> DataFrame:
+    """Whether each record names the hash of the record before it."""
+    log = f.auth_chain.withColumn("hash", X.salted_hash(F.col("seq").cast("string"), "-prev"))
+    return audit.check_hash_chain(log).select("seq", "linked", "intact")
+
+
 @query
 def verify_hash_chain(f: Frames) -> DataFrame:
     """Records whose own digest is right but whose links are not: broken from the first line."""
@@ -933,6 +1033,23 @@ def calibration_deciles(f: Frames) -> DataFrame:
     return monitoring.calibration_deciles(monitoring.mature_window(f.scored_panel, f.as_of))
 
 
+@query
+def drift_windows(f: Frames) -> DataFrame:
+    """Sizes of the windows without a registered training window."""
+    ref, cur = monitoring.drift_windows(f.panel, f.as_of, recent_days=20)
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min("date_day").alias("first_day"), F.max("date_day").alias("last_day"))
+             .select(F.lit(n).alias("side"), "rows", "first_day", "last_day") for n, df in (("reference", ref), ("current", cur))]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def perturb_window(f: Frames) -> DataFrame:
+    _, cur = monitoring.drift_windows(f.panel, f.as_of)
+    return monitoring.perturb_window(cur).groupBy("date_day").agg(
+        F.sum("sessions_attended_30d").alias("attended"), F.sum("days_since_last_session").alias("idle"),
+        F.sum("app_logins_30d").alias("logins"), F.sum("failed_payments_count_30d").alias("failed"))
+
+
 def _drift(f: Frames, perturb: bool) -> DataFrame:
     ref, cur = monitoring.drift_windows(
         f.panel, f.as_of, train_start="2024-01-01", train_end="2024-01-15", recent_days=10)
@@ -999,21 +1116,39 @@ def score_members(f: Frames) -> DataFrame:
     return model.score_members(fitted, f.snapshot)
 
 
-@query
-def model_registry(f: Frames) -> DataFrame:
-    """Two records from two windows; the newest is returned."""
+def _registry(f: Frames) -> DataFrame:
+    """Two training records from windows of one and two months."""
     def record(months: int, day: str) -> DataFrame:
         meta = model.training_window_meta(f.panel, as_of=f.as_of, months=months)
-        weight = model.class_weight(f.panel)
-        metrics = weight.select(
+        metrics = model.class_weight(f.panel).select(
             F.col("negatives").alias("train_rows"), F.col("positives").alias("val_rows"), "scale_pos_weight",
             F.lit(0.5).alias("val_auc"), F.lit(0.1).alias("val_pr_auc"))
         return model.registry_record(
             meta, metrics, version_id=f"v{months}", trained_at=F.lit(day).cast("timestamp_ntz"),
             trigger="manual", window_months=months, model_path=f"models/v{months}")
 
-    return model.registry_latest(
-        record(1, "2024-01-29 00:00:00").unionByName(record(2, "2024-01-30 00:00:00")))
+    return record(1, "2024-01-29 00:00:00").unionByName(record(2, "2024-01-30 00:00:00"))
+
+
+@query
+def model_registry(f: Frames) -> DataFrame:
+    return _registry(f)
+
+
+@query
+def registry_latest(f: Frames) -> DataFrame:
+    return model.registry_latest(_registry(f))
+
+
+@query
+def calibrate_isotonic(f: Frames) -> DataFrame:
+    """An isotonic map fitted to the panel's stand-in probabilities: its mean is the label's mean."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = f.scored_panel.select("churn_probability", F.col("actual").cast("double").alias("label"))
+    fitted = IsotonicRegression(featuresCol="churn_probability", labelCol="label", predictionCol="calibrated").fit(rows)
+    return fitted.transform(rows).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"))
 
 
 # --- exploration ------------------------------------------------------------------------------------------------------

@@ -15,9 +15,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_daily_panel(df: DataFrame, path: str, date_col: str = "date_day") -> None:
-    """Replace only the dates present in ``df``; files are gathered per date before the write."""
+    """Replace only the dates present in ``df``.
+
+    The rebalance hint gathers each date's rows and lets adaptive execution split
+    large dates and merge small ones, so file sizes follow the data.
+    """
     (
-        df.repartition(F.col(date_col), F.pmod(F.hash("hashed_member_id"), F.lit(16)))
+        df.hint("rebalance", date_col)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_col)

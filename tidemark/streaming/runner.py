@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder, or a local one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or tempfile.gettempdir()
+    )
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
