@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.session import checkpointed
 
 _B, _S, _OFF = "__bucket", "__sub", "__offset"
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 2_000
 
 
 def _bucket_index(bounds: Column, value: Column) -> Column:

@@ -230,25 +230,24 @@ def assign_in_order(candidates: DataFrame, max_rounds: int | None = None) -> Dat
     edges of later POS rows to it can be dropped for good. Rounds repeat until
     no offer is refused.
     """
-    edges = candidates
+    edges = checkpointed(candidates)
     rounds = 0
     while True:
         offers = edges.groupBy("member_id", "pos_order").agg(
             F.min(F.struct("app_order", "app_member_id")).alias("pick")
         ).select("member_id", "pos_order", "pick.app_order", "pick.app_member_id")
         held = offers.groupBy("app_member_id").agg(F.min("pos_order").alias("held_by"))
-        kept = checkpointed(
-            edges.join(held, "app_member_id", "left")
-            .filter(F.col("held_by").isNull() | (F.col("pos_order") <= F.col("held_by")))
-            .drop("held_by")
-        )
-        rounds += 1
         refused = offers.join(held, "app_member_id").filter(F.col("pos_order") > F.col("held_by"))
+        rounds += 1
         if refused.isEmpty():
             return offers.select("member_id", "app_member_id")
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"assignment not settled after {rounds} rounds")
-        edges = kept
+        edges = checkpointed(
+            edges.join(held, "app_member_id", "left")
+            .filter(F.col("held_by").isNull() | (F.col("pos_order") <= F.col("held_by")))
+            .drop("held_by")
+        )
 
 
 def resolve_identities(

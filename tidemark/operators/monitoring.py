@@ -105,10 +105,10 @@ def psi_table(
     ref = both.filter(F.col("nr") > 0)
     probs = [i / bins for i in range(bins + 1)]
     q = exact_quantiles(ref, ["feature"], "value", probs, weight="nr")
-    # One fixed-length array per feature.
-    edges = q.groupBy("feature").agg(
+    # One fixed-length array per feature, kept because two joins read it.
+    edges = checkpointed(q.groupBy("feature").agg(
         F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges")
-    )
+    ))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     axis = edges.withColumn("inner", inner).drop("edges").withColumn("n_edges", F.size("inner") + 2)
     binned = (
