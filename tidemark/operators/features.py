@@ -81,7 +81,8 @@ def _panel_partitions(people: DataFrame, first_day: Column, last_day: Column, ro
     """
     days = F.greatest(F.datediff(last_day, first_day) + 1, F.lit(0))
     total = people.agg(F.coalesce(F.sum(days), F.lit(0))).first()[0]
-    floor = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = people.sparkSession
+    floor = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return max(floor, -(-total // rows_per_task))
 
 
