@@ -1 +1,8 @@
 """Operators for preparing language-model training data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the plan: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
