@@ -12,7 +12,7 @@ import string
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.skew import each_lot, frequent_keys, join_by_key, lot_of, with_lots
+from tidemark.llm.skew import each_lot, frequent_keys, join_by_key, lot_of, packed, with_lots
 from tidemark.session import checkpointed
 
 BLOCK_BYTES = 2048
@@ -101,8 +101,7 @@ def exact_groups(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFram
 
 def drop_exact_copies(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, all its columns, with one row of each group of equal texts (see ``exact_groups``)."""
-    kept = exact_groups(docs, block_bytes=block_bytes).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_kept_sha"))
-    tagged = docs.withColumn("_sha", F.unhex(F.sha2(normalised().cast("binary"), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    kept = exact_groups(docs, block_bytes=block_bytes).filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    rows = packed(docs, _id=F.col("doc_id"), _sha=F.unhex(F.sha2(normalised().cast("binary"), 256)))
+    same = F.col("_id").eqNullSafe(kept["doc_id"]) & (F.col("_sha") == kept["sha"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_row.*")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.skew import join_by_key
+from tidemark.llm.skew import join_by_key, packed
 from tidemark.session import checkpointed
 
 SHINGLE_WORDS, SEED, MAX_DISTANCE = 4, 42, 4
@@ -202,6 +202,6 @@ def drop_near_copies(docs: DataFrame, *, distance: int = MAX_DISTANCE) -> DataFr
     """
     groups = near_groups(docs, distance=distance)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    with_id = named.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.unionByName(named.filter(F.col("doc_id").isNull()))
+    named = packed(docs, _doc=F.col("doc_id")).join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    with_id = named.filter(F.col("_doc").isNotNull()).dropDuplicates(["_doc"])
+    return with_id.unionByName(named.filter(F.col("_doc").isNull())).select("_row.*")

@@ -13,6 +13,11 @@ LOT_ROWS = 256
 LIST_LIMIT = 1 << 18
 
 
+def packed(docs: DataFrame, **derived: Column) -> DataFrame:
+    """``docs`` as one struct column ``_row``, so that derived columns cannot clash with its own."""
+    return docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in derived.items()))
+
+
 def frequent_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     """Hashes of the frequent keys with the number of lots for each, or None if there are none.
 
