@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, mixing, quality, simhash
+from tidemark.llm import bpe, chat, exact_dedup, mixing, pivot_search, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +49,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op7_pivot_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -59,6 +82,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as one record per turn, and one more as a record of messages."""
+    control = [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]
+    extra = spark.createDataFrame([(-1, json.dumps({"messages": control}))], "conv_id long, record string")
+    records = chat.turn_records(table(spark, sf_dir, "conversations")).unionByName(extra)
+    return chat.read_back(chat.formatted_turns(chat.canonical_turns(records)))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
