@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.hashing import STEP, word_hashes
+
 # Labelled rows the model is fitted on at most, the ones with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 SLOTS = 1 << 17
 THRESHOLD = 0.3
-_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -52,21 +54,11 @@ def indicators(text: bytes | None) -> np.ndarray:
             break
         gram = (gram[:-1] << np.uint64(8)) | b[n - 1:]
         seen[_slots(gram, n)] = True
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    inside = np.concatenate(([False], ~space, [False])).astype(np.int8)
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if len(starts):
-        lengths = ends - starts
-        begins = np.zeros(len(b), np.int64)
-        begins[starts] = starts
-        at = np.arange(len(b)) - np.maximum.accumulate(begins)
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(lengths.max()), _STEP))))
-        value = np.where(space, np.uint64(0), (b + np.uint64(1)) * powers[np.minimum(at, len(powers) - 1)])
-        word = np.add.reduceat(value, starts) + lengths.astype(np.uint64)
+    word = word_hashes(text)
+    if len(word):
         seen[_slots(word, 5)] = True
         if len(word) > 1:
-            seen[_slots(word[:-1] * _STEP + word[1:], 6)] = True
+            seen[_slots(word[:-1] * STEP + word[1:], 6)] = True
             again = (word[1:] == word[:-1]).astype(np.uint64)
             for n in (1, 2, 3):
                 if len(again) >= n:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, exact_dedup, mixing, pivot_search, quality, simhash
+from tidemark.llm import (
+    bpe, chat, exact_dedup, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,11 +46,47 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.removed_words(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_phrase_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, at, array_to_string(words[at:at + 19], ' ') AS phrase
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM d WHERE len(words) >= 20)
+), again AS (
+  SELECT doc_id, at FROM (
+    SELECT doc_id, at, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, at) AS place FROM w)
+  WHERE place > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT i) AS removed FROM (SELECT doc_id, unnest(range(at, at + 20)) AS i FROM again) GROUP BY doc_id
+), cut AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(len(removed), 0) AS n_removed, words, removed
+  FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d
+  ) x ANTI JOIN (SELECT doc_id, unnest(removed) AS i FROM gone) y USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT cut.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN left_over ON left_over.doc_id = cut.doc_id
+"""
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_inner_products(table(spark, sf_dir, "embeddings"))
@@ -91,6 +129,24 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted_turns(chat.canonical_turns(records)))
 
 
+_MARKS = " + ".join(
+    f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in (*chat.CONTROL, "\\"))
+ORACLE["op9_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(chat.OPEN + chat.BODY + chat.CLOSE) + 1} + length(role) + length(text)
+                + {_MARKS.format("role")} + {_MARKS.format("text")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))

@@ -21,14 +21,18 @@ def packed(docs: DataFrame, **derived: Column) -> DataFrame:
 def frequent_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     """Hashes of the frequent keys with the number of lots for each, or None if there are none.
 
-    Only hashes and counts are shuffled, after map-side sums. When more than ``LIST_LIMIT``
-    keys pass ``FREQUENT_ROWS``, the limit is doubled until the list fits; the keys left out are
-    then less frequent than about one in ``LIST_LIMIT`` of all rows.
+    Only hashes and counts are shuffled, after map-side sums.
     """
-    counts = (
-        rows.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > FREQUENT_ROWS))
-    counts = checkpointed(counts)
+    return _listed(rows.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _listed(counts: DataFrame) -> DataFrame | None:
+    """The list for (_hash, _n) counts.
+
+    When more than ``LIST_LIMIT`` keys pass ``FREQUENT_ROWS``, the limit is doubled until the list
+    fits; the keys left out are then less frequent than about one in ``LIST_LIMIT`` of all rows.
+    """
+    counts = checkpointed(counts.filter(F.col("_n") > FREQUENT_ROWS))
     by_size = sorted(
         (r["size"], r["keys"]) for r in
         counts.groupBy(F.floor(F.log2(F.col("_n") - 1)).alias("size")).agg(F.count(F.lit(1)).alias("keys")).collect())
@@ -59,12 +63,15 @@ def each_lot(table: DataFrame) -> DataFrame:
     return table.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_lots"), F.lit(1)) - F.lit(1).cast("long")))).drop("_lots")
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner",
+                sizes: str | None = None) -> DataFrame:
     """Join rows with a table of one row per key; the rows of a frequent key go to several tasks.
 
-    ``spread`` tells rows of one key apart (an id). Keys must not be null.
+    ``spread`` tells rows of one key apart (an id). Keys must not be null. If a column of ``table``
+    has the number of rows of its key, ``sizes`` names it and the rows need not be counted.
     """
-    frequent = frequent_keys(rows, keys)
+    frequent = frequent_keys(rows, keys) if sizes is None else _listed(
+        table.select(F.xxhash64(*keys).alias("_hash"), F.col(sizes).cast("long").alias("_n")))
     if frequent is None:
         return rows.join(table, keys, how)
     left = with_lots(rows, keys, frequent).withColumn("_lot", lot_of(spread)).drop("_lots")
