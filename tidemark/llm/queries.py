@@ -55,14 +55,14 @@ ORACLE["op4_phrase_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
-  SELECT doc_id, at, array_to_string(words[at:at + 19], ' ') AS phrase
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM d WHERE len(words) >= 20)
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS phrase
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)
 ), again AS (
-  SELECT doc_id, at FROM (
-    SELECT doc_id, at, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, at) AS place FROM w)
+  SELECT doc_id, i AS first FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS place FROM w)
   WHERE place > 1
 ), gone AS (
-  SELECT doc_id, list(DISTINCT i) AS removed FROM (SELECT doc_id, unnest(range(at, at + 20)) AS i FROM again) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT i) AS removed FROM (SELECT doc_id, unnest(range(first, first + 20)) AS i FROM again) GROUP BY doc_id
 ), cut AS (
   SELECT d.doc_id, len(words) AS n_words, coalesce(len(removed), 0) AS n_removed, words, removed
   FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
@@ -94,10 +94,10 @@ def op7_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op7_pivot_search"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))::BIGINT) AS v
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE))::BIGINT FOR x IN embedding] AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
