@@ -41,6 +41,17 @@ def test_chain_intact_edited_deleted_malformed(spark, tmp_path):
     assert _verify(spark, tmp_path, lines[:2] + ["{oops"] + lines[2:])[:2] == (False, 3)
 
 
+@pytest.mark.parametrize("edit", [
+    lambda line: line[:-1] + ', "note": "forged"}', lambda line: line + " trailing", lambda line: line + "]", lambda line: line + "} x",
+    lambda line: line + "," + line, lambda line: json.dumps({k: v for k, v in json.loads(line).items() if k != "reason"}),
+    lambda line: line[:-1] + ', "outcome": "success"}', lambda line: "[" + line + "]",
+])
+def test_chain_edits_of_one_line(spark, tmp_path, edit):
+    lines = _chain()
+    assert _verify(spark, tmp_path, lines[:6] + [edit(lines[6])] + lines[7:])[:2] == (False, 7)
+    assert _verify(spark, tmp_path, lines[:6] + [lines[6] + "  "] + lines[7:]) == (True, None, 12)
+
+
 def test_auth_log_reader_skips_malformed(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(_chain(3) + ["{oops"]) + "\n")
     assert tables.read_auth_log(spark, str(tmp_path / "a.log")).count() == 3

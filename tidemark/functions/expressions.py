@@ -166,21 +166,10 @@ def in_holdout(member_id: Column, salt: str, modulus: int = 10) -> Column:
 
 
 def hash_bernoulli(member_id: Column, rate_pct: Column, suffix: str) -> Column:
-    """First eight hex digits of the suffixed hash, mod 100, below the rate."""
+    """A fixed draw per id: first eight hex digits of the suffixed hash, mod 100, below the rate."""
     return _hex_to_long(F.left(salted_hash(member_id, suffix), F.lit(8))) % 100 < rate_pct
 
 
-def hash_mod_15(value: Column) -> Column:
-    """Whole sha-256 as a number mod 15. Since 16 = 1 (mod 15) the digit sum decides."""
-    digest = F.sha2(value, 256)
-    counts = [
-        F.length(digest) - F.length(F.replace(digest, F.lit(d), F.lit("")))
-        for d in "123456789abcde"
-    ]
-    total = reduce(lambda a, b: a + b, [n * (i + 1) for i, n in enumerate(counts)])
-    return total % 15
-
-
 # --- contact normalisation ---------------------------------------------------
 
 def normalize_email(email: Column, fold_gmail: bool = False) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when
@@ -69,16 +69,18 @@ def record_hash(prev: Column, fields: list[str] = CHAIN_FIELDS) -> Column:
     return F.sha2(F.concat(prev, _ascii_json(body)), 256)
 
 
-def check_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH) -> DataFrame:
+def check_hash_chain(
+    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Each record with ``linked`` (it follows its predecessor's hash) and ``intact``
     (linked, and its own hash is right).
 
     The predecessor is found by an equi join on the dense sequence number, so no
     task needs the whole log in order. A record whose hash is null (a malformed
-    line) is itself a break.
+    line) is itself a break. ``by`` names the columns that tell several chains apart.
     """
-    before = log.select((F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
-    joined = log.join(before, seq, "left").withColumn(
+    before = log.select(*by, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
+    joined = log.join(before, [*by, seq], "left").withColumn(
         "__prev", F.when(F.col(seq) == 1, F.lit(genesis)).otherwise(F.col("__before"))
     )
     linked = F.coalesce(F.col("prev_hash") == F.col("__prev"), F.lit(False))
@@ -86,18 +88,31 @@ def check_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENES
     return joined.withColumns({"linked": linked, "intact": linked & right}).drop("__before", "__prev")
 
 
-def verify_hash_chain(log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH) -> DataFrame:
-    """Whether the chain holds, the first broken position and the record count (one row)."""
+def verify_hash_chain(
+    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Whether each chain holds, its first broken position and its record count (one row per chain)."""
     broken = F.min(F.when(~F.col("intact"), F.col(seq)))
-    return check_hash_chain(log, seq=seq, genesis=genesis).agg(
+    return check_hash_chain(log, seq=seq, genesis=genesis, by=by).groupBy(*by).agg(
         broken.isNull().alias("ok"), broken.alias("first_broken"), F.count(F.lit(1)).alias("records")
     )
 
 
 def parse_auth_lines(lines: DataFrame) -> DataFrame:
-    """Numbered text lines to auth records; a malformed line keeps its number with null fields."""
+    """Numbered text lines to auth records; a malformed line keeps its number with null fields.
+
+    A line that is not one JSON object from start to end, or whose keys are not exactly the record's
+    fields, keeps its fields but has no hash, so it breaks a chain.
+    """
     rec = F.from_json("value", C.AUTH_LOG_SCHEMA)
-    return lines.select("seq", "line", rec.alias("r")).select("seq", "line", "r.*")
+    # What may follow the object differs between the two wrappings: only blanks pass both.
+    listed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(C.AUTH_LOG_SCHEMA))
+    held = F.from_json(F.concat(F.lit('{"r":'), "value", F.lit("}")), T.StructType([T.StructField("r", C.AUTH_LOG_SCHEMA)]))
+    keys = F.array_sort(F.json_object_keys("value"))
+    fields = F.array(*[F.lit(f) for f in sorted(C.AUTH_LOG_SCHEMA.fieldNames())])
+    whole = (F.size(listed) == 1) & held["r"].isNotNull() & (keys == fields)
+    return lines.select("seq", "line", rec.alias("r"), whole.alias("__whole")).select("seq", "line", "r.*", "__whole").withColumn(
+        "hash", F.when(F.col("__whole"), F.col("hash"))).drop("__whole")
 
 
 # --- lockout ---------------------------------------------------------------------

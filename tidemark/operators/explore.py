@@ -31,11 +31,11 @@ def booking_heatmap(sessions: DataFrame, ts: str = "scheduled_at") -> DataFrame:
 
 
 def active_at_month(
-    members: DataFrame, ground_truth: DataFrame, *, first: str, last: str
+    members: DataFrame, ground_truth: DataFrame, *, first: Column, last: Column
 ) -> DataFrame:
     """Active members at each month end per cohort.
 
-    Active means joined by then and not churned by then. Counting joins and
+    ``first`` and ``last`` are days in the months to report. Active means joined by then and not churned by then. Counting joins and
     departures per month and summing forward replaces a join of every member
     with every month; the running sum works on cohorts times months.
     """
@@ -61,7 +61,7 @@ def active_at_month(
     net = moves.groupBy("cohort", "month").agg(F.sum("n").alias("n"))
     axis = people.select("cohort").distinct().select(
         "cohort",
-        F.explode(F.sequence(F.last_day(F.lit(first).cast("date")), F.last_day(F.lit(last).cast("date")),
+        F.explode(F.sequence(F.last_day(first), F.last_day(last),
                              F.expr("interval 1 month"))).alias("__m"),
     ).select("cohort", F.last_day("__m").alias("month"), F.lit(0).cast("long").alias("n"))
     running = W.partitionBy("cohort").orderBy("month").rangeBetween(W.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, in_holdout
+from tidemark.session import checkpointed
 
 ESCALATION = {"Email": "SMS", "SMS": "Call"}
 
@@ -77,9 +78,12 @@ def channel_escalation(default: Column, rates: DataFrame | None, *, threshold: f
     if rates is None:
         return default
 
+    known = rates.filter(F.col("action_type").isin(list(ESCALATION))).groupBy("action_type").agg(
+        F.max("positive_rate").alias("rate")
+    ).agg(F.map_from_entries(F.collect_list(F.struct("action_type", "rate")))).scalar()
+
     def rate(channel: str) -> Column:
-        known = rates.filter(F.col("action_type") == channel).agg(F.max("positive_rate")).scalar()
-        return F.coalesce(known, F.lit(1.0))
+        return F.coalesce(F.try_element_at(known, F.lit(channel)), F.lit(1.0))
 
     chain = None
     for channel, higher in ESCALATION.items():
@@ -166,10 +170,11 @@ def dispatch_stats(decisions: DataFrame) -> DataFrame:
     )
 
 
-def _capped(decisions: DataFrame, audit: DataFrame, now, live: bool, cap: int) -> DataFrame:
-    if not live:
+def _capped(decisions: DataFrame, audit: DataFrame, now, live: bool, cap: int | None) -> DataFrame:
+    """Live decisions up to the cap; ``None`` sets none. Decisions are made once, then read twice."""
+    if not live or cap is None:
         return decisions
-    out = send_cap(decisions, prior=prior_hour_sent(audit, now), cap=cap)
+    out = send_cap(checkpointed(decisions), prior=prior_hour_sent(audit, now), cap=cap)
     return out.withColumn("status", F.when(~F.col("halted"), F.col("status"))).drop("halted")
 
 
@@ -212,7 +217,7 @@ def _with_cooldown(df: DataFrame, audit: DataFrame, now, days: int) -> DataFrame
 
 def route_churn_actions(
     scores: DataFrame, identity: DataFrame, features: DataFrame, audit: DataFrame,
-    rates: DataFrame | None, *, now, holdout_salt: str, live: bool = False, cap: int = 50,
+    rates: DataFrame | None, *, now, holdout_salt: str, live: bool = False, cap: int | None = 50,
     cooldown_days: int = 7, threshold: float = 0.10, default_studio: str = "S01",
     brand: str = "your studio", voucher: str = "RECOVERY",
 ) -> DataFrame:
@@ -363,7 +368,7 @@ SEGMENT_CAMPAIGNS = {
 
 def route_segment_actions(
     engagement: DataFrame, identity: DataFrame, audit: DataFrame, *, now, holdout_salt: str,
-    live: bool = False, cap: int = 50, cooldown_days: int = 7, default_studio: str = "S01",
+    live: bool = False, cap: int | None = 50, cooldown_days: int = 7, default_studio: str = "S01",
     brand: str = "your studio",
 ) -> DataFrame:
     """Segment campaigns with holdout, then cooldown, then cap."""

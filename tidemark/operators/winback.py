@@ -5,26 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark import contracts as C
-from tidemark.functions.expressions import hash_bernoulli, hash_mod_15
 from tidemark.operators.revenue import ranked
 
 
-def hash_reactivations(
-    lifecycle: DataFrame, *, suffix: str = "winback", low_pct: int = 8
-) -> DataFrame:
-    """Deterministic stand-in outcome per eligible member: a studio rate of 8-22 percent."""
-    rate = low_pct + hash_mod_15(F.col("home_studio_id"))
-    return (
-        lifecycle.filter(F.col("stage") == "win_back_eligible")
-        .withColumn("studio_target_rate_pct", rate)
-        .select(
-            "hashed_member_id", "member_id", "home_studio_id", "monthly_price",
-            "studio_target_rate_pct",
-            hash_bernoulli(F.col("member_id"), F.col("studio_target_rate_pct"), suffix).alias("reactivated"),
-        )
-    )
-
-
 def observed_reactivations(history: DataFrame) -> DataFrame:
     """Members whose stage went from cancelled to active between consecutive snapshots.
 

@@ -111,9 +111,25 @@ class Frames:
     def lifetime(self) -> DataFrame:
         return revenue.avg_lifetime_months(self.orders["members"], self.orders["ground_truth"])
 
+    @cached_property
+    def order_history(self) -> DataFrame:
+        """Order years as snapshots: a year without orders is cancelled, with orders engaged."""
+        years = self.raw("orders").select(
+            F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).distinct()
+        bounds = years.agg(F.sequence(F.min("y"), F.max("y"))).scalar()
+        axis = self.raw("customer").select(
+            F.col("c_custkey").alias("k"), "c_nationkey", F.explode(bounds).alias("y"))
+        return axis.join(years.withColumn("hit", F.lit(1)), ["k", "y"], "left").select(
+            F.sha2(F.col("k").cast("string"), 256).alias("hashed_member_id"),
+            F.col("k").cast("string").alias("member_id"),
+            B.studio_id(F.col("c_nationkey")).alias("home_studio_id"),
+            F.lit(59.0).alias("monthly_price"),
+            F.when(F.col("hit") == 1, "engaged").otherwise("cancelled").alias("stage"),
+            F.make_date("y", F.lit(12), F.lit(31)).alias("snapshot_date"))
+
     @cached_property
     def reactivations(self) -> DataFrame:
-        return winback.hash_reactivations(self.life_now)
+        return winback.observed_reactivations(self.order_history)
 
     @cached_property
     def board(self) -> DataFrame:

@@ -27,7 +27,8 @@ _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 # --- scans and sinks
 check("scan_parquet", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}"
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]))
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]))
 check("scan_projected", "SELECT l_returnflag, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1")
 check("scan_by_mode", "SELECT o_orderstatus, count(*) AS rows FROM orders GROUP BY 1")
 check("stage_studios", """
@@ -305,11 +306,13 @@ FROM (SELECT m AS month, count(*) FILTER (dur >= m - 1) AS at_risk,
       THEN 1 - count(*) FILTER (churned AND dur >= m - 1 AND dur < m) / CAST(count(*) FILTER (dur >= m - 1) AS DOUBLE) ELSE 1.0 END AS step
   FROM (SELECT churned, greatest((coalesce(churn_date, (SELECT as_of_date FROM o_as_of)) - join_date) / 30.44, 0) AS dur FROM o_members),
     range(1, 85) t(m) GROUP BY m)""")
-_REACT = """(SELECT hashed_member_id, member_id, home_studio_id, monthly_price, rate AS studio_target_rate_pct,
-    CAST('0x' || left(sha256(member_id || 'winback'), 8) AS BIGINT) % 100 < rate AS reactivated
-  FROM (SELECT *, 8 + CAST(list_sum(list_transform(string_split(sha256(home_studio_id), ''), lambda x: CAST('0x' || x AS INTEGER))) AS BIGINT) % 15 AS rate
-    FROM life_now WHERE stage = 'win_back_eligible'))"""
-check("hash_bernoulli", f"SELECT * FROM {_REACT}")
+_REACT = """(SELECT sha256(CAST(k AS VARCHAR)) AS hashed_member_id, CAST(k AS VARCHAR) AS member_id, 'S' || lpad(CAST(nk AS VARCHAR), 2, '0') AS home_studio_id,
+  59.0 AS monthly_price, bool_or(before = FALSE AND hit) AS reactivated, min(CASE WHEN before = FALSE AND hit THEN y || '-12-31' END) AS reactivated_at
+FROM (SELECT k, nk, y, hit, coalesce(lag(hit) OVER (PARTITION BY k ORDER BY y), TRUE) AS before
+  FROM (SELECT c_custkey AS k, c_nationkey AS nk, y, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = y) AS hit
+    FROM customer, (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders)))
+GROUP BY k, nk HAVING bool_or(NOT hit))"""
+check("hash_bernoulli", "SELECT member_id, CAST('0x' || left(sha256(member_id || 'survey'), 8) AS BIGINT) % 100 < 15 AS drawn FROM identity")
 _BOARD = f"""(SELECT home_studio_id, eligible, reactivated, recovered_mrr, reactivation_rate, recovered_annual,
     CASE WHEN sum(recovered_annual) OVER () > 0 THEN round(recovered_annual / sum(recovered_annual) OVER () * (sum(recovered_annual) OVER () * 0.1), 2) ELSE 0 END AS bonus_award,
     row_number() OVER (ORDER BY reactivation_rate DESC, recovered_mrr DESC, home_studio_id) AS rank
@@ -322,13 +325,7 @@ SELECT round(coalesce(sum(recovered_annual), 0) * 0.1, 2) AS bonus_pool, round(c
   arg_min(home_studio_id, rank) AS champion_studio, coalesce(arg_min(reactivation_rate, rank), 0) AS champion_rate FROM {_BOARD}""")
 check("studio_rank", f"""
 SELECT home_studio_id, rank, count(*) OVER () AS of, reactivation_rate, reactivated, eligible, recovered_mrr, bonus_award FROM {_BOARD}""")
-check("observed_reactivations", """
-SELECT sha256(CAST(k AS VARCHAR)) AS hashed_member_id, CAST(k AS VARCHAR) AS member_id, CAST(nk AS VARCHAR) AS home_studio_id,
-  59.0 AS monthly_price, bool_or(before = FALSE AND hit) AS reactivated, min(CASE WHEN before = FALSE AND hit THEN y || '-12-31' END) AS reactivated_at
-FROM (SELECT k, nk, y, hit, coalesce(lag(hit) OVER (PARTITION BY k ORDER BY y), TRUE) AS before
-  FROM (SELECT c_custkey AS k, c_nationkey AS nk, y, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = y) AS hit
-    FROM customer, range(1995, 2002) t(y)))
-GROUP BY k, nk HAVING bool_or(NOT hit)""")
+check("observed_reactivations", f"SELECT * FROM {_REACT}")
 check("studio_health", f"""
 SELECT home_studio_id, n AS active_members, round(rr, 6) AS retention_rate, round(os, 6) AS outcome_success,
   CAST(greatest(0, least(100, floor(round(rr * 0.5 + os * 0.3 + least(100, rr * 1.1) * 0.2, 9)))) AS INTEGER) AS health_score
@@ -495,7 +492,7 @@ SELECT count(*) FILTER (age < 14 OR age > 60) AS invalid_age, count(*) FILTER (a
   count(*) FILTER (days_since_last_session < 0) AS invalid_idle FROM mart""")
 check("label_distribution", "SELECT is_churned_14d AS label, count(*) AS rows FROM mart GROUP BY 1")
 check("dq_label_binary", "SELECT count(DISTINCT is_churned_14d) AS label_values, count(DISTINCT is_churned_14d) = 2 AS is_binary FROM mart")
-check("dq_pii_values", "SELECT count(*) AS leaked_values FROM snap WHERE gender = 'Other'")
+check("dq_pii_values", "SELECT count(*) AS leaked_values FROM mart WHERE gender = 'Other'")
 check("dq_foreign_keys", " UNION ALL ".join(
     f"SELECT '{label}.{fk}' AS foreign_key, count(*) AS orphans FROM {child} WHERE {fk} NOT IN (SELECT {pk} FROM {parent})"
     for label, child, fk, parent, pk in [
@@ -677,7 +674,7 @@ SELECT feature, round(psi, 6) AS psi FROM {_psi("l_shipdate < TIMESTAMP '1998-01
 check("retrain_decision", f"""
 SELECT '{NOW}' AS checked_at, round(dev, 4) AS calib_max_dev, round(mp, 4) AS max_psi, dev >= 0.15 OR mp >= 0.25 AS needs_retrain,
   coalesce(nullif(concat_ws('; ', CASE WHEN dev >= 0.15 THEN 'calibration deviation ' || printf('%.1f', dev * 100) || '% >= 15%' END,
-    CASE WHEN mp >= 0.25 THEN 'feature drift PSI ' || printf('%.2f', mp) || ' >= 0.25 (' || w || ')' END), ''), 'none') AS reasons, 'live' AS mode
+    CASE WHEN mp >= 0.25 THEN 'feature drift PSI ' || printf('%.2f', mp) || ' >= 0.25 (' || w || ')' END), ''), 'none') AS reasons, 'simulate-drift' AS mode
 FROM (SELECT (SELECT max(abs_deviation) FROM {_CALIB}) AS dev, max(psi) AS mp, arg_max(feature, (psi, feature)) AS w FROM {_DP})""")
 _RECORD = """SELECT 'v{n}' AS version_id, '2024-01-{d} 00:00:00' AS trained_at, 'manual' AS trigger, CAST(min(date_day) FILTER (inside) AS VARCHAR) AS train_window_start,
   CAST(max(date_day) FILTER (inside) AS VARCHAR) AS train_window_end, {n} AS window_months, count(*) FILTER (NOT is_churned_14d) AS train_rows,
@@ -704,7 +701,7 @@ SELECT CAST(w.i AS INTEGER) AS day_no, ['Monday','Tuesday','Wednesday','Thursday
 FROM range(0, 7) w(i) LEFT JOIN sessions s ON isodow(s.scheduled_at) - 1 = w.i GROUP BY w.i""")
 check("active_at_month", """
 SELECT cohort, CAST(last_day(CAST(m AS DATE)) AS VARCHAR) AS month, count(*) FILTER (join_date <= last_day(CAST(m AS DATE)) AND (NOT churned OR churn_date > last_day(CAST(m AS DATE)))) AS active_members
-FROM o_members, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH) t(m) GROUP BY 1, 2""")
+FROM o_members, (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) GROUP BY 1, 2""")
 check("fail_to_cancel_lag", """
 SELECT count(*) AS records, round(avg(churn_date - transaction_date), 6) AS mean_days, round(stddev_samp(churn_date - transaction_date), 6) AS std_days
 FROM transactions JOIN ground_truth USING (member_id)
@@ -730,8 +727,8 @@ SELECT 'ACr1' || left(hashed_member_id, 16) AS action_id, member_id, action_type
   CASE WHEN status <> 'Pending' THEN '{NOW}' END AS processed_at FROM {_D} WHERE status IS NOT NULL
 UNION ALL SELECT 'LCr1' || left(hashed_member_id, 16), member_id, action_type, status, '{NOW}', '{NOW}' FROM {_LQ}""")
 check("union_all_text", """
-SELECT value, count(*) AS n FROM (SELECT hashed_member_id AS value FROM snap UNION ALL SELECT gender FROM snap
-  UNION ALL SELECT home_studio_id FROM snap UNION ALL SELECT membership_tier FROM snap) GROUP BY 1""")
+SELECT value, count(*) AS n FROM (SELECT hashed_member_id AS value FROM mart UNION ALL SELECT gender FROM mart
+  UNION ALL SELECT home_studio_id FROM mart UNION ALL SELECT membership_tier FROM mart) GROUP BY 1""")
 check("union_distinct_pii", "SELECT name AS value FROM identity UNION SELECT email FROM identity UNION SELECT phone FROM identity")
 check("band_join", "SELECT audit_id, sessions_post_7d, sessions_post_14d, sessions_post_30d FROM outcomes")
 check("running_survival", """
@@ -760,7 +757,7 @@ _ACT_COUNTS = """count(*) AS events, count(*) FILTER (kind IN ('booked','attende
 check("stream_daily_activity", f"""
 SELECT member_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, {_ACT_COUNTS} FROM {_ACT} GROUP BY 1, 2""")
 check("stream_rolling_activity", f"""
-SELECT member_id, CAST(CAST(ts AS DATE) + CAST(o AS INTEGER) AS VARCHAR) AS date_day, {_ACT_COUNTS} FROM {_ACT}, range(0, 7) t(o) GROUP BY 1, 2""")
+SELECT member_id, CAST(CAST(ts AS DATE) + CAST(o AS INTEGER) AS VARCHAR) AS date_day, {_ACT_COUNTS} FROM {_ACT}, range(0, 30) t(o) GROUP BY 1, 2""")
 check("stream_send_rate_guard", f"""
 SELECT {_TS.format('ws')} AS window_start, {_TS.format("ws + INTERVAL 60 MINUTE")} AS window_end, count(*) AS sends
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, sent_at) - INTERVAL 5 MINUTE * o AS ws FROM audit, range(0, 12) t(o) WHERE status = 'Sent') GROUP BY ws HAVING count(*) > 2""")

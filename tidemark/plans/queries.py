@@ -59,7 +59,8 @@ def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 # --- scans and sinks ---------------------------------------------------------
 
-RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+       "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @query
@@ -120,9 +121,9 @@ def concat_append(f: Frames) -> DataFrame:
 
 @query
 def union_all_text(f: Frames) -> DataFrame:
-    """Occurrences of every text value of the snapshot."""
+    """Occurrences of every text value of the panel."""
     text = ["hashed_member_id", "gender", "home_studio_id", "membership_tier"]
-    return f.snapshot.select(F.explode(F.array(*text)).alias("value")).groupBy("value").agg(
+    return f.panel.select(F.explode(F.array(*text)).alias("value")).groupBy("value").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -567,7 +568,8 @@ def rank_first(f: Frames) -> DataFrame:
 
 @query
 def hash_bernoulli(f: Frames) -> DataFrame:
-    return f.reactivations
+    """A fixed 15 percent of the members, for instance for a survey."""
+    return f.identity.select("member_id", X.hash_bernoulli(F.col("member_id"), F.lit(15), "survey").alias("drawn"))
 
 
 @query
@@ -587,19 +589,7 @@ def studio_rank(f: Frames) -> DataFrame:
 
 @query
 def observed_reactivations(f: Frames) -> DataFrame:
-    """Order years as snapshots: a year without orders is cancelled, with orders engaged."""
-    years = f.raw("orders").select(
-        F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).distinct()
-    axis = f.raw("customer").select(F.col("c_custkey").alias("k"), "c_nationkey",
-                                    F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("y"))
-    history = axis.join(years.withColumn("hit", F.lit(1)), ["k", "y"], "left").select(
-        F.sha2(F.col("k").cast("string"), 256).alias("hashed_member_id"),
-        F.col("k").cast("string").alias("member_id"),
-        F.col("c_nationkey").cast("string").alias("home_studio_id"),
-        F.lit(59.0).alias("monthly_price"),
-        F.when(F.col("hit") == 1, "engaged").otherwise("cancelled").alias("stage"),
-        F.make_date("y", F.lit(12), F.lit(31)).alias("snapshot_date"))
-    return winback.observed_reactivations(history)
+    return f.reactivations
 
 
 @query
@@ -655,7 +645,7 @@ def send_cap(f: Frames) -> DataFrame:
 def running_send_count(f: Frames) -> DataFrame:
     """Number of each live send in the run's order, before any cap."""
     sends = routing.route_churn_actions(
-        f.scores, f.identity, f.snapshot, f.audit, None, now=NOW, holdout_salt=B.HOLDOUT_SALT, live=True, cap=10**6
+        f.scores, f.identity, f.snapshot, f.audit, None, now=NOW, holdout_salt=B.HOLDOUT_SALT, live=True, cap=None
     ).filter("counts_to_cap").select("hashed_member_id", "risk_score")
     return ranking.global_row_number(sends, "risk_score", "hashed_member_id", descending=True, out="sent_so_far")
 
@@ -802,7 +792,7 @@ def dq_label_binary(f: Frames) -> DataFrame:
 @query
 def dq_pii_values(f: Frames) -> DataFrame:
     """The panel with some contact names leaked into a text column."""
-    leaky = f.snapshot.join(f.identity.select("hashed_member_id", "name"), "hashed_member_id").withColumn(
+    leaky = f.panel.join(f.identity.select("hashed_member_id", "name"), "hashed_member_id").withColumn(
         "gender", F.when(F.col("gender") == "Other", F.col("name")).otherwise(F.col("gender"))).drop("name")
     return quality.dq_pii_values(leaky, f.identity)
 
@@ -1078,7 +1068,7 @@ def psi(f: Frames) -> DataFrame:
 @query
 def retrain_decision(f: Frames) -> DataFrame:
     calibration = monitoring.calibration_deciles(monitoring.mature_window(f.scored_panel, f.as_of))
-    return monitoring.retrain_decision(calibration, _drift(f, True), checked_at=f.now)
+    return monitoring.retrain_decision(calibration, _drift(f, True), checked_at=f.now, mode="simulate-drift")
 
 
 @query
@@ -1166,7 +1156,8 @@ def booking_heatmap(f: Frames) -> DataFrame:
 @query
 def active_at_month(f: Frames) -> DataFrame:
     o = f.orders
-    return explore.active_at_month(o["members"], o["ground_truth"], first="1995-01-31", last="2001-08-31")
+    return explore.active_at_month(o["members"], o["ground_truth"],
+        first=o["members"].agg(F.min("join_date")).scalar(), last=f.raw("orders").agg(F.max("o_orderdate")).scalar())
 
 
 @query
@@ -1192,7 +1183,7 @@ def stream_daily_activity(f: Frames) -> DataFrame:
 
 @query
 def stream_rolling_activity(f: Frames) -> DataFrame:
-    return streams.stream_rolling_activity(_stream_events(f), days=7)
+    return streams.stream_rolling_activity(_stream_events(f))
 
 
 @query

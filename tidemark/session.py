@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -12,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Keys of encrypted columns are literals of the plan; they are not shown.
+    "spark.sql.redaction.string.regex": "(?i)(aes_encrypt|aes_decrypt)\\([^)]*\\)",
     # Call-site capture per column expression only slows down plan building.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -27,21 +28,36 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see.
+
+    ``spark.checkpoint.dir`` if the cluster names one, else one below the warehouse. A local
+    warehouse serves only a local master; elsewhere it is an error, as executors would write to
+    their own disks.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is not None:
+        return named
+    folder = sc._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir")).getFileSystem(
+        sc._jsc.hadoopConfiguration()).makeQualified(
+        sc._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), "_tidemark")).toString()
+    if folder.startswith("file:") and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Materialise a frame in the shared folder. A frame that is a checkpoint already is returned as it is.
 
-    A folder is set here only where none is configured, as in local tests. A frame
-    that is a checkpoint already is returned as it is.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes the files when the frame is no
+    longer referenced.
     """
     if getattr(df, "_tidemark_checkpoint", False):
         return df
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        sc.setCheckpointDir(configured)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
     out._tidemark_checkpoint = True
     return out

@@ -18,7 +18,7 @@ def _member_id(key: Column) -> Column:
     return F.concat(F.lit("M"), F.lpad(key.cast("string"), 10, "0"))
 
 
-def _studio_id(key: Column) -> Column:
+def studio_id(key: Column) -> Column:
     return F.concat(F.lit("S"), F.lpad(key.cast("string"), 2, "0"))
 
 
@@ -74,7 +74,7 @@ def activity_domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ).alias("phone"),
         _pick(k % 3, ["F", "M", "Other"]).alias("gender"),
         F.date_add(F.lit("1960-01-01").cast("date"), (k * 37 % 14000).cast("int")).alias("dob"),
-        _studio_id(F.col("c_nationkey")).alias("home_studio_id"),
+        studio_id(F.col("c_nationkey")).alias("home_studio_id"),
         join_date.alias("join_date"),
         yes,
     )
@@ -89,7 +89,7 @@ def activity_domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     memberships = customer.select(
         F.concat(F.lit("MB"), F.lpad(k.cast("string"), 10, "0")).alias("membership_id"),
         _member_id(k).alias("member_id"),
-        _studio_id(F.col("c_nationkey")).alias("studio_id"),
+        studio_id(F.col("c_nationkey")).alias("studio_id"),
         _tier().alias("membership_tier"),
         _price().alias("monthly_price"),
         join_date.alias("start_date"),
@@ -99,7 +99,7 @@ def activity_domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     e = F.col("event_id")
     who = _member_id(F.col("user_id")).alias("member_id")
-    studio = _studio_id(F.col("user_id") % 25).alias("studio_id")
+    studio = studio_id(F.col("user_id") % 25).alias("studio_id")
 
     def of(kind: str) -> DataFrame:
         return events.filter(F.col("event_type") == kind)
@@ -109,11 +109,11 @@ def activity_domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     return {
         "studios": nation.select(
-            _studio_id(F.col("n_nationkey")).alias("studio_id"),
+            studio_id(F.col("n_nationkey")).alias("studio_id"),
             F.col("n_name").alias("studio_name"),
             F.lit(None).cast("string").alias("address"),
             F.lit(None).cast("string").alias("city"),
-            _studio_id(F.col("n_regionkey")).alias("state"),
+            studio_id(F.col("n_regionkey")).alias("state"),
             F.lit(None).cast("string").alias("zip_code"),
             yes,
         ),
@@ -221,7 +221,7 @@ def order_domain(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     gone = F.col("last_date") < cut
     return {
         "members": joined.select(
-            member, "join_date", _studio_id(F.col("c_nationkey")).alias("home_studio_id"),
+            member, "join_date", studio_id(F.col("c_nationkey")).alias("home_studio_id"),
             _price().alias("monthly_price"),
         ),
         "ground_truth": joined.select(

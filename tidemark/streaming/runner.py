@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import shared_folder
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder, or a local one in tests."""
-    root = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or tempfile.gettempdir()
-    )
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
