@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    bpe, chat, exact_dedup, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash,
+    bpe, chat, exact_dedup, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ FROM d WINDOW same AS (PARTITION BY t)
 """
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")))
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
