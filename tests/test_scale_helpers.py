@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranking
 from tidemark.functions.ranking import exact_quantiles, global_row_number, group_row_number, running_totals
 from tidemark.operators import evaluation, identity, monitoring
 
@@ -51,6 +52,19 @@ def test_running_totals(spark):
     assert got == want
 
 
+def test_bucket_count_follows_the_rows(spark, monkeypatch):
+    rows, df = _scored(spark)
+    assert ranking.bucket_count(df) == ranking.LEAST_BUCKETS
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 10)
+    assert ranking.bucket_count(df) == 300 and ranking.bucket_count(df.limit(1000)) == 100
+    monkeypatch.setattr(ranking, "MOST_BUCKETS", 200)
+    assert ranking.bucket_count(df) == 200
+    got = {r.row_key: r.row_number for r in global_row_number(df, "churn_probability", "row_key").collect()}
+    assert got == {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    q = exact_quantiles(df.withColumn("g", F.lit(1)), ["g"], "churn_probability", [0.1, 0.5, 0.999]).collect()
+    assert {r.prob: r.quantile for r in q} == {p: pytest.approx(np.quantile([r[1] for r in rows], p)) for p in (0.1, 0.5, 0.999)}
+
+
 def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     data = {"cont": rng.normal(size=777), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([2.5])}

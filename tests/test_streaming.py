@@ -74,4 +74,12 @@ def test_lockout_stream(spark, tmp_path):
     rows += [("slow", at(m), "failure") for m in (0, 10, 20, 30, 40)]
     df = spark.createDataFrame(rows, "username string, ts timestamp, outcome string")
     out = run_available(lockout.stream_lockout(_stream(spark, df, tmp_path / "l")), "lock").collect()
-    assert sorted((r.username, r.locked_at) for r in out) == [("eve", at(4)), ("eve", at(34))]
+    assert sorted((r.key_value, r.locked_at, r.failures) for r in out) == [("eve", at(4), 5), ("eve", at(34), 5)]
+
+
+def test_lockout_stream_by_source_counts_all(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1, 10)
+    rows = [(f"u{i}", base + dt.timedelta(minutes=i // 9), "failure", "s1") for i in range(18)] + [("u1", base, "failure", "unknown")] * 3
+    df = spark.createDataFrame(rows, "username string, ts timestamp, outcome string, source string")
+    out = run_available(lockout.stream_lockout(_stream(spark, df, tmp_path / "s")), "lock-source").collect()
+    assert [(r.key_type, r.key_value, r.locked_at, r.failures) for r in out] == [("source", "s1", base, 9)]

@@ -1,8 +1,8 @@
 """Exact global ranks, running totals and quantiles without a one-task sort.
 
-Values are split into buckets by a fixed-size quantile sketch. Bucket totals
-(a table whose size is set by the bucket count, not by the data) give each
-bucket its starting offset, and the exact order is resolved inside buckets in
+Values are split into buckets by a quantile sketch. The number of buckets and the
+sketch's accuracy follow the number of rows, up to ``MOST_BUCKETS``. Bucket totals
+give each bucket its starting offset, and the exact order is resolved inside buckets in
 parallel. Rows with equal values are split further by a hashed tie-break, so
 one value held by a third of all rows is still spread over many tasks.
 """
@@ -14,7 +14,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.session import checkpointed
 
 _B, _S, _OFF = "__bucket", "__sub", "__offset"
-SKETCH_ACCURACY = 2_000
+# Rows a bucket is meant for, and the least and most buckets. The most bounds the offset tables
+# (257 rows a bucket) and with them what is broadcast.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 200_000, 64, 4_096
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for a materialised frame."""
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-rows.count() // BUCKET_ROWS)))
+
+
+def _accuracy(buckets: int) -> int:
+    return max(2_000, 10 * buckets)
 
 
 def _bucket_index(bounds: Column, value: Column) -> Column:
@@ -32,21 +43,33 @@ def _search(edges: list, value: Column, low: int = 0, high: int | None = None) -
     )
 
 
+def _bucket_of(edges: list, value: Column, coarse: int = 64) -> Column:
+    """Number of edges below the value: a search over every n-th edge, then within its stretch."""
+    if len(edges) <= coarse:
+        return _search(edges, value)
+    step = -(-len(edges) // coarse)
+    parts = [edges[i:i + step] for i in range(0, len(edges), step)]
+    part = _search([p[-1] for p in parts[:-1]], value)
+    rest = F.element_at(F.array(*[F.array(*[F.lit(e) for e in p]) for p in parts]), part + 1)
+    return part * step + _bucket_index(rest, value)
+
+
 def _edges(df: DataFrame, value: str, buckets: int) -> list:
-    """Cut points from a fixed-size sketch. They are fetched once, so every later pass,
+    """Cut points from a sketch. They are fetched once, so every later pass,
     and every retried task, cuts the rows in the same places."""
     grid = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(value), grid, SKETCH_ACCURACY)).first()[0]
+    found = df.agg(F.percentile_approx(F.col(value), grid, _accuracy(buckets))).first()[0]
     return sorted(set(found or []))
 
 
-def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    return df.withColumn(_B, _search(_edges(df, value, buckets), F.col(value)))
+def _with_bucket(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
+    edges = _edges(df, value, buckets or bucket_count(df))
+    return df.withColumn(_B, _bucket_of(edges, F.col(value)))
 
 
 def global_row_number(
     df: DataFrame, value: str, tiebreak: str, *, descending: bool = False,
-    out: str = "row_number", buckets: int = 64,
+    out: str = "row_number", buckets: int | None = None,
 ) -> DataFrame:
     """1-based position of each row by ``value`` then ``tiebreak``.
 
@@ -57,12 +80,12 @@ def global_row_number(
     materialised once and read three times.
     """
     rows = checkpointed(df)
-    edges = _edges(rows, value, buckets)
+    edges = _edges(rows, value, buckets or bucket_count(rows))
     v = F.col(value)
     on_edge = v.isin(edges) if edges else F.lit(False)
     digits = F.conv(F.substring(tiebreak, 1, 2), 16, 10).cast("int")
     # Rows on a bucket's upper cut point come last in it, or first when descending.
-    marked = rows.withColumn(_B, _search(edges, v) * (-1 if descending else 1)).withColumn(
+    marked = rows.withColumn(_B, _bucket_of(edges, v) * (-1 if descending else 1)).withColumn(
         _S, F.when(on_edge, digits).otherwise(256 if descending else -1)
     )
     before = W.partitionBy(F.lit(1)).orderBy(_B, _S).rowsBetween(W.unboundedPreceding, -1)
@@ -82,7 +105,7 @@ def global_row_number(
 
 
 def group_row_number(
-    df: DataFrame, group: list[str], order: str, *, out: str = "row_number", buckets: int = 64,
+    df: DataFrame, group: list[str], order: str, *, out: str = "row_number", buckets: int | None = None,
 ) -> DataFrame:
     """row_number per group by a unique numeric ``order``; hot groups are split by order range."""
     marked = _with_bucket(checkpointed(df), order, buckets)
@@ -103,7 +126,7 @@ def group_row_number(
 
 
 def running_totals(
-    df: DataFrame, key: str, measures: list[str], *, descending: bool = False, buckets: int = 64,
+    df: DataFrame, key: str, measures: list[str], *, descending: bool = False, buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums over a unique numeric ``key``; adds ``cum_<measure>``."""
     sign = -1 if descending else 1
@@ -125,7 +148,7 @@ def running_totals(
 
 def exact_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float], *,
-    weight: str | None = None, buckets: int = 64,
+    weight: str | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: columns group, ``prob``, ``quantile``, ``n``.
 
@@ -141,11 +164,13 @@ def exact_quantiles(
         counted = checkpointed(known.groupBy(*group, v).agg(F.count(F.lit(1)).alias("__n")))
     else:
         counted = known.select(*group, v, F.col(weight).alias("__n"))
+    buckets = buckets or bucket_count(counted)
     grid = [i / buckets for i in range(1, buckets)]
+    # One row per group: groups are features or a constant, so the sketch is small whatever the rows.
     sketch = counted.groupBy(*group).agg(
-        F.percentile_approx("__v", grid, SKETCH_ACCURACY).alias("__bounds")
+        F.percentile_approx("__v", grid, _accuracy(buckets)).alias("__bounds")
     )
-    marked = counted.join(sketch, group).withColumn(
+    marked = counted.join(F.broadcast(sketch), group).withColumn(
         _B, _bucket_index(F.col("__bounds"), F.col("__v"))
     ).drop("__bounds")
     in_group = W.partitionBy(*group)

@@ -69,6 +69,21 @@ def record_hash(prev: Column, fields: list[str] = CHAIN_FIELDS) -> Column:
     return F.sha2(F.concat(prev, _ascii_json(body)), 256)
 
 
+def linked_lines(events: Column, *, genesis: str = C.GENESIS_HASH) -> Column:
+    """JSON lines of one chain from an array of records in order, each with the hash before it and its own."""
+    names = [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f not in ("prev_hash", "hash")]
+
+    def link(done: Column, e: Column) -> Column:
+        fields = {f: e[f] for f in names} | {"prev_hash": done["hash"]}
+        body = F.to_json(F.struct(*[fields[f].alias(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
+        own = F.sha2(F.concat(done["hash"], _ascii_json(body)), 256)
+        line = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], own.alias("hash")), {"ignoreNullFields": "false"})
+        return F.struct(own.alias("hash"), F.array_append(done["lines"], line).alias("lines"))
+
+    start = F.struct(F.lit(genesis).alias("hash"), F.array().cast("array<string>").alias("lines"))
+    return F.aggregate(events, start, link)["lines"]
+
+
 def check_hash_chain(
     log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = ()
 ) -> DataFrame:

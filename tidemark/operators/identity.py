@@ -87,6 +87,9 @@ _FREQUENT_FIRST = "etaoinshrdlucmfgypwbvkjxqz"
 _SORTS_LAST_FIRST = "zyxwvutsrqponmlkjihgfedcba"
 
 
+_MOST_LETTERS = 999_999_999
+
+
 def _tokens(name: Column) -> Column:
     """Letters numbered by occurrence, rarest first.
 
@@ -97,7 +100,7 @@ def _tokens(name: Column) -> Column:
     numbered = F.transform(
         chars,
         lambda ch, i: F.concat(
-            F.lpad((999 - F.size(F.filter(F.slice(chars, 1, i), lambda x: x == ch))).cast("string"), 3, "0"), ch
+            F.lpad((_MOST_LETTERS - F.size(F.filter(F.slice(chars, 1, i), lambda x: x == ch))).cast("string"), 9, "0"), ch
         ),
     )
     return F.array_sort(numbered)
@@ -157,14 +160,14 @@ def _without(df: DataFrame, matches: DataFrame, key: str) -> DataFrame:
 
 
 def match_exact_contacts(
-    pos: DataFrame, app: DataFrame, *, shared_email_guard: bool = False
+    pos: DataFrame, app: DataFrame, *, shared_email_guard: bool = False, **contact_options
 ) -> DataFrame:
     """Layers 1 and 2: exact email, then exact phone; columns member_id, app_member_id, layer.
 
     Pairing by position inside a key gives each app record to one POS record in
     row order without listing all pairs, however many rows share the key.
     """
-    pos, app = normalize_contacts(pos), normalize_contacts(app)
+    pos, app = normalize_contacts(pos, **contact_options), normalize_contacts(app, **contact_options)
     pos = checkpointed(pos.select("member_id", "row_order", "norm_email", "norm_phone"))
     app = checkpointed(app.select("app_member_id", "row_order", "norm_email", "norm_phone"))
     by_email = pos
@@ -252,17 +255,17 @@ def assign_in_order(candidates: DataFrame, max_rounds: int | None = None) -> Dat
 
 def resolve_identities(
     pos: DataFrame, app: DataFrame, *, salt: str, threshold: float = 0.85,
-    shared_email_guard: bool = False,
+    shared_email_guard: bool = False, **contact_options,
 ) -> DataFrame:
     """Unified identity table from POS and app records.
 
     Layers run one after another over all rows (email, phone, fuzzy name), each
     on the records the layer before left free. ``row_order`` is the ingest
     position of a record and decides who is served first. Records without a
-    partner stay, with ``NONE`` on the other side.
+    partner stay, with ``NONE`` on the other side. ``contact_options`` go to ``normalize_contacts``.
     """
-    pos_n, app_n = normalize_contacts(pos), normalize_contacts(app)
-    exact = checkpointed(match_exact_contacts(pos, app, shared_email_guard=shared_email_guard))
+    pos_n, app_n = normalize_contacts(pos, **contact_options), normalize_contacts(app, **contact_options)
+    exact = checkpointed(match_exact_contacts(pos, app, shared_email_guard=shared_email_guard, **contact_options))
     fuzzy = assign_in_order(
         fuzzy_candidates(
             _without(pos_n, exact, "member_id"), _without(app_n, exact, "app_member_id"),

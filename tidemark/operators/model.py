@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when
@@ -18,6 +18,8 @@ from tidemark.operators.scoring import with_risk_tier
 from tidemark.session import checkpointed
 
 MISSING = -1.0
+# Decimals of raw probabilities in calibration, both when it is fitted and when it is applied.
+DIGITS = 4
 
 
 def training_window(
@@ -60,8 +62,8 @@ def chronological_split(
     """Rows before and from the split date. The panel is never split at random.
 
     The split is the date quantile, or a fixed date. When one side of the
-    quantile split is empty, as on a single-day window, the caller should pass a
-    row order instead (``split_by_order``).
+    quantile split is empty, as on a single-day window, rows are split by their
+    order instead (``split_by_order``), ties by the hashed member.
     """
     if split_date is not None:
         before = F.col(date_col) < F.lit(split_date).cast("date")
@@ -69,6 +71,10 @@ def chronological_split(
         found = quantile_date(df, date_col, fraction).first()
         cut = F.lit(found[0] if found else None).cast("double")
         before = F.unix_date(F.col(date_col)).cast("double") * 86400 < cut
+        if df.agg(F.count_distinct(before)).first()[0] == 1:
+            key = F.sha2(F.concat("hashed_member_id", F.col(date_col).cast("string")), 256)
+            parts = split_by_order(df.withColumn("__key", key), order=date_col, tiebreak="__key", fraction=fraction)
+            return parts[0].drop("__key"), parts[1].drop("__key")
     return df.filter(before), df.filter(~before)
 
 
@@ -135,10 +141,19 @@ class ChurnModel:
         if self.calibrator is None:
             out = raw.withColumn("churn_probability", F.col("raw_probability"))
         else:
-            out = self.calibrator.transform(raw)
+            out = self.calibrator.transform(raw.withColumn("raw_probability", F.round("raw_probability", DIGITS)))
         return out.select("hashed_member_id", "date_day", "churn_probability",
                           *[c for c in (C.LABEL,) if c in features.columns])
 
+    @classmethod
+    def load(cls, path: str) -> ChurnModel:
+        """A model written by ``save``."""
+        spark = SparkSession.getActiveSession()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/calibrator")
+        calibrated = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        return cls(PipelineModel.load(f"{path}/stages"),
+                   IsotonicRegressionModel.load(f"{path}/calibrator") if calibrated else None)
+
     def save(self, path: str) -> None:
         self.stages.write().overwrite().save(f"{path}/stages")
         if self.calibrator is not None:
@@ -175,13 +190,21 @@ def train_churn_gbt(
 
 def calibrate_isotonic(model: ChurnModel, held_out: DataFrame) -> ChurnModel:
     """Fit an isotonic map from raw probability to label on recent rows."""
-    raw = checkpointed(model.stages.transform(_prepared(held_out)).select(
-        vector_to_array("probability")[1].alias("raw_probability"), "label"
-    ))
-    fitted = IsotonicRegression(
-        featuresCol="raw_probability", labelCol="label", predictionCol="churn_probability"
-    ).fit(raw)
-    return ChurnModel(model.stages, fitted)
+    raw = model.stages.transform(_prepared(held_out)).select(
+        vector_to_array("probability")[1].alias("raw_probability"), "label")
+    return ChurnModel(model.stages, fit_isotonic(raw))
+
+
+def fit_isotonic(rows: DataFrame, digits: int = DIGITS) -> IsotonicRegressionModel:
+    """An isotonic map from (raw_probability, label) rows.
+
+    The fit pools its points in the driver, so rows are first summed by rounded
+    probability: with four digits it gets 10,001 weighted points at most.
+    """
+    points = checkpointed(rows.groupBy(F.round("raw_probability", digits).alias("raw_probability")).agg(
+        F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+    return IsotonicRegression(
+        featuresCol="raw_probability", labelCol="label", weightCol="weight", predictionCol="churn_probability").fit(points)
 
 
 def score_members(model: ChurnModel, snapshot: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def psi_table(
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     axis = edges.withColumn("inner", inner).drop("edges").withColumn("n_edges", F.size("inner") + 2)
     binned = (
-        both.join(axis, "feature")
+        both.join(F.broadcast(axis), "feature")  # one row per feature
         .withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
         .groupBy("feature", "bin").agg(F.sum("nr").alias("nr"), F.sum("nc").alias("nc"))
     )

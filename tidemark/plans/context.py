@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.expressions import salted_hash
 from tidemark.operators import (
-    activity, engagement, features, identity, lifecycle, outcomes, revenue, scoring, winback,
+    activity, engagement, features, identity, lifecycle, model, outcomes, revenue, scoring, winback,
 )
+from tidemark.session import checkpointed
 from tidemark.sources import bindings as B
+from tidemark.streaming.runner import scratch_dir
 
 # The moment the routers and guards are checked at.
 NOW = "2024-01-28 12:00:00"
@@ -135,6 +137,24 @@ class Frames:
     def board(self) -> DataFrame:
         return winback.winback_leaderboard(self.reactivations)
 
+    @cached_property
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """Training and validation rows, materialised once for the two fits and their metrics."""
+        train, held = model.chronological_split(model.training_window(self.panel, as_of=self.as_of))
+        return checkpointed(train), checkpointed(held)
+
+    @cached_property
+    def model_path(self) -> str:
+        """Where the boosted trees, calibrated on the validation rows, are saved; trained once for all queries."""
+        train, held = self.split
+        path = scratch_dir(self.spark, "churn-model")
+        model.calibrate_isotonic(model.train_churn_gbt(train), held).save(path)
+        return path
+
+    @cached_property
+    def trained(self) -> model.ChurnModel:
+        return model.ChurnModel.load(self.model_path)
+
     @cached_property
     def orders(self) -> dict[str, DataFrame]:
         return B.order_domain(self.spark, self.sf_dir)

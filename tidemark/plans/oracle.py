@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark import contracts as C
 from tidemark.plans.context import NOW
 from tidemark.plans.oracle_base import with_blocks
 from tidemark.sources.bindings import SALT
@@ -180,7 +181,7 @@ check("inactive_members", "SELECT member_id FROM identity WHERE hashed_member_id
 # --- scored reports
 check("scored_features", f"""
 SELECT hashed_member_id, CAST(s.score_date AS VARCHAR) AS score_date, round(s.churn_probability, 6) AS churn_probability,
-  f.home_studio_id, f.monthly_price FROM scores s JOIN mart f USING (hashed_member_id) WHERE f.date_day = s.score_date""")
+  f.home_studio_id, f.monthly_price FROM scores s JOIN snap f USING (hashed_member_id)""")
 check("risk_kpis", """
 SELECT count(DISTINCT s.hashed_member_id) AS total_active, count(*) FILTER (s.risk_tier IN ('Medium','High','Critical')) AS at_risk,
   round(sum(s.churn_probability), 6) AS churn_forecast, sum(CASE WHEN s.churn_probability >= 0.5 THEN f.monthly_price ELSE 0 END) AS mrr_at_risk
@@ -527,7 +528,7 @@ SELECT CAST(day AS VARCHAR) AS day, n AS rows, round((n - avg(n) OVER ()) / stdd
   abs(round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6)) > 1.5 AS anomaly
 FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)""")
 check("match_rate", """
-SELECT (SELECT count(*) FROM pos) AS pos_records, count(*) AS matched, round(count(*) / CAST((SELECT count(*) FROM pos) AS DOUBLE), 6) AS match_rate FROM exact_match""")
+SELECT (SELECT count(*) FROM posn) AS pos_records, count(*) AS matched, round(count(*) / CAST((SELECT count(*) FROM posn) AS DOUBLE), 6) AS match_rate FROM matches""")
 _GONE = "(SELECT 'M' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') FROM customer WHERE c_acctbal < 0)"
 check("apply_opt_out", f"SELECT member_id, home_studio_id FROM members WHERE member_id NOT IN {_GONE}")
 check("erase_members", f"""
@@ -539,7 +540,10 @@ check("record_hash", """
 SELECT line + 1 AS seq, sha256(p || '{"event":"auth","outcome":"' || outcome || '","prev_hash":"' || p || '","reason":"' || event_type || '","source":"' || source
   || '","ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","username":"' || username || '"}') AS digest
 FROM (SELECT a.*, e.event_type, sha256(line || '-prev') AS p FROM auth a JOIN events e ON e.event_id = a.line)""")
-check("verify_hash_chain", "SELECT FALSE AS ok, 1 AS first_broken, count(*) AS records FROM events")
+check("verify_hash_chain", """
+SELECT username, day, NOT (edited OR lost) AS ok, CASE WHEN edited OR lost THEN 2 END AS first_broken, n - CAST(lost AS INTEGER) AS records
+FROM (SELECT username, day, n, u % 3 = 0 AND n > 1 AS edited, u % 3 = 1 AND n > 2 AS lost
+  FROM (SELECT username, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(substr(username, 5) AS BIGINT) AS u FROM auth GROUP BY 1, 2, 4))""")
 _KEYED = """(SELECT 'username' AS key_type, username AS key_value, ts, outcome FROM auth
   UNION ALL SELECT 'source', source, ts, outcome FROM auth WHERE source <> 'unknown')"""
 
@@ -676,14 +680,26 @@ SELECT '{NOW}' AS checked_at, round(dev, 4) AS calib_max_dev, round(mp, 4) AS ma
   coalesce(nullif(concat_ws('; ', CASE WHEN dev >= 0.15 THEN 'calibration deviation ' || printf('%.1f', dev * 100) || '% >= 15%' END,
     CASE WHEN mp >= 0.25 THEN 'feature drift PSI ' || printf('%.2f', mp) || ' >= 0.25 (' || w || ')' END), ''), 'none') AS reasons, 'simulate-drift' AS mode
 FROM (SELECT (SELECT max(abs_deviation) FROM {_CALIB}) AS dev, max(psi) AS mp, arg_max(feature, (psi, feature)) AS w FROM {_DP})""")
-_RECORD = """SELECT 'v{n}' AS version_id, '2024-01-{d} 00:00:00' AS trained_at, 'manual' AS trigger, CAST(min(date_day) FILTER (inside) AS VARCHAR) AS train_window_start,
-  CAST(max(date_day) FILTER (inside) AS VARCHAR) AS train_window_end, {n} AS window_months, count(*) FILTER (NOT is_churned_14d) AS train_rows,
-  count(*) FILTER (is_churned_14d) AS val_rows, count(*) FILTER (date_day < ws) AS rows_discarded_as_old,
-  round(count(*) FILTER (NOT is_churned_14d) / CAST(count(*) FILTER (is_churned_14d) AS DOUBLE), 1) AS scale_pos_weight, 0.5 AS val_auc, 0.1 AS val_pr_auc, 'models/v{n}' AS model_path
-FROM (SELECT date_day, is_churned_14d, as_of_date - INTERVAL {n} MONTH AS ws, date_day >= as_of_date - INTERVAL {n} MONTH AND date_day <= as_of_date - 14 AS inside FROM mart, config)"""
-check("model_registry", _RECORD.format(n=1, d=29) + " UNION ALL " + _RECORD.format(n=2, d=30))
-check("registry_latest", _RECORD.format(n=2, d=30))
-check("calibrate_isotonic", f"SELECT count(*) AS rows, round(avg(CAST(actual AS INTEGER)), 6) AS mean_calibrated FROM {_SP}")
+_RECORD = """SELECT '{v}' AS version_id, '2024-01-{d} 00:00:00' AS trained_at, 'manual' AS trigger, CAST(min(date_day) FILTER (inside) AS VARCHAR) AS train_window_start,
+  CAST(max(date_day) FILTER (inside) AS VARCHAR) AS train_window_end, {n} AS window_months, (SELECT count(*) FROM {win} WHERE epoch(date_day) < {cut}) AS train_rows,
+  (SELECT count(*) FROM {win} WHERE epoch(date_day) >= {cut}) AS val_rows, count(*) FILTER (date_day < ws) AS rows_discarded_as_old,
+  (SELECT round(count(*) FILTER (NOT is_churned_14d) / CAST(count(*) FILTER (is_churned_14d) AS DOUBLE), 1) FROM {win} WHERE epoch(date_day) < {cut}) AS scale_pos_weight,
+  TRUE AS val_auc, TRUE AS val_pr_auc, 'churn-model' AS model_path
+FROM (SELECT date_day, as_of_date - INTERVAL {n} MONTH AS ws, date_day >= as_of_date - INTERVAL {n} MONTH AND date_day <= as_of_date - 14 AS inside FROM mart, config)"""
+_V2 = _RECORD.format(v="v2", n=24, d=30, win=_WIN, cut=_CUT)
+check("model_registry", _RECORD.format(v="v1", n=1, d=29, win=_WIN, cut=_CUT) + " UNION ALL " + _V2)
+check("registry_latest", _V2)
+check("calibrate_isotonic", f"""
+SELECT count(*) AS rows, count(DISTINCT round(p, 4)) AS points, round(avg(CAST(actual AS INTEGER)), 6) AS mean_calibrated, TRUE AS in_bounds, TRUE AS rises FROM {_SP}""")
+check("score_members_check", "SELECT count(*) AS rows, count(*) AS members, TRUE AS in_bounds, TRUE AS tiers_match FROM snap")
+_NUM = "(coalesce(CAST({0} AS DOUBLE), -1) - avg(coalesce(CAST({0} AS DOUBLE), -1)) OVER ()) / stddev_samp(coalesce(CAST({0} AS DOUBLE), -1)) OVER ()"
+_SCALED = ", ".join(
+    f"CASE WHEN stddev_samp(coalesce(CAST({n} AS DOUBLE), -1)) OVER () = 0 THEN 0 ELSE round({_NUM.format(n)}, 6) END AS {n}" for n in C.NUMERIC_FEATURES)
+_HOT = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}_at" for c in C.CATEGORICAL_FEATURES)
+_FLAGS = ", ".join(f"CAST({b} AS INTEGER) AS {b}" for b in C.BOOLEAN_FEATURES)
+_WIDTH = " + ".join(f"(SELECT count(DISTINCT {c}) FROM snap)" for c in C.CATEGORICAL_FEATURES)
+check("feature_vectors", f"""
+SELECT hashed_member_id, {_SCALED}, {_HOT}, {_FLAGS}, {len(C.NUMERIC_FEATURES) + len(C.CATEGORICAL_FEATURES) + len(C.BOOLEAN_FEATURES)} + {_WIDTH} AS width FROM snap""")
 check("drift_windows", """
 SELECT 'reference' AS side, count(*) AS rows, CAST(min(date_day) AS VARCHAR) AS first_day, CAST(max(date_day) AS VARCHAR) AS last_day
 FROM mart, config WHERE date_day >= as_of_date - INTERVAL 12 MONTH AND date_day <= as_of_date - 20
@@ -751,13 +767,36 @@ SELECT unnest(['studios','members','ground_truth','memberships','sessions','tran
 
 # --- streams
 _ACT = """(SELECT member_id, scheduled_at AS ts, CASE WHEN attended THEN 'attended' ELSE 'booked' END AS kind FROM sessions
-  UNION ALL SELECT member_id, event_timestamp, event_type FROM app_events UNION ALL SELECT member_id, sent_at, status FROM emails)"""
+  UNION ALL SELECT member_id, event_timestamp, event_type FROM app_events UNION ALL SELECT member_id, sent_at, status FROM emails
+  UNION ALL SELECT member_id, CAST(transaction_date AS TIMESTAMP), CASE WHEN status = 'Failed' THEN 'failed_payment' ELSE 'payment' END FROM transactions
+  UNION ALL SELECT member_id, timestamp, CASE WHEN lower(message_text) LIKE '%cancel%' THEN 'cancel_question' ELSE 'chat' END FROM chats WHERE sender = 'member')"""
 _ACT_COUNTS = """count(*) AS events, count(*) FILTER (kind IN ('booked','attended')) AS booked, count(*) FILTER (kind = 'attended') AS attended,
-  count(*) FILTER (kind = 'open_app') AS logins, count(*) FILTER (kind = 'view_metrics') AS metric_views, count(*) FILTER (kind IN ('Opened','Clicked')) AS emails_opened"""
+  count(*) FILTER (kind = 'open_app') AS logins, count(*) FILTER (kind = 'view_metrics') AS metric_views, count(*) FILTER (kind IN ('Sent','Delivered','Bounced','Opened','Clicked')) AS emails_sent,
+  count(*) FILTER (kind IN ('Opened','Clicked')) AS emails_opened, count(*) FILTER (kind = 'Clicked') AS emails_clicked, count(*) FILTER (kind IN ('payment','failed_payment')) AS payments,
+  count(*) FILTER (kind = 'failed_payment') AS failed_payments, count(*) FILTER (kind IN ('chat','cancel_question')) AS chats, count(*) FILTER (kind = 'cancel_question') AS cancel_questions"""
 check("stream_daily_activity", f"""
 SELECT member_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, {_ACT_COUNTS} FROM {_ACT} GROUP BY 1, 2""")
 check("stream_rolling_activity", f"""
 SELECT member_id, CAST(CAST(ts AS DATE) + CAST(o AS INTEGER) AS VARCHAR) AS date_day, {_ACT_COUNTS} FROM {_ACT}, range(0, 30) t(o) GROUP BY 1, 2""")
+check("stream_lockout", f"""
+SELECT * FROM (WITH RECURSIVE keyed AS (
+  SELECT key_type, key_value, ts, count(*) FILTER (outcome = 'failure') AS failed, bool_or(outcome = 'success') AS good
+  FROM {_KEYED} WHERE outcome IN ('failure', 'success') GROUP BY 1, 2, 3
+), cleared AS (
+  SELECT *, max(CASE WHEN good THEN ts END) OVER (PARTITION BY key_type, key_value ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ok FROM keyed
+), full_windows AS (
+  SELECT a.key_type, a.key_value, a.ts, sum(b.failed) AS failures FROM cleared a JOIN cleared b
+    ON b.key_type = a.key_type AND b.key_value = a.key_value AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 600 MINUTE AND (a.ok IS NULL OR b.ts > a.ok)
+  WHERE a.failed > 0 GROUP BY 1, 2, 3 HAVING sum(b.failed) >= 2
+), locks AS (
+  SELECT key_type, key_value, min(ts) AS ts FROM full_windows GROUP BY 1, 2
+  UNION ALL
+  SELECT key_type, key_value, nxt FROM (
+    SELECT l.key_type, l.key_value, (SELECT min(w.ts) FROM full_windows w WHERE w.key_type = l.key_type AND w.key_value = l.key_value
+      AND w.ts >= l.ts + INTERVAL 60 MINUTE) AS nxt FROM locks l) WHERE nxt IS NOT NULL
+)
+SELECT key_type, key_value, {_TS.format('ts')} AS locked_at, {_TS.format('ts + INTERVAL 60 MINUTE')} AS locked_until, CAST(failures AS BIGINT) AS failures
+FROM locks JOIN full_windows USING (key_type, key_value, ts))""")
 check("stream_send_rate_guard", f"""
 SELECT {_TS.format('ws')} AS window_start, {_TS.format("ws + INTERVAL 60 MINUTE")} AS window_end, count(*) AS sends
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, sent_at) - INTERVAL 5 MINUTE * o AS ws FROM audit, range(0, 12) t(o) WHERE status = 'Sent') GROUP BY ws HAVING count(*) > 2""")

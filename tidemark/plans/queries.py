@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tidemark import contracts as C
 from tidemark.functions import expressions as X, ranking
@@ -365,7 +365,7 @@ def inactive_members(f: Frames) -> DataFrame:
 
 @query
 def scored_features(f: Frames) -> DataFrame:
-    return scoring.scored_features(f.scores, f.panel).select(
+    return scoring.scored_features(f.scores, f.snapshot).select(
         "hashed_member_id", "score_date", "churn_probability", "home_studio_id", "monthly_price")
 
 
@@ -833,10 +833,8 @@ def dq_volume_anomaly(f: Frames) -> DataFrame:
 @query
 def match_rate(f: Frames) -> DataFrame:
     pos, app = f.people
-    exact = identity.match_exact_contacts(pos, app)
-    joined = pos.select("member_id").join(exact, "member_id", "left").select(
-        "member_id", F.coalesce("app_member_id", F.lit("NONE")).alias("app_member_id"))
-    return identity.match_rate(joined)
+    resolved = identity.resolve_identities(pos, app, salt=B.SALT).select("member_id", "app_member_id")
+    return identity.match_rate(resolved)
 
 
 def _opted_out(f: Frames) -> DataFrame:
@@ -877,9 +875,24 @@ def prev_row_link(f: Frames) -> DataFrame:
 
 @query
 def verify_hash_chain(f: Frames) -> DataFrame:
-    """Records whose own digest is right but whose links are not: broken from the first line."""
-    log = f.auth_chain.withColumn("hash", audit.record_hash(F.col("prev_hash")))
-    return audit.verify_hash_chain(log)
+    """A log of one chain per user and day, with some lines edited or lost, written and read back.
+
+    Of users with numbers divisible by three, the second record gets a key more; with remainder one it is lost
+    if a third follows.
+    """
+    day, number = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.substring("username", 5, 20).cast("long") % 3
+    events = f.auth.select("username", day, F.struct(
+        "line", "event", "outcome", "reason", "source", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "username").alias("e"))
+    chains = events.groupBy("username", "day").agg(F.array_sort(F.collect_list("e")).alias("events"))
+    lines = chains.select("username", "day", F.size("events").alias("n"), F.posexplode(audit.linked_lines(F.col("events"))).alias("at", "line"))
+    second, rest = F.col("at") == 1, number
+    edited = F.when(second & (rest == 0), F.regexp_replace("line", r"\}$", ', "note": "forged"}')).otherwise(F.col("line"))
+    kept = lines.filter(~(second & (rest == 1) & (F.col("n") > 2))).withColumn("line", edited)
+    path = runner.scratch_dir(f.spark, "auth-chains")
+    kept.repartition("username", "day").sortWithinPartitions("username", "day", "at").select("line").write.text(path)
+    log = audit.parse_auth_lines(audit.number_lines(f.spark, path)).withColumn("day", F.left("ts", F.lit(10)))
+    of_chain = W.partitionBy("username", "day").orderBy("line")
+    return audit.verify_hash_chain(log.withColumn("seq", F.row_number().over(of_chain).cast("long")), by=("username", "day"))
 
 
 @query
@@ -1073,72 +1086,101 @@ def retrain_decision(f: Frames) -> DataFrame:
 
 @query
 def feature_vectors(f: Frames) -> DataFrame:
+    """The snapshot's vectors: scaled numbers, the place of each category's one, and the flags."""
     from pyspark.ml.functions import vector_to_array
 
-    size = F.size(vector_to_array("features"))
-    return model.feature_vectors(f.snapshot).groupBy(size.alias("width")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def _train(f: Frames) -> tuple[DataFrame, DataFrame]:
-    return model.chronological_split(model.training_window(f.panel, as_of=f.as_of))
+    v = model.feature_vectors(f.snapshot).select("*", vector_to_array("features").alias("v"))
+    at = len(C.NUMERIC_FEATURES)
+    sizes = f.snapshot.agg(*[F.count_distinct(c).alias(c) for c in C.CATEGORICAL_FEATURES]).first()
+    hot = []
+    for c in C.CATEGORICAL_FEATURES:
+        hot.append((F.array_position(F.slice("v", at + 1, sizes[c] + 1), 1.0) - 1).alias(f"{c}_at"))
+        at += sizes[c] + 1  # and one place for values not seen in training
+    flags = [F.col("v")[at + i].cast("int").alias(b) for i, b in enumerate(C.BOOLEAN_FEATURES)]
+    numbers = [F.col("v")[i].alias(n) for i, n in enumerate(C.NUMERIC_FEATURES)]
+    return v.select("hashed_member_id", *numbers, *hot, *flags, F.size("v").alias("width"))
 
 
 @query
 def train_churn_lr(f: Frames) -> DataFrame:
-    train, held = _train(f)
-    fitted = model.train_churn_lr(train, max_iter=10)
-    scored = fitted.predict(held).withColumn("actual", F.col(C.LABEL))
+    """Ranking quality of the linear model on the validation rows."""
+    train, held = f.split
+    scored = model.train_churn_lr(train).predict(held).withColumn("actual", F.col(C.LABEL))
     return evaluation.auc_roc(scored)
 
 
 @query
 def train_churn_gbt(f: Frames) -> DataFrame:
-    train, held = _train(f)
-    fitted = model.train_churn_gbt(train, trees=3, depth=3)
-    return model.feature_importance(fitted, f.snapshot)
+    """The largest importances of the boosted trees."""
+    return model.feature_importance(f.trained, f.snapshot)
 
 
 @query
 def score_members(f: Frames) -> DataFrame:
-    """Trained, calibrated on the held-out days, applied to the latest snapshot."""
-    train, held = _train(f)
-    fitted = model.calibrate_isotonic(model.train_churn_lr(train, max_iter=5), held)
-    return model.score_members(fitted, f.snapshot)
+    """The saved and calibrated trees, loaded and applied to the latest snapshot."""
+    return model.score_members(f.trained, f.snapshot)
+
+
+@query
+def score_members_check(f: Frames) -> DataFrame:
+    """What must hold of the scores: one per member, in bounds, with the tier of the stored probability."""
+    p, tier = F.col("churn_probability"), F.col("risk_tier")
+    return model.score_members(f.trained, f.snapshot).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("hashed_member_id").alias("members"),
+        F.bool_and(p.between(0.0, 1.0)).alias("in_bounds"),
+        F.bool_and(tier == X.risk_tier(p)).alias("tiers_match"))
 
 
 def _registry(f: Frames) -> DataFrame:
-    """Two training records from windows of one and two months."""
-    def record(months: int, day: str) -> DataFrame:
-        meta = model.training_window_meta(f.panel, as_of=f.as_of, months=months)
-        metrics = model.class_weight(f.panel).select(
-            F.col("negatives").alias("train_rows"), F.col("positives").alias("val_rows"), "scale_pos_weight",
-            F.lit(0.5).alias("val_auc"), F.lit(0.1).alias("val_pr_auc"))
+    """The training run's record, and that of an earlier one with a shorter window."""
+    train, held = f.split
+    scored = f.trained.predict(held).withColumn("actual", F.col(C.LABEL))
+    metrics = train.agg(F.count(F.lit(1)).alias("train_rows")).withColumns({
+        "val_rows": held.agg(F.count(F.lit(1))).scalar(),
+        "scale_pos_weight": model.class_weight(train).select("scale_pos_weight").scalar(),
+        "val_auc": evaluation.auc_roc(scored).select("auc_roc").scalar(),
+        "val_pr_auc": evaluation.average_precision(scored).select("average_precision").scalar()})
+
+    def record(version: str, months: int, day: str) -> DataFrame:
         return model.registry_record(
-            meta, metrics, version_id=f"v{months}", trained_at=F.lit(day).cast("timestamp_ntz"),
-            trigger="manual", window_months=months, model_path=f"models/v{months}")
+            model.training_window_meta(f.panel, as_of=f.as_of, months=months), metrics, version_id=version,
+            trained_at=F.lit(day).cast("timestamp_ntz"), trigger="manual", window_months=months, model_path=f.model_path)
+
+    return record("v1", 1, "2024-01-29 00:00:00").unionByName(record("v2", 24, "2024-01-30 00:00:00"))
 
-    return record(1, "2024-01-29 00:00:00").unionByName(record(2, "2024-01-30 00:00:00"))
+
+def _checked_record(rows: DataFrame) -> DataFrame:
+    """Metrics as checks and the path without its folder, so that a record can be compared with SQL."""
+    return rows.withColumns({
+        "val_auc": F.col("val_auc").between(0.0, 1.0), "val_pr_auc": F.col("val_pr_auc").between(0.0, 1.0),
+        "model_path": F.regexp_extract("model_path", "(churn-model)-[0-9a-f]+$", 1)})
 
 
 @query
 def model_registry(f: Frames) -> DataFrame:
-    return _registry(f)
+    return _checked_record(_registry(f))
 
 
 @query
 def registry_latest(f: Frames) -> DataFrame:
-    return model.registry_latest(_registry(f))
+    return _checked_record(model.registry_latest(_registry(f)))
 
 
 @query
 def calibrate_isotonic(f: Frames) -> DataFrame:
-    """An isotonic map fitted to the panel's stand-in probabilities: its mean is the label's mean."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = f.scored_panel.select("churn_probability", F.col("actual").cast("double").alias("label"))
-    fitted = IsotonicRegression(featuresCol="churn_probability", labelCol="label", predictionCol="calibrated").fit(rows)
-    return fitted.transform(rows).agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"))
+    """The map fitted to the panel's stand-in probabilities: it never falls, stays in bounds, and keeps the mean."""
+    rows = f.scored_panel.select(F.col("churn_probability").alias("raw_probability"), F.col("actual").cast("double").alias("label"))
+    fitted = model.fit_isotonic(rows)
+    points = fitted.transform(rows.groupBy(F.round("raw_probability", 4).alias("raw_probability")).agg(
+        F.sum("label").alias("positives"), F.count(F.lit(1)).alias("n")))
+    steps = points.groupBy("raw_probability").agg(F.min("churn_probability").alias("low")).orderBy("raw_probability")
+    falls = steps.agg(F.array_sort(F.collect_list(F.struct("raw_probability", "low"))).alias("s")).select(
+        (F.col("s.low") == F.array_sort("s.low")).alias("rises"))
+    p = F.col("churn_probability")
+    return points.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("points"),
+        F.round(F.sum(p * F.col("n")) / F.sum("n"), 6).alias("mean_calibrated"),
+        F.bool_and(p.between(0.0, 1.0)).alias("in_bounds")).withColumn("rises", falls.scalar())
 
 
 # --- exploration ------------------------------------------------------------------------------------------------------
@@ -1173,7 +1215,8 @@ def attendance_by_lifetime_decile(f: Frames) -> DataFrame:
 # --- streams, run as batches of the same functions ------------------------------------------------------------------------
 
 def _stream_events(f: Frames) -> DataFrame:
-    return streams.activity_events(f.t["sessions"], f.t["app_events"], f.t["email_events"])
+    return streams.activity_events(
+        f.t["sessions"], f.t["app_events"], f.t["email_events"], f.t["transactions"], f.t["ai_coach_chats"])
 
 
 @query
@@ -1203,10 +1246,7 @@ def stream_member_sessions(f: Frames) -> DataFrame:
 
 @query
 def stream_lockout(f: Frames) -> DataFrame:
-    """A real stream over the event files with per-user state."""
-    kind = F.col("event_type")
-    events = runner.read_stream(f.spark, f.sf_dir, "events").select(
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts",
-        F.when(kind == "error", "failure").when(kind == "signup", "success").otherwise("other").alias("outcome"))
+    """A real stream over the event files with state per user name and source."""
+    events = B.auth_events(runner.read_stream(f.spark, f.sf_dir, "events"))
     return runner.run_available(
         lockout.stream_lockout(events, max_failures=2, window_min=600, lockout_min=60), "lockout")

@@ -192,7 +192,10 @@ def audit_domain(spark: SparkSession, sf_dir: str, identity: DataFrame) -> DataF
 
 def auth_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as sign-in attempts: errors fail, signups succeed, the rest lock out."""
-    rows = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    return auth_events(read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"]))
+
+
+def auth_events(rows: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return rows.select(
         F.col("event_id").alias("line"),

@@ -19,9 +19,10 @@ def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def activity_events(
     sessions: DataFrame | None = None, app_events: DataFrame | None = None,
-    emails: DataFrame | None = None,
+    emails: DataFrame | None = None, transactions: DataFrame | None = None, chats: DataFrame | None = None,
+    *, words: list[str] = C.INTENT_WORDS,
 ) -> DataFrame:
-    """Feeds as one event table: member_id, ts, kind."""
+    """Feeds as one event table: member_id, ts, kind. Of chats, the member's own messages count."""
     parts = []
     if sessions is not None:
         kind = F.when(F.col("attended"), "attended").otherwise("booked")
@@ -31,6 +32,13 @@ def activity_events(
                                        F.col("event_type").alias("kind")))
     if emails is not None:
         parts.append(emails.select("member_id", F.col("sent_at").alias("ts"), F.col("status").alias("kind")))
+    if transactions is not None:
+        kind = F.when(F.col("status") == "Failed", "failed_payment").otherwise("payment")
+        parts.append(transactions.select("member_id", F.col("transaction_date").cast("timestamp_ntz").alias("ts"), kind.alias("kind")))
+    if chats is not None:
+        kind = F.when(has_text_intent(F.col("message_text"), words), "cancel_question").otherwise("chat")
+        parts.append(chats.filter(F.col("sender") == "member").select(
+            "member_id", F.col("timestamp").alias("ts"), kind.alias("kind")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -45,28 +53,41 @@ def _counts() -> list[Column]:
         count_when(k == "attended").alias("attended"),
         count_when(k == "open_app").alias("logins"),
         count_when(k == "view_metrics").alias("metric_views"),
+        count_when(k.isin("Sent", "Delivered", "Bounced", "Opened", "Clicked")).alias("emails_sent"),
         count_when(k.isin("Opened", "Clicked")).alias("emails_opened"),
+        count_when(k == "Clicked").alias("emails_clicked"),
+        count_when(k.isin("payment", "failed_payment")).alias("payments"),
+        count_when(k == "failed_payment").alias("failed_payments"),
+        count_when(k.isin("chat", "cancel_question")).alias("chats"),
+        count_when(k == "cancel_question").alias("cancel_questions"),
     ]
 
 
+MEASURES = [
+    "events", "booked", "attended", "logins", "metric_views", "emails_sent", "emails_opened", "emails_clicked",
+    "payments", "failed_payments", "chats", "cancel_questions",
+]
+
+
+def _daily(events: DataFrame, delay: str) -> DataFrame:
+    return _timed(events, "ts", delay).groupBy("member_id", F.window("ts", "1 day").alias("w")).agg(*_counts())
+
+
 def stream_daily_activity(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
     """Per member and day; a day is final once the watermark passes its end."""
-    return (
-        _timed(events, "ts", delay).groupBy("member_id", F.window("ts", "1 day").alias("w"))
-        .agg(*_counts())
-        .select("member_id", F.to_date("w.start").alias("event_date"),
-                "events", "booked", "attended", "logins", "metric_views", "emails_opened")
-    )
+    return _daily(events, delay).select("member_id", F.to_date("w.start").alias("event_date"), *MEASURES)
 
 
 def stream_rolling_activity(events: DataFrame, *, days: int = 30, delay: str = "1 day") -> DataFrame:
-    """Sums over the trailing days, one row per member and closing day."""
+    """Sums over the trailing days, one row per member and closing day.
+
+    Events are counted by day first, so only daily rows are copied into the sliding windows.
+    """
     return (
-        _timed(events, "ts", delay)
-        .groupBy("member_id", F.window("ts", f"{days} days", "1 day").alias("w"))
-        .agg(*_counts())
-        .select("member_id", F.date_sub(F.to_date("w.end"), 1).alias("date_day"),
-                "events", "booked", "attended", "logins", "metric_views", "emails_opened")
+        _daily(events, delay).withColumn("ts", F.window_time("w")).drop("w")
+        .groupBy("member_id", F.window("ts", f"{days} days", "1 day").alias("v"))
+        .agg(*[F.sum(m).alias(m) for m in MEASURES])
+        .select("member_id", F.date_sub(F.to_date("v.end"), 1).alias("date_day"), *MEASURES)
     )
 
 
