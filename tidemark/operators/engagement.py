@@ -21,9 +21,12 @@ def _share(column: str, target: float) -> Column:
 def engagement_score(
     features: DataFrame, scores: DataFrame, *, weights: dict[str, float] = C.ENGAGEMENT_WEIGHTS,
     sessions_target: float = 12.0, logins_target: float = 20.0, retail_target: float = 50.0,
-    consistency_days: float = 30.0,
+    consistency_days: float = 30.0, as_of: Column | None = None,
 ) -> DataFrame:
-    """Weighted 0-100 score per member at the latest day, with the latest churn score beside it."""
+    """Weighted 0-100 score per member with the churn score beside it, at ``as_of`` or the latest day of each."""
+    def at_day(df: DataFrame, date_col: str) -> DataFrame:
+        return latest_snapshot(df, date_col) if as_of is None else df.filter(F.col(date_col) == as_of)
+
     idle = F.coalesce(F.col("days_since_last_session"), F.lit(C.NEVER_ATTENDED_DAYS))
     parts = {
         "session_utilization": _share("sessions_attended_30d", sessions_target),
@@ -33,11 +36,11 @@ def engagement_score(
         "consistency": clip(1 - idle / consistency_days, 0.0, 1.0) * 100,
     }
     total = reduce(lambda a, b: a + b, [F.lit(weights[n]) * parts[n] for n in COMPONENTS])
-    latest_scores = latest_snapshot(scores, "score_date").select(
+    latest_scores = at_day(scores, "score_date").select(
         "hashed_member_id", "churn_probability", "risk_tier"
     )
     return (
-        latest_snapshot(features, "date_day")
+        at_day(features, "date_day")
         .select(
             "hashed_member_id", "home_studio_id", "membership_tier", "monthly_price",
             F.bround(total, 1).alias("engagement_score"),

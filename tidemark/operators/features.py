@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import contracts as C
-from tidemark.functions.expressions import flag, ratio
+from tidemark.functions.expressions import flag, ratio, salted_hash
 from tidemark.operators.activity import AMOUNTS, COUNTS, as_of_column, daily_activity
-from tidemark.operators.identity import member_identity
 
 FEATURE_COLUMNS = [
     "hashed_member_id", "date_day", "age", "gender", "home_studio_id", "membership_tier",
@@ -23,12 +22,11 @@ FEATURE_COLUMNS = [
 
 def _member_frame(tables: dict[str, DataFrame], salt: str) -> DataFrame:
     """One row per member with the attributes the panel needs."""
-    identity = member_identity(tables["members"], salt).select("member_id", "hashed_member_id")
+    hashed = salted_hash(F.col("email"), salt).alias("hashed_member_id")
     return (
-        tables["members"].select("member_id", "dob", "gender", "home_studio_id", "join_date")
+        tables["members"].select("member_id", "dob", "gender", "home_studio_id", "join_date", hashed)
         .join(tables["ground_truth"].select("member_id", "churned", "churn_date"), "member_id")
         .join(tables["memberships"].select("member_id", "membership_tier", "monthly_price"), "member_id")
-        .join(identity, "member_id")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.expressions import nan_to_null
-from tidemark.operators.scoring import last_n_per_key, latest_by_key, latest_snapshot
+from tidemark.operators.scoring import last_n_per_key, latest_by_key
 
 PAYLOAD_FIELDS = [
     "as_of_date", "member_ref", "membership_tier", "monthly_price", "tenure_days",
@@ -45,13 +45,13 @@ def member_payload(
     features: DataFrame, scores: DataFrame, lifecycle: DataFrame, identity: DataFrame,
     chats: DataFrame, *, as_of: Column, lookback_days: int = 45, n_chats: int = 8,
 ) -> DataFrame:
-    """Payload columns of every member in the latest snapshot; no name, email or phone."""
+    """Payload columns of every member in the snapshot of ``as_of``; no name, email or phone."""
     score = latest_by_key(scores, ["hashed_member_id"], "score_date").select(
         "hashed_member_id", F.col("churn_probability").alias("__p"), F.col("risk_tier").alias("churn_risk_tier"))
     life = latest_by_key(lifecycle, ["hashed_member_id"], "snapshot_date").select(
         "hashed_member_id", F.col("stage").alias("lifecycle_stage"), "days_in_stage")
     rows = (
-        latest_snapshot(features, "date_day")
+        features.filter(F.col("date_day") == as_of)
         .join(score, "hashed_member_id", "left")
         .join(life, "hashed_member_id", "left")
         .join(identity.select("hashed_member_id", "member_id"), "hashed_member_id", "left")

@@ -94,7 +94,7 @@ class Frames:
 
     @cached_property
     def engagement(self) -> DataFrame:
-        return engagement.engagement_score(self.snapshot, self.scores)
+        return engagement.engagement_score(self.snapshot, self.scores, as_of=self.as_of)
 
     @cached_property
     def audit(self) -> DataFrame:
