@@ -157,58 +157,70 @@ def _recurring(docs: DataFrame, units: Units, copies: DataFrame) -> DataFrame:
     return join_by_key(kept, seen(kept), ["key"], F.col("row"), sizes="rows").select("key", "row", "all_pieces")
 
 
-def _pieces(texts: DataFrame, units: Units, *, frequent: bool) -> DataFrame:
-    """(key, doc_id, doc, start, windows, piece) of the pieces with a listed key.
+def _pieces(texts: DataFrame, units: Units) -> DataFrame:
+    """(key, doc_id, doc, start, windows, piece, digest) of the pieces with a listed key.
 
-    For frequent keys each window is a row of its own, without text: (digest, doc_id, doc, start).
+    A window of a frequent key is a row of its own, with a digest in place of text, and a key that
+    only spreads such rows.
     """
     def of_batch(batch):
-        out = [[] for _ in range(4 if frequent else 6)]
-        for doc_id, doc, packed, listed in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
-            content = unpack(packed.as_py())
+        out = [[] for _ in range(7)]
+        for doc_id, doc, packed, listed, frequent in zip(*(c.to_pylist() for c in batch.columns)):
+            content = unpack(packed)
             keys, starts, counts = units.runs(content)
-            chosen = np.flatnonzero(np.isin(keys, np.array(listed.as_py(), np.int64)))
+            often = np.isin(keys, np.array(frequent, np.int64))
+            chosen = np.flatnonzero(often | np.isin(keys, np.array(listed, np.int64)))
             part = units.slicer(content)
-            for key, start, count in zip(keys[chosen].tolist(), starts[chosen].tolist(), counts[chosen].tolist()):
-                if frequent:
-                    rows = ((content_digest(part(s, s + units.window)), doc_id, doc.as_py(), s) for s in range(start, start + count))
+            for at, key, start, count in zip(*(x[chosen].tolist() for x in (often, keys, starts, counts))):
+                if at:
+                    rows = []
+                    for s in range(start, start + count):
+                        digest = content_digest(part(s, s + units.window))
+                        rows.append((int.from_bytes(digest[:4] + doc[:4], "little", signed=True), doc_id, doc, s, 1, None, digest))
                 else:
-                    rows = ((key, doc_id, doc.as_py(), start, count, part(start, start + count + units.window - 1)),)
+                    rows = [(key, doc_id, doc, start, count, part(start, start + count + units.window - 1), None)]
                 for row in rows:
                     for c, v in zip(out, row):
                         c.append(v)
         return out
 
-    schema = "digest binary, doc_id long, doc binary, start long" if frequent else (
-        "key long, doc_id long, doc binary, start long, windows long, piece binary")
-    return _mapped(texts, schema, of_batch)
+    return _mapped(texts, "key long, doc_id long, doc binary, start long, windows long, piece binary, digest binary", of_batch)
 
 
-Piece = tuple[int, int | None, bytes, int, int, bytes]
+Piece = tuple[int, int | None, bytes, int, int, bytes, None]
 Compare = Callable[[list[Piece]], list[tuple[int, int, int]]]
 
 
 def _in_chunks(compare: Compare):
-    """Whole keys, as many as fit a chunk, go through ``compare``: (piece, from, to) runs of windows."""
+    """Whole keys, as many as fit a chunk, go through ``compare``: (piece, from, to) runs of windows.
+
+    Rows of single windows are passed on with their digest.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Piece] = []
         size = 0
 
         def spans(rows):
             found = compare(rows) if rows else []
-            return pa.RecordBatch.from_arrays([
-                pa.array([rows[i][2] for i, _, _ in found], pa.binary()),
-                pa.array([rows[i][3] + a for i, a, _ in found], pa.int64()),
-                pa.array([rows[i][3] + b for i, _, b in found], pa.int64())], ["doc", "begin", "end"])
+            return [(rows[i][1], rows[i][2], rows[i][3] + a, rows[i][3] + b, None) for i, a, b in found]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "doc", "begin", "end", "digest"])
 
         for batch in batches:
+            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[6] is not None:
+                    out.append((row[1], row[2], row[3], row[3] + 1, row[6]))
+                    continue
                 if held and row[0] != held[-1][0] and (len(held) >= CHUNK_PIECES or size >= CHUNK_BYTES):
-                    yield spans(held)
+                    out += spans(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[5])
-        yield spans(held)
+            yield batch_of(out)
+        yield batch_of(spans(held))
 
     return run
 
@@ -221,25 +233,21 @@ def repeated_windows(docs: DataFrame, units: Units, compare: Compare, *, first_s
     each content; its copies are not listed.
     """
     copies = _copies(docs, units)
-    keys = checkpointed(_recurring(docs, units, copies).withColumn("frequent", F.col("all_pieces") > KEY_PIECES))
-    firsts = copies.filter("first").select("doc").distinct()
-
-    def texts(frequent: bool) -> DataFrame:
-        listed = keys.filter(F.col("frequent") == frequent).groupBy("row").agg(F.collect_list("key").alias("keys"))
-        return _packed(docs, units).join(listed, "row").join(firsts, "doc", "left_semi").dropDuplicates(["doc"]).select(
-            "doc_id", "doc", "packed", "keys")
-
-    runs = _pieces(texts(False), units, frequent=False).repartition("key").sortWithinPartitions(
-        "key", "doc_id", "doc", "start").mapInArrow(_in_chunks(compare), "doc binary, begin long, end long")
-    if keys.filter("frequent").limit(1).count():
-        windows = _pieces(texts(True), units, frequent=True)
-        least = windows.groupBy("digest").agg(
-            F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "doc", "start")).alias("least")).filter("places > 1")
-        again = join_by_key(windows, least, ["digest"], F.struct("doc", "start"), sizes="places")
-        if first_stays:
-            again = again.filter((F.col("least.doc") != F.col("doc")) | (F.col("least.start") != F.col("start")))
-        runs = runs.unionByName(again.select("doc", F.col("start").alias("begin"), (F.col("start") + 1).alias("end")))
-    return copies, runs
+    frequent = F.col("all_pieces") > KEY_PIECES
+    listed = _recurring(docs, units, copies).groupBy("row").agg(
+        F.collect_list(F.when(~frequent, F.col("key"))).alias("keys"), F.collect_list(F.when(frequent, F.col("key"))).alias("frequent"))
+    of_doc = copies.filter("first").select("row", "doc").distinct().join(listed, "row").drop("row")
+    texts = _packed(docs, units).join(of_doc, "doc").dropDuplicates(["doc"]).select("doc_id", "doc", "packed", "keys", "frequent")
+    found = checkpointed(_pieces(texts, units).repartition("key").sortWithinPartitions("key", "doc_id", "doc", "start").mapInArrow(
+        _in_chunks(compare), "doc_id long, doc binary, begin long, end long, digest binary"))
+    runs = found.filter(F.col("digest").isNull()).select("doc", "begin", "end")
+    windows = found.filter(F.col("digest").isNotNull())
+    least = windows.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "doc", "begin")).alias("least")).filter("places > 1")
+    again = join_by_key(windows, least, ["digest"], F.struct("doc", "begin"), sizes="places")
+    if first_stays:
+        again = again.filter((F.col("least.doc") != F.col("doc")) | (F.col("least.begin") != F.col("begin")))
+    return copies, runs.unionByName(again.select("doc", "begin", "end"))
 
 
 def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
