@@ -204,6 +204,7 @@ def test_nearest_smaller_and_ranks():
         runs = [tuple(units[i:i + window]) for i in range(60 - window + 1)]
         order = {r: i for i, r in enumerate(sorted(set(runs)))}
         assert hashing.window_ranks(units, window).tolist() == [order[r] for r in runs]
+        assert hashing.window_ranks(units.astype(np.uint8), window).tolist() == [order[r] for r in runs]
         assert len(hashing.gram_hashes(units, window)) == len(runs)
         assert len({(r, h) for r, h in zip(runs, hashing.gram_hashes(units, window).tolist())}) == len(set(runs))
 

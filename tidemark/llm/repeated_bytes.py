@@ -75,20 +75,26 @@ def factor_marks(places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.
 
 def compare_bytes(window: int, first_stays: bool) -> passages.Compare:
     def compare(rows):
-        sizes = np.array([len(r[5]) for r in rows])
-        counts = np.array([r[4] for r in rows])
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        ranks = window_ranks(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), window)
-        piece = np.repeat(np.arange(len(rows)), counts)
+        # Equal pieces are ordered once: all windows of the later ones repeat those of the first.
+        seen: dict[bytes, int] = {}
+        first_of = [seen.setdefault(r[5], i) for i, r in enumerate(rows)]
+        held = np.array(list(seen.values()))
+        copied = np.bincount(first_of, minlength=len(rows)) > 1
+        whole = [(i, 0, r[4]) for i, r in enumerate(rows) if first_of[i] != i or copied[i] and not first_stays]
+        counts = np.array([rows[i][4] for i in held])
+        sizes = np.array([len(rows[i][5]) for i in held])
+        ranks = window_ranks(np.frombuffer(b"".join(seen), np.uint8), window)
+        piece = np.repeat(np.arange(len(held)), counts)
         offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        places = begins[piece] + offset
+        places = (np.cumsum(sizes) - sizes)[piece] + offset
         previous, following = factor_marks(places, ranks[places])
-        at = np.flatnonzero(previous if first_stays else previous | following)
+        repeated = previous if first_stays else (previous | following) & ~copied[held[piece]]
+        at = np.flatnonzero(repeated)
         if not len(at):
-            return []
+            return whole
         breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(piece[at]) > 0))
         first, last = at[np.concatenate(([0], breaks + 1))], at[np.concatenate((breaks, [len(at) - 1]))]
-        return list(zip(piece[first].tolist(), offset[first].tolist(), (offset[last] + 1).tolist()))
+        return whole + list(zip(held[piece[first]].tolist(), offset[first].tolist(), (offset[last] + 1).tolist()))
 
     return compare
 
