@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PIECES_KEPT, PAIRS_KEPT = 200_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 100_000, 200_000
+# Bytes of text that are encoded before results are handed on.
+SLICE_BYTES = 1 << 20
 # White space as the pattern's \s means it.
 SPACE = "\t-\r \\x85\\xa0  -     　"
 # Characters whose class and case have not changed between versions of Unicode in use; texts with
@@ -206,6 +208,19 @@ class Encoder:
         return self.shown.join(ids)[:-1].decode()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each part holds about ``SLICE_BYTES`` of text (one row at least)."""
+    for batch in batches:
+        first, held = 0, 0
+        for i, x in enumerate(batch.column(column)):
+            held += len(x.as_buffer())
+            if held >= SLICE_BYTES:
+                yield batch.slice(first, i + 1 - first)
+                first, held = i + 1, 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(Encoder(path))
 
@@ -219,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             ids = [shared.value.encode(x.as_py()).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -231,7 +246,7 @@ def token_texts(docs: DataFrame, path: str) -> DataFrame:
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             ids = [shared.value.encode(x.as_py()) for x in batch.column(2)]
             texts = [shared.value.digits.join(x)[:-1].decode() for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -262,7 +277,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = shared.value.encode(text.as_py())
