@@ -191,14 +191,19 @@ def studio_digest(
     out = stages.join(counts, "home_studio_id", "full_outer").join(tasks, "home_studio_id", "left")
     if board is not None:
         out = out.join(board.select(
-            "home_studio_id", F.col("rank").alias("winback_rank"), "reactivation_rate", "bonus_award"),
+            "home_studio_id", F.col("rank").alias("winback_rank"), "reactivation_rate", "bonus_award",
+            F.count(F.lit(1)).over(W.partitionBy(F.lit(1))).alias("__of")),  # one row per studio
             "home_studio_id", "left")
     ints = ["critical_calls", "payment_failures", "inactive_members", "at_risk", "winback_eligible", "onboarding"]
     out = out.fillna(0, ints).fillna(0.0, ["winback_revenue"]).withColumn("__e", effect)
     c = F.col
     tasks_text = F.coalesce("tasks", F.lit("All clear — no high-priority follow-ups."))
+    rank_line = F.lit(None).cast("string") if board is None else F.when(c("winback_rank").isNotNull(), F.format_string(
+        "Win-back rank: #%d of %d (%d%% reactivation, $%s bonus pace)", c("winback_rank"), c("__of"),
+        F.bround(c("reactivation_rate") * 100, 0).cast("long"), F.format_number(F.bround("bonus_award", 0), 0)))
     lines = [
         F.concat(F.lit(title + " — "), c("home_studio_id")),
+        rank_line,
         F.format_string("%d critical calls needed", "critical_calls"),
         F.format_string("%d payment failures to resolve", "payment_failures"),
         F.format_string(f"%d members inactive {idle_days}+ days", "inactive_members"),
@@ -209,9 +214,10 @@ def studio_digest(
             F.lit("Win-back revenue opportunity: $"), F.bround("winback_revenue", 0).cast("long").cast("string"),
             F.lit("/mo"))),
         F.when(c("__e.total") > 0, F.format_string(
-            "%d/%d interventions had positive outcomes", c("__e.positive"), c("__e.total"))),
+            "%d/%d interventions had positive outcomes (%d%%)", c("__e.positive"), c("__e.total"),
+            F.bround(c("__e.positive") * 100 / c("__e.total"), 0).cast("long"))),
     ]
     return out.withColumns({
         "positive_outcomes": c("__e.positive"), "total_outcomes": c("__e.total"),
         "digest": F.concat_ws("\n", *lines),
-    }).drop("__e")
+    }).drop("__e", "__of")

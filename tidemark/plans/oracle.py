@@ -431,11 +431,13 @@ _TASKS = f"""(SELECT t.home_studio_id, kind, position, t.hashed_member_id, lead
   LEFT JOIN identity i USING (hashed_member_id))"""
 check("top_k_per_group", f"SELECT * FROM {_TASKS}")
 check("studio_digest", f"""
-SELECT *, concat_ws(chr(10), 'DAILY DIGEST — ' || home_studio_id, critical_calls || ' critical calls needed', payment_failures || ' payment failures to resolve',
+SELECT *, concat_ws(chr(10), 'DAILY DIGEST — ' || home_studio_id,
+  'Win-back rank: #' || winback_rank || ' of ' || (SELECT count(*) FROM {_BOARD}) || ' (' || CAST(round_even(reactivation_rate * 100, 0) AS BIGINT) || '% reactivation, $'
+    || format('{{:,}}', CAST(round_even(bonus_award, 0) AS BIGINT)) || ' bonus pace)', critical_calls || ' critical calls needed', payment_failures || ' payment failures to resolve',
   inactive_members || ' members inactive 14+ days', 'YOUR TASKS TODAY:' || chr(10) || coalesce(tasks, 'All clear — no high-priority follow-ups.'),
   'At-risk: ' || at_risk || ' | Win-back eligible: ' || winback_eligible || ' | Onboarding: ' || onboarding,
   CASE WHEN winback_eligible > 0 THEN 'Win-back revenue opportunity: $' || CAST(CAST(winback_revenue AS BIGINT) AS VARCHAR) || '/mo' END,
-  positive_outcomes || '/' || total_outcomes || ' interventions had positive outcomes') AS digest
+  positive_outcomes || '/' || total_outcomes || ' interventions had positive outcomes (' || CAST(round_even(positive_outcomes * 100 / CAST(total_outcomes AS DOUBLE), 0) AS BIGINT) || '%)') AS digest
 FROM (SELECT st.home_studio_id, at_risk, winback_eligible, onboarding, winback_revenue, coalesce(critical_calls, 0) AS critical_calls, coalesce(payment_failures, 0) AS payment_failures,
   coalesce(inactive_members, 0) AS inactive_members, tk.tasks, b.rank AS winback_rank, b.reactivation_rate, b.bonus_award,
   (SELECT count(*) FROM outcomes WHERE outcome_30d IN ('re_engaged','payment_resolved','still_active')) AS positive_outcomes, (SELECT count(*) FROM outcomes) AS total_outcomes
