@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     bpe, chat, exact_dedup, hashing, mixing, passages, pivot_search, quality, queries, repeated_bytes, repeated_phrases,
-    simhash, skew,
+    shingles, simhash, skew,
 )
 
 ODD = "doc_id long, text string, source string, _row string, sha string, _id long, _tokens long"
@@ -119,6 +119,50 @@ def test_near_groups(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_similar_groups_are_those_of_brute_force(spark, docs, rows, empty):
+    rng = random.Random(11)
+    texts = {doc_id: text for doc_id, text, _ in rows}
+    for base in (_text(rng, 60), _text(rng, 400), _text(rng, 12)):
+        for _ in range(30):
+            words = base.split()
+            for _ in range(rng.randrange(1 + len(words) // 20)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            texts[1000 + len(texts)] = " ".join(words).title()
+    page = _text(rng, 22).split()
+    texts |= {5000 + i: " ".join(page[:4 + i]) for i in range(19)}
+    texts |= {6000: "x y z", 6001: " X\ty Z ", 6002: "x y"}
+
+    def runs(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", _lowered(text).encode())
+        return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
+
+    sets, root = {d: runs(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    prints = {d: simhash.fingerprint((t or "").encode(), 5) & (1 << 64) - 1 for d, t in texts.items()}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                far += (prints[a] ^ prints[b]).bit_count() > 4
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert far > 20
+    more = spark.createDataFrame([(d, texts[d]) for d in texts if d >= 1000], "doc_id long, text string")
+    frame = docs.select("doc_id", "text").unionByName(more)
+    got = shingles.similar_groups(frame)
+    assert got.count() == frame.count()
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: find(d) for d in texts}
+    kept = simhash.drop_near_copies(frame, words=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(d) for d in texts})
+    assert simhash.drop_near_copies(docs, words=5, similarity=0.8).columns == docs.columns
+    assert shingles.similar_groups(empty).count() == 0 and simhash.drop_near_copies(empty, similarity=0.8).count() == 0
+
+
 def test_links_in_dense_groups_and_chains(spark):
     rng = random.Random(3)
     base = rng.getrandbits(63)

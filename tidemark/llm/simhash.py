@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.shingles import similar_groups
 from tidemark.llm.skew import join_by_key, packed
 from tidemark.session import checkpointed
 
@@ -24,7 +25,7 @@ SMALL = 16
 BIT_ROWS = 1 << 15
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """Majority of the bits of the shingle hashes, as a signed 64-bit integer; no words give 0."""
     import xxhash
 
@@ -34,7 +35,7 @@ def fingerprint(text: bytes | None) -> int:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(SHINGLE_WORDS, len(words))
+    width = min(shingle_words, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
@@ -45,16 +46,15 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [fingerprint(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, print) for every row; A-Z is lower-cased, words are split at ASCII white space."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, print long")
+        run, "doc_id long, print long")
 
 
 def block_masks() -> list[int]:
@@ -176,14 +176,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_groups(docs: DataFrame, *, distance: int = MAX_DISTANCE) -> DataFrame:
+def near_groups(docs: DataFrame, *, distance: int = MAX_DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id among all documents reachable by links, a document itself
     included; null ids are passed over (null if a component has no other). Texts without words,
     null ones too, have fingerprint zero and are linked like any other. Repeated rows stay repeated.
     """
-    rows = checkpointed(fingerprints(docs))
+    rows = checkpointed(fingerprints(docs, words))
     points = checkpointed(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(points, distance=distance)).withColumnRenamed("node", "print")
     rooted = points.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "first")
@@ -194,13 +194,20 @@ def near_groups(docs: DataFrame, *, distance: int = MAX_DISTANCE) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, *, distance: int = MAX_DISTANCE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, distance: int = MAX_DISTANCE, words: int = SHINGLE_WORDS,
+                     similarity: float | None = None) -> DataFrame:
     """``docs``, all its columns, with one document of each component: the one with the smallest doc_id.
 
+    With ``similarity`` the links are the pairs of at least that Jaccard similarity of shingles of ``words``
+    words, all of them (``shingles.similar_groups``); without it those of ``near_groups``.
+
     Rows without a doc_id stay only if their whole component has none (all of them then). Of repeated
     rows with one doc_id one stays.
     """
-    groups = near_groups(docs, distance=distance)
+    if similarity is None:
+        groups = near_groups(docs, distance=distance, words=words)
+    else:
+        groups = similar_groups(docs, words=words, similarity=similarity)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     named = packed(docs, _doc=F.col("doc_id")).join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     with_id = named.filter(F.col("_doc").isNotNull()).dropDuplicates(["_doc"])
