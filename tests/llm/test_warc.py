@@ -93,3 +93,21 @@ def test_null_pages_and_files(spark, tmp_path):
         named = [(dict(warc.header_lines(r.headers)), r.block) for r in again]
         assert sorted((h["WARC-Record-ID"], _sha1(bytes(b))) for h, b in named) == want
     assert html.unescape(re.sub("<[^>]*>", "", "<p>x</p>")) == warc.plain_text("<p>x</p>")
+
+
+def test_open_heads_and_closed_svgs_keep_the_text(spark):
+    pages = {
+        "<html><head><title>t</title><body><p>text</p>": "text",
+        "<head>\n<meta charset=utf-8><!-- <p> --><script>'<body><p>x'</script><title>t</title><link rel=a><h1>One</h1>two": "One\ntwo",
+        "<head><title>a <b> c</title>first <b>words</b><p>text": "first words\ntext",
+        "<head><title>t<body>text": "text",
+        "<head><title>a</title><body><p>one</p><head><title>b</title></head><p>two</p>": "one\ntwo",
+        "<head><script>'<body>'</script><title>t</title></head><body>text": "text",
+        "<p>a</p><svg width='1' /><p>b</p><svg><path d='M0'/><text>no</text></svg><p>c</p>": "a\nb\nc",
+        "<head><title>t</title></head><header>top</header><p>text</p>": "top\ntext",
+    }
+    for page, text in pages.items():
+        assert warc.plain_text(page) == text
+    frame = spark.createDataFrame([(i, f"http://{i}/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    made = warc.derivatives(warc.page_responses(frame)).filter("warc_type = 'conversion'").collect()
+    assert sorted(r.record.partition("\r\n\r\n")[2] for r in made) == sorted(pages.values())

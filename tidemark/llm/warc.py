@@ -21,7 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 UNDATED = "1970-01-01T00:00:00Z"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_DROPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<head\b[^<]*+(?:<(?!body\b|/head\s*>)[^<]*+)*+</head\s*>|<svg\b[^>]*/>"
+    r"|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+# A head without end tag ends before the first thing that cannot be in a head.
+_OPEN_HEAD = re.compile(
+    r"<head\b[^>]*>(?:\s|</?(?:meta|link|base)\b[^>]*>|<title\b[^>]*>(?:.*?</title\s*>|[^<]*))*", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|section|article|header|footer|nav|aside|main|h[1-6]|pre|blockquote|form|title|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -98,7 +103,7 @@ def decoded_body(headers: list[tuple[str, str]], body: bytes) -> tuple[str, str,
 
 def plain_text(markup: str) -> str:
     """The text of a page, a line for each block; scripts, styles, comments and the head are left out."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", markup)))
+    text = _TAG.sub("", _BLOCK.sub("\n", _OPEN_HEAD.sub(" ", _DROPPED.sub(" ", markup))))
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
