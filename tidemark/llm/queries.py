@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    bpe, chat, exact_dedup, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash, warc,
+    bpe, chat, exact_dedup, merkle, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,68 @@ FROM t GROUP BY conv_id
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``, checked against rows whose line ends are lost where crc32 of the id is even."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(table(spark, sf_dir, "documents"), text)
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.FIELDS[:-1]) + " || " + _FIELD + ")"
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS step
+), leaf AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS pos,
+         count(*) OVER (PARTITION BY key) AS n
+  FROM (
+    SELECT coalesce('=' || source, '') AS key, doc_id, {_LEAF.format("text")} AS leaf,
+           CASE WHEN xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                  lambda c, b: xor(c // 256, step[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) % 2 = 0
+             THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS seen
+    FROM documents, crc)
+), inner_tree AS (
+  SELECT key, 0 AS lvl, pos, leaf AS h, n FROM leaf
+  UNION ALL
+  SELECT key, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM inner_tree WHERE n > 1 GROUP BY key, lvl, pos // 3
+), subroots AS (
+  SELECT key, lvl AS depth, h, CAST(row_number() OVER (ORDER BY encode(key)) - 1 AS BIGINT) AS pos, count(*) OVER () AS n
+  FROM inner_tree WHERE n = 1
+), outer_tree AS (
+  SELECT 0 AS lvl, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM outer_tree WHERE n > 1 GROUP BY lvl, pos // 3
+), steps AS (
+  SELECT row_number() OVER () AS id, l.doc_id, l.leaf, l.seen, l.key, l.pos, s.depth, s.h AS subroot, s.pos AS s_pos FROM leaf l JOIN subroots s USING (key)
+), runs AS (
+  SELECT id, t.lvl, t.pos % 3 AS place, t.pos = x.pos // CAST(pow(3, t.lvl) AS BIGINT) AS own, t.h
+  FROM steps x JOIN inner_tree t ON t.key = x.key AND t.n > 1
+   AND t.pos // 3 = x.pos // CAST(pow(3, t.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT id, x.depth + t.lvl, t.pos % 3, t.pos = x.s_pos // CAST(pow(3, t.lvl) AS BIGINT), t.h
+  FROM steps x JOIN outer_tree t ON t.n > 1 AND t.pos // 3 = x.s_pos // CAST(pow(3, t.lvl + 1) AS BIGINT)
+), sides AS (
+  SELECT id, lvl, coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place < mine), '') AS lefts,
+         coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place > mine), '') AS rights
+  FROM (SELECT *, max(place) FILTER (WHERE own) OVER (PARTITION BY id, lvl) AS mine FROM runs) GROUP BY id, lvl
+), folds AS (
+  SELECT id, 0 AS lvl, seen AS h FROM steps
+  UNION ALL
+  SELECT f.id, f.lvl + 1, sha256(s.lefts || f.h || s.rights) FROM folds f JOIN sides s ON s.id = f.id AND s.lvl = f.lvl
+), ends AS (
+  SELECT id, arg_max(h, lvl) AS folded_root FROM folds GROUP BY id
+), proofs AS (
+  SELECT id, sha256(string_agg(lefts || rights, '' ORDER BY lvl)) AS proof_sha256 FROM sides GROUP BY id
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM outer_tree WHERE n = 1) AS root,
+       coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM outer_tree WHERE n = 1) AS verified
+FROM steps JOIN ends USING (id) LEFT JOIN proofs USING (id)
+"""
