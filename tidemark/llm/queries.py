@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    bpe, chat, exact_dedup, merkle, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, simhash, warc,
+    bpe, chat, exact_dedup, merkle, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, repetition, simhash,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +158,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
+
+
+def _again(width: int) -> str:
+    """Words of each text in windows of ``width`` words that are found twice or more in it."""
+    return f"""(
+  SELECT id, count(DISTINCT p) AS n FROM (
+    SELECT id, unnest(range(i, i + {width})) AS p FROM (
+      SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(list_slice(words, i, i + {width - 1}), ' ')) AS found
+      FROM (SELECT id, words, unnest(range(1, len(words) - {width - 2})) AS i FROM d WHERE len(words) >= {width}))
+    WHERE found > 1) GROUP BY id)"""
+
+
+# A maximal repeat longer than the limit is there if a window one word longer is found twice.
+ORACLE["op11_repetition"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+  FROM documents
+), lines AS (
+  SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY id
+), m AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+         coalesce(windows.n, 0) AS n_repeat_words, coalesce(covered.n, 0) AS n_covered, long.id IS NOT NULL AS too_long
+  FROM d LEFT JOIN lines ON lines.id = d.id LEFT JOIN {_again(repetition.WINDOW)} windows ON windows.id = d.id
+  LEFT JOIN {_again(repetition.MIN_REPEAT)} covered ON covered.id = d.id
+  LEFT JOIN {_again(repetition.MOST_REPEAT + 1)} long ON long.id = d.id
+), b AS (
+  SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
+       NOT base_failed AND NOT too_long AND n_covered <= n_words * CAST({repetition.MOST_COVERED} AS DOUBLE) AS kept
+FROM b
+"""
+
+
 @query
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of ``documents``, checked against rows whose line ends are lost where crc32 of the id is even."""
