@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    bpe, chat, exact_dedup, merkle, mixing, pivot_search, quality, repeated_bytes, repeated_phrases, repetition, simhash,
-    warc,
+    bpe, chat, exact_dedup, hard_negatives, merkle, mixing, pivot_search, quality, repeated_bytes, repeated_phrases,
+    repetition, simhash, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,11 +177,13 @@ def _again(width: int) -> str:
 ORACLE["op11_repetition"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words
   FROM documents
 ), lines AS (
   SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY id
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY id
 ), m AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
@@ -198,6 +200,37 @@ FROM b
 """
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives in ``embeddings``, with the labels of every seventh id moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE))::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored JOIN positives USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of ``documents``, checked against rows whose line ends are lost where crc32 of the id is even."""
