@@ -169,38 +169,41 @@ class _Proofs:
                 run = level[first:first + FANOUT]
                 proof.append({"place": place, "siblings": run[:place] + run[place + 1:]})
                 n //= FANOUT
-            out.append((row[0], start + i, row[5], above["root"], proof + above["path"], *row[6:6 + self.kept]))
+            out.append((row[0], start + i, row[5], above["root"], above["top"], proof + above["path"], *row[6:6 + self.kept]))
         return out
 
     def batch(self, rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(self.schema)], schema=self.schema)
 
 
-def tree_proofs(rows: DataFrame, kept: list[tuple[str, str]], order: list[str], levels: int) -> tuple[DataFrame, DataFrame]:
-    """(tree, at, leaf, root, proof, and the ``kept`` columns) of each row of (tree, leaf, …), and (tree, root, total).
+def climbed(rows: DataFrame, kept: list[str], order: list[str], levels: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of (tree, leaf, …) with their places, and (tree, block, root, path, total) of their blocks."""
+    placed = placed_rows(rows.select("tree", "leaf", *kept), "tree", order, levels)
+    spread = placed.select("tree", "block", "total", "leaf", "at").repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
+    roots = spread.select("tree", "block", "total", "leaf").mapInArrow(_by_block(_Roots(levels)), "tree string, block long, total long, node string")
+    return placed, checkpointed(butterfly(roots, levels))
+
 
-    A tree's leaves are in the order of ``order``; while it has several nodes, each run of ``FANOUT``
-    neighbours (fewer at the end, even one) becomes their hash. ``kept`` has names and types: long or string.
+def tree_proofs(placed: DataFrame, up: DataFrame, kept: list[tuple[str, str]], levels: int) -> DataFrame:
+    """(tree, at, leaf, root, top, proof, and the ``kept`` columns) of each placed row.
+
+    ``up`` has (tree, block, root, top, path) of the blocks. ``kept`` has names and types: long or string.
     """
     names = [n for n, _ in kept]
-    placed = placed_rows(rows.select("tree", "leaf", *names), "tree", order, levels)
-    spread = placed.select("tree", "block", "total", "leaf", "at").repartition("tree", "block").sortWithinPartitions("tree", "block", "at")
-    roots = spread.select("tree", "block", "total", "leaf").mapInArrow(_by_block(_Roots(levels)), "tree string, block long, total long, node string")
-    up = checkpointed(butterfly(roots, levels))
     head = up.select(
         "tree", "block", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(n) for n, t in (
-            ("total", "long"), ("at", "long"), ("leaf", "string"), *kept)), F.struct("root", "path").alias("above"))
+            ("total", "long"), ("at", "long"), ("leaf", "string"), *kept)), F.struct("root", "top", "path").alias("above"))
     body = placed.select(
         "tree", "block", F.lit(1).alias("kind"), "total", "at", "leaf", *names,
-        F.lit(None).cast(f"struct<root:string,path:{PROOF}>").alias("above"))
+        F.lit(None).cast(f"struct<root:string,top:string,path:{PROOF}>").alias("above"))
     kinds = {"long": pa.int64(), "string": pa.string()}
     proof = pa.list_(pa.struct([("place", pa.int32()), ("siblings", pa.list_(pa.string()))]))
-    schema = pa.schema([("tree", pa.string()), ("at", pa.int64()), ("leaf", pa.string()), ("root", pa.string()), ("proof", proof),
-                        *((n, kinds[t]) for n, t in kept)])
-    proofs = head.unionByName(body).repartition("tree", "block").sortWithinPartitions("tree", "block", "kind", "at").mapInArrow(
-        _by_block(_Proofs(schema, len(kept), levels)), f"tree string, at long, leaf string, root string, proof {PROOF}"
-        + "".join(f", {n} {t}" for n, t in kept))
-    return proofs, up.filter("block = 0").select("tree", "root", "total")
+    schema = pa.schema([
+        ("tree", pa.string()), ("at", pa.int64()), ("leaf", pa.string()), ("root", pa.string()), ("top", pa.string()),
+        ("proof", proof), *((n, kinds[t]) for n, t in kept)])
+    return head.unionByName(body).repartition("tree", "block").sortWithinPartitions("tree", "block", "kind", "at").mapInArrow(
+        _by_block(_Proofs(schema, len(kept), levels)),
+        f"tree string, at long, leaf string, root string, top string, proof {PROOF}" + "".join(f", {n} {t}" for n, t in kept))
 
 
 def manifest(leaves: DataFrame, *, levels: int = LEVELS) -> DataFrame:
@@ -208,20 +211,24 @@ def manifest(leaves: DataFrame, *, levels: int = LEVELS) -> DataFrame:
 
     ``leaf`` is a digest in hex (``leaf_digest``); ``seen`` is carried along, for instance the digest of the row as it is
     found later. ``proof`` has for each run on the way to the root the row's place in it and the digests of the
-    others. A source's leaves ascend by doc_id (null ones first, ties by leaf); sources ascend by their
-    UTF-8 bytes, the null source first. Repeated rows are leaves of their own. An empty table has no rows.
+    others. A source's leaves ascend by doc_id (null ones first, ties by leaf); while it has several nodes, each
+    run of ``FANOUT`` neighbours (fewer at the end, even one) becomes their hash. Sources ascend by their UTF-8
+    bytes, the null source first, and make a tree in the same way. Repeated rows are leaves of their own. An
+    empty table has no rows.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = leaves.select(key.alias("tree"), "leaf", F.col("doc_id").cast("long"), F.col("seen").cast("string"))
-    inner, sources = tree_proofs(rows, [("doc_id", "long"), ("seen", "string")], ["doc_id", "leaf", "seen"], levels)
-    outer, _ = tree_proofs(
-        sources.select(F.lit("").alias("tree"), F.col("root").alias("leaf"), F.col("tree").alias("name"), F.col("total").alias("size")),
-        [("name", "string"), ("size", "long")], ["name"], levels)
-    tops = checkpointed(outer.select(F.col("name").alias("tree"), F.col("root").alias("top"), F.col("proof").alias("above"), "size"))
-    whole = join_by_key(inner, tops, ["tree"], F.col("at"), sizes="size")
-    return whole.select(
+    rows = checkpointed(leaves.select(key.alias("tree"), "leaf", F.col("doc_id").cast("long"), F.col("seen").cast("string")))
+    inner, up = climbed(rows, ["doc_id", "seen"], ["doc_id", "leaf", "seen"], levels)
+    sources = up.filter("block = 0").select(
+        F.lit("").alias("tree"), F.col("root").alias("leaf"), F.col("tree").alias("name"),
+        F.ceil(F.col("total") / F.lit(FANOUT ** levels)).alias("blocks"))
+    outer, over = climbed(sources, ["name", "blocks"], ["name"], levels)
+    tops = checkpointed(tree_proofs(outer, over.withColumn("top", F.col("root")), [("name", "string"), ("blocks", "long")], levels).select(
+        F.col("name").alias("tree"), "top", F.col("proof").alias("above"), "blocks"))
+    whole = join_by_key(up, tops, ["tree"], F.col("block"), sizes="blocks").withColumn("path", F.concat("path", "above"))
+    return tree_proofs(inner, whole, [("doc_id", "long"), ("seen", "string")], levels).select(
         "doc_id", F.when(F.col("tree") != "", F.substr("tree", F.lit(2))).alias("source"), "leaf",
-        F.col("root").alias("subroot"), F.col("top").alias("root"), F.concat("proof", "above").alias("proof"), "seen")
+        F.col("root").alias("subroot"), F.col("top").alias("root"), "proof", "seen")
 
 
 def verified(docs: DataFrame, seen_text: Column, *, levels: int = LEVELS) -> DataFrame:
