@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PIECES_KEPT, PAIRS_KEPT = 100_000, 200_000
+from tidemark.llm.carry import carried
+
+PIECES_KEPT, PAIRS_KEPT = 200_000, 200_000
 # Bytes of text that are encoded before results are handed on.
 SLICE_BYTES = 1 << 20
 # White space as the pattern's \s means it.
@@ -41,6 +43,12 @@ class Table:
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
         self.data = np.frombuffer(b"".join(parts), np.uint8)
 
+    @classmethod
+    def of(cls, offsets: np.ndarray, data: np.ndarray) -> Table:
+        made = cls.__new__(cls)
+        made.offsets, made.data = offsets, data
+        return made
+
     def join(self, numbers: np.ndarray) -> bytes:
         """The strings of ``numbers`` one after the other."""
         starts = self.offsets[numbers]
@@ -52,6 +60,26 @@ class Table:
         return self.data[at].tobytes()
 
 
+class Recent(dict):
+    """A cache of two generations: what is not asked for while ``size`` entries come goes."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.before = size, {}
+
+    def __missing__(self, key):
+        """An entry of the generation before is taken over; else None, which is not kept."""
+        got = self.before.get(key)
+        return got if got is None else self.put(key, got)
+
+    def put(self, key, value):
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Encode and decode with a BPE vocabulary whose tokens may carry a word-end mark."""
 
@@ -102,8 +130,16 @@ class Encoder:
             parts[at:at + 2] = [self.pairs[parts[at], parts[at + 1]]]
         return parts == [token]
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+    def plain(self) -> dict:
+        """What the encoder is made of, without instances of this package's classes."""
+        return {k: (v.offsets, v.data) if isinstance(v, Table) else v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    @classmethod
+    def of(cls, plain: dict) -> Encoder:
+        made = cls.__new__(cls)
+        for name, value in plain.items():
+            setattr(made, name, Table.of(*value) if name in ("shown", "digits") else value)
+        return made
 
     def _prepare(self) -> None:
         import ahocorasick
@@ -112,13 +148,13 @@ class Encoder:
 
         self._matches = ahocorasick.Automaton()
         for s, token in self.by_text.items():
-            self._matches.add_word(s, (len(s), token))
+            self._matches.add_word(s, (len(s) - 1, token))
         self._matches.make_automaton()
         self._split = regex.compile(self.pattern.replace("\\s", SPACE))
         self._unsteady = re.compile(f"[^{STEADY}]")
         self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._fits: Recent[int, bool] = Recent(PAIRS_KEPT)
+        self._pieces: Recent[str, list[int]] = Recent(PIECES_KEPT)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens can stand side by side: no merge across their border comes first.
@@ -126,49 +162,52 @@ class Encoder:
         The later of the two border tokens is taken apart again and again; at each step a merge
         across the border that ranks before what was taken apart would have happened instead.
         """
-        known = self._fits.get((left, right))
-        if known is not None:
-            return known
-        a, b, limit, answer = left, right, (1 << 60, 0), True
+        a, b, limit, rank = left, right, (1 << 60, 0), self.rank
         while True:
             across = self.pairs.get((a, b))
-            if across is not None and (self.rank[across], 0) < limit:
-                answer = False
-                break
-            if self.rank[a] < 0 and self.rank[b] < 0:
-                break
-            if self.rank[a] > self.rank[b]:
-                limit, a = (self.rank[a], 0), self.halves[a][1]
+            if across is not None and (rank[across], 0) < limit:
+                return False
+            if rank[a] < 0 and rank[b] < 0:
+                return True
+            if rank[a] > rank[b]:
+                limit, a = (rank[a], 0), self.halves[a][1]
             else:  # equal merges run left to right, so the border's merge wins a tie against the right token
-                limit, b = (self.rank[b], 1), self.halves[b][0]
-        if len(self._fits) >= PAIRS_KEPT:
-            self._fits.clear()
-        self._fits[left, right] = answer
-        return answer
+                limit, b = (rank[b], 1), self.halves[b][0]
 
     def piece(self, piece: str) -> list[int]:
         """Token ids of one piece: a run of characters that the pattern keeps together."""
         raw = piece.encode()
         symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
+        whole = self.by_text.get(symbols)
+        if whole is not None:
+            return [whole]
         n = len(symbols)
-        longest: list[tuple[int, int]] = [(0, -1)] * n
-        for end, match in self._matches.iter(symbols):
-            start = end + 1 - match[0]
-            if match > longest[start]:
-                longest[start] = match
-        open_at, out, pos, token = [True] * (n + 1), [], 0, longest[0][1]
+        longest = [-1] * n
+        # Matches come by their ends, so the last one from a place is its longest.
+        for end, (back, token) in self._matches.iter(symbols):
+            longest[end - back] = token
+        fits, lengths, shorter = self._fits, self.lengths, self.shorter
+        closed: set[int] = set()
+        out: list[int] = []
+        pos, left, token = 0, -1, longest[0]
         while pos < n:
-            end = pos + self.lengths[token]
-            if open_at[end] and (not out or self.fits(out[-1], token)):
+            end = pos + lengths[token]
+            good = end not in closed
+            if good and left >= 0:
+                pair = left << 32 | token
+                good = fits[pair]
+                if good is None:
+                    good = fits.put(pair, self.fits(left, token))
+            if good:
                 out.append(token)
-                pos = end
-                token = longest[pos][1] if pos < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+                pos, left = end, token
+                token = longest[pos] if pos < n else -1
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
-                open_at[pos] = False
+                closed.add(pos)
                 token = out.pop()
-                pos -= self.lengths[token]
+                pos, left = pos - lengths[token], out[-1] if out else -1
         return out
 
     def _split_text(self, text: str) -> list[str]:
@@ -193,13 +232,11 @@ class Encoder:
                 ids.append(self.special[part])
                 continue
             for piece in self._split_text(part):
-                got = known.get(piece)
+                got = known[piece]
                 if got is None:
                     got = self.piece(piece)
-                    if len(known) >= PIECES_KEPT:
-                        known.clear()
                     if len(piece) < 64:
-                        known[piece] = got
+                        known.put(piece, got)
                 ids.extend(got)
         return np.array(ids, np.int64)
 
@@ -222,7 +259,8 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 
 
 def _shared(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(Encoder(path))
+    """A function that gives a task the encoder, built once in each worker from plain tables."""
+    return carried(docs.sparkSession, Encoder(path).plain(), Encoder.of)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -235,7 +273,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 1):
-            ids = [shared.value.encode(x.as_py()).astype(np.int32) for x in batch.column(1)]
+            ids = [shared().encode(x.as_py()).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -247,8 +285,8 @@ def token_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 2):
-            ids = [shared.value.encode(x.as_py()) for x in batch.column(2)]
-            texts = [shared.value.digits.join(x)[:-1].decode() for x in ids]
+            ids = [shared().encode(x.as_py()) for x in batch.column(2)]
+            texts = [shared().digits.join(x)[:-1].decode() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(texts, pa.string())],
                 ["doc_id", "source", "n_tokens", "token_ids"])
@@ -263,7 +301,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [shared.value.decode(np.array(x.as_py() or [], np.int64)) for x in batch.column(1)]
+            texts = [shared().decode(np.array(x.as_py() or [], np.int64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -280,9 +318,9 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in _slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = shared.value.encode(text.as_py())
-                digits = shared.value.digits.join(ids)[:-1]
-                decoded = shared.value.decode(ids).encode()
+                ids = shared().encode(text.as_py())
+                digits = shared().digits.join(ids)[:-1]
+                decoded = shared().decode(ids).encode()
                 rows.append({"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(digits).hexdigest(),
                              "decoded_sha256": hashlib.sha256(decoded).hexdigest()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.llm.carry import carried
 from tidemark.llm.skew import join_by_key
 from tidemark.session import checkpointed
 
@@ -221,7 +222,8 @@ def top_inner_products(rows: DataFrame, *, k: int = 5, every: int = 50) -> DataF
     if built is None:
         return spark.createDataFrame([], schema)
     index, indexed = built
-    width, shared = index.width, spark.sparkContext.broadcast(index)
+    width = index.width
+    shared = carried(spark, (index.width, index.square, index.pivots, index.annuli), lambda plain: Index(*plain))
     asked = vectors.filter(F.col("vec_id") % every == 0)
     members = asked.select("vec_id", "v")
     leaders = checkpointed(members.groupBy("v").agg(F.min("vec_id").alias("query")).select("query", F.transform(
@@ -230,7 +232,7 @@ def top_inner_products(rows: DataFrame, *, k: int = 5, every: int = 50) -> DataF
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            yield _routed(shared.value.routes(q, ids, wanted), ids, q, batch.column(1))
+            yield _routed(shared().routes(q, ids, wanted), ids, q, batch.column(1))
 
     first_routes = checkpointed(leaders.select("query", "v").mapInArrow(first, _ROUTES))
     reached = checkpointed(_visit(indexed, _by_lot(first_routes), width, wanted).drop("rank"))
@@ -242,7 +244,7 @@ def top_inner_products(rows: DataFrame, *, k: int = 5, every: int = 50) -> DataF
             ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
             seen = [{(s["pivot"], s["annulus"]) for s in (x or [])} for x in batch.column(2).to_pylist()]
             scores = [s if n == wanted else None for n, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield _routed(shared.value.rest(q, scores, wanted, seen), ids, q, batch.column(1))
+            yield _routed(shared().rest(q, scores, wanted, seen), ids, q, batch.column(1))
 
     next_routes = leaders.select("query", "v").join(visited, "query", "left").join(state, "query", "left").mapInArrow(more, _ROUTES)
     found = reached.unionByName(_visit(indexed, _by_lot(next_routes), width, wanted).drop("rank"))

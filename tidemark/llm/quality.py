@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.carry import carried
 from tidemark.llm.hashing import STEP, word_hashes
 
 # Labelled rows the model is fitted on at most, the ones with the smallest hash of their id.
@@ -161,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
 
 
 def _scorer(docs: DataFrame, model: Model) -> Callable[[pa.Array], np.ndarray]:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return lambda texts: np.array([shared.value.score(indicators(x.as_py())) for x in texts], np.float64)
+    shared = carried(docs.sparkSession, (model.ratios, model.weights, model.bias, model.slope, model.offset), lambda plain: Model(*plain))
+    return lambda texts: np.array([shared().score(indicators(x.as_py())) for x in texts], np.float64)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
