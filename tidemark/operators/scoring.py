@@ -63,9 +63,15 @@ def first_last_days(features: DataFrame, first: int = 5, last: int = 10) -> Data
 def member_lookup(
     identity: DataFrame, features: DataFrame, member_id: str, first: int = 5, last: int = 10
 ) -> DataFrame:
-    """One member's contact row with the start and end of the feature history."""
+    """One member's contact row with the start and end of the feature history.
+
+    The member's key is looked up first, so the features are filtered by a constant: a panel that is
+    bucketed by the key (``sources.store``) is read in one bucket only. An unknown member has no rows.
+    """
     one = identity.filter(F.col("member_id") == F.lit(member_id))
-    return first_last_days(one.join(features, "hashed_member_id"), first, last)
+    key = one.select("hashed_member_id").first()
+    history = features.filter(F.col("hashed_member_id") == F.lit(key[0] if key else None))
+    return first_last_days(one.join(history, "hashed_member_id"), first, last)
 
 
 def search_members(identity: DataFrame) -> DataFrame:

@@ -12,10 +12,13 @@ from tidemark.operators import (
 )
 from tidemark.session import checkpointed
 from tidemark.sources import bindings as B
+from tidemark.sources.store import MemberStore
 from tidemark.streaming.runner import scratch_dir
 
 # The moment the routers and guards are checked at.
 NOW = "2024-01-28 12:00:00"
+# Fixed value: the day whose state the daily runs start from.
+STORED_DAY = "2024-01-25"
 
 
 class Frames:
@@ -47,6 +50,25 @@ class Frames:
     def panel(self) -> DataFrame:
         return features.member_features_daily(self.t, salt=B.SALT)
 
+    @cached_property
+    def store(self) -> MemberStore:
+        """Feeds by day and the member state of ``STORED_DAY``, as a daily run finds them; written once a session."""
+        store = MemberStore(self.spark, scratch_dir(self.spark, "members"), salt=B.SALT)
+        store.add_feeds(self.t)
+        store.start(self.t, STORED_DAY)
+        return store
+
+    @cached_property
+    def daily_run(self) -> DataFrame:
+        """The panel's rows of the days after ``STORED_DAY``."""
+        return self.store.panel_after(self.t, STORED_DAY, self.as_of)
+
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        """The panel as a table by day, bucketed by member; written once a session."""
+        self.store.rebuild_panel(self.t)
+        return self.store.panel.read()
+
     @cached_property
     def snapshot(self) -> DataFrame:
         return features.member_features_snapshot(self.t, salt=B.SALT)

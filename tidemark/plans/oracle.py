@@ -163,6 +163,8 @@ _PANEL = ("* REPLACE (" + ", ".join([day("date_day"), *map(num, [
     "email_open_rate_30d"])]) + ")")
 check("member_features_daily", f"SELECT {_PANEL} FROM mart")
 check("member_features_incremental", f"SELECT {_PANEL} FROM mart WHERE date_day >= DATE '2024-01-26'")
+check("member_features_since", f"SELECT {_PANEL} FROM mart WHERE date_day >= DATE '2024-01-26'")
+check("member_state_daily", f"SELECT {_PANEL} FROM mart WHERE date_day = DATE '2024-01-27'")
 check("member_features_snapshot", f"SELECT {_PANEL} FROM snap")
 check("member_features_snapshot_earlier", f"SELECT {_PANEL} FROM snap_before")
 check("rolling_sum_7d", f"""

@@ -12,8 +12,10 @@ from tidemark.operators import (
     activity, audit, engagement, evaluation, explore, features, identity, lifecycle, model,
     monitoring, outcomes, quality, reports, revenue, routing, scoring, summaries, winback,
 )
-from tidemark.plans.context import NOW, Frames
+from tidemark.plans.context import NOW, STORED_DAY, Frames
+from tidemark.session import checkpointed
 from tidemark.sources import bindings as B, sinks, tables
+from tidemark.sources.store import KeyTable
 from tidemark.streaming import activity as streams, lockout, runner
 
 Query = Callable[[Frames], DataFrame]
@@ -150,11 +152,13 @@ for _name in C.RAW_TABLES:
 
 @query
 def sink_upsert(f: Frames) -> DataFrame:
-    """The earlier lifecycle snapshot with current rows replacing their keys."""
+    """The earlier lifecycle snapshot, kept by key, with current rows replacing theirs."""
     cols = ["hashed_member_id", "stage", "snapshot_date"]
-    base = f.life_before.select(*cols)
-    new = f.life_now.filter(F.col("stage") != "engaged").select(*cols)
-    return sinks.upsert(base, new, ["hashed_member_id"])
+    table = KeyTable(f.spark, runner.scratch_dir(f.spark, "lifecycle"), "hashed_member_id", buckets=16)
+    table.create(f.life_before.select(*cols))
+    new = checkpointed(f.life_now.filter(F.col("stage") != "engaged").select(*cols))
+    table.change(new, lambda rows, new: sinks.upsert(rows, new, ["hashed_member_id"]))
+    return table.read()
 
 
 def _queue(f: Frames) -> DataFrame:
@@ -164,10 +168,12 @@ def _queue(f: Frames) -> DataFrame:
 @query
 def sink_status_update(f: Frames) -> DataFrame:
     """Pending calls completed when the member has a later visit."""
-    pending = _queue(f)
-    done = pending.filter(F.col("status") == "Pending").select(
-        "action_id", F.lit("Voicemail Left").alias("outcome"), F.lit("auto").alias("notes"))
-    updated, _ = sinks.complete_actions(pending, done, f.now)
+    table = KeyTable(f.spark, runner.scratch_dir(f.spark, "queue"), "action_id", buckets=16)
+    table.create(_queue(f))
+    done = checkpointed(table.read().filter(F.col("status") == "Pending").select(
+        "action_id", F.lit("Voicemail Left").alias("outcome"), F.lit("auto").alias("notes")))
+    table.change(done, lambda rows, done: sinks.complete_actions(rows, done, f.now)[0])
+    updated = table.read()
     return updated.groupBy("action_type", "status").agg(
         F.count(F.lit(1)).alias("actions"), F.count("processed_at").alias("processed"))
 
@@ -239,8 +245,9 @@ def status_filter(f: Frames) -> DataFrame:
 
 @query
 def scope_to_studio(f: Frames) -> DataFrame:
+    """Reads the stored panel; the studio filter reaches its scan."""
     scoped = scoring.scope_to_studio(
-        {"features": f.panel, "identity": f.identity, "scores": f.scores}, "S07")
+        {"features": f.stored_panel, "identity": f.identity, "scores": f.scores}, "S07")
     rows = [
         df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("hashed_member_id").alias("members"))
         .select(F.lit(name).alias("frame"), "rows", "members")
@@ -251,7 +258,8 @@ def scope_to_studio(f: Frames) -> DataFrame:
 
 @query
 def member_lookup(f: Frames) -> DataFrame:
-    return scoring.member_lookup(f.identity, f.panel, "M0000000007").select(
+    """Reads one bucket of the stored panel."""
+    return scoring.member_lookup(f.identity, f.stored_panel, "M0000000007").select(
         "member_id", "name", "date_day", "day_no", "tenure_days", "sessions_attended_30d")
 
 
@@ -310,10 +318,25 @@ def member_features_daily(f: Frames) -> DataFrame:
 
 @query
 def member_features_incremental(f: Frames) -> DataFrame:
-    """The last days only, from carried state and the recent window."""
+    """The last days only, from the stored state of the day before and those days of the feeds."""
+    return f.daily_run
+
+
+@query
+def member_features_since(f: Frames) -> DataFrame:
+    """The last days only, from raw feeds: older activity is folded into the first day needed."""
     return features.member_features_daily(f.t, salt=B.SALT, since="2024-01-26")
 
 
+@query
+def member_state_daily(f: Frames) -> DataFrame:
+    """Two daily runs that move the stored state on, and the second day's rows from its state alone."""
+    days = [STORED_DAY, "2024-01-26", "2024-01-27"]
+    for before, day in zip(days, days[1:]):
+        f.store.advance(f.t, before, day)
+    return f.store.panel_of(f.t, days[-1])
+
+
 @query
 def member_features_snapshot(f: Frames) -> DataFrame:
     return f.snapshot
