@@ -41,6 +41,55 @@ def test_chain_intact_edited_deleted_malformed(spark, tmp_path):
     assert _verify(spark, tmp_path, lines[:2] + ["{oops"] + lines[2:])[:2] == (False, 3)
 
 
+def _events(spark, sizes):
+    rows = [(n, f"u{who}", "2024-01-01", "auth", "failure", None, "src", f"2024-01-01 {n % 24:02d}:00:00")
+            for n, who in enumerate(w for w, size in enumerate(sizes) for _ in range(size))]
+    return spark.createDataFrame(rows, "line long, username string, day string, event string, outcome string, reason string, source string, ts string")
+
+
+def _parsed(log):
+    return audit.parse_auth_lines(log.select("seq", F.col("seq").alias("line"), F.col("line").alias("value")))
+
+
+def test_long_chains_are_cut_into_segments_and_sealed(spark):
+    """One user has most of the events; the chain equals a plain walk over its records."""
+    log = audit.linked_log(_events(spark, [700, 5, 1]), ["username"], "line", segment=4).cache()
+    by_user = {}
+    for r in log.orderBy("username", "seq").collect():
+        by_user.setdefault(r.username, []).append(json.loads(r.line))
+    assert {u: len(x) for u, x in by_user.items()} == {"u0": 700, "u1": 5, "u2": 1}
+    for rows in by_user.values():
+        prev = None
+        for n, row in enumerate(rows):
+            if n % 4 == 0:
+                prev = C.GENESIS_HASH if n == 0 else hashlib.sha256(f"{C.GENESIS_HASH}:{n // 4}".encode()).hexdigest()
+            own = row.pop("hash")
+            assert row["prev_hash"] == prev
+            prev = hashlib.sha256((prev + json.dumps(row, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
+            assert own == prev
+    longest = log.groupBy("username", F.floor((F.col("seq") - 1) / 4)).count().agg(F.max("count")).first()[0]
+    assert longest == 4
+
+    parsed = _parsed(log)
+    seals = audit.chain_seals(parsed, ["username"], segment=4).cache()
+    assert sorted((r.username, r.records) for r in seals.collect()) == [("u0", 700), ("u1", 5), ("u2", 1)]
+
+    def state(kept):
+        rows = audit.verify_hash_chain(_parsed(kept), by=("username",), segment=4, seals=seals).collect()
+        return {r.username: (r.ok, r.first_broken, r.records, r.sealed) for r in rows}
+
+    fine = {"u0": (True, None, 700, True), "u1": (True, None, 5, True), "u2": (True, None, 1, True)}
+    assert state(log) == fine
+    big = F.col("username") == "u0"
+    assert state(log.filter(~(big & (F.col("seq") > 696)))) == fine | {"u0": (False, None, 696, False)}
+    assert state(log.filter(F.col("username") != "u2")) == fine | {"u2": (False, None, 0, False)}
+    assert state(log.withColumn("line", F.when(big & (F.col("seq") == 301), F.replace("line", F.lit("src"), F.lit("else"))).otherwise(F.col("line")))) \
+        == fine | {"u0": (False, 301, 700, True)}
+    # Two segments put in each other's place keep their inner links.
+    swapped = F.when(big & F.col("seq").between(5, 8), F.col("seq") + 4).when(big & F.col("seq").between(9, 12), F.col("seq") - 4).otherwise(F.col("seq"))
+    assert state(log.withColumn("seq", swapped))["u0"] == (False, 5, 700, False)
+
+
 @pytest.mark.parametrize("edit", [
     lambda line: line[:-1] + ', "note": "forged"}', lambda line: line + " trailing", lambda line: line + "]", lambda line: line + "} x",
     lambda line: line + "," + line, lambda line: json.dumps({k: v for k, v in json.loads(line).items() if k != "reason"}),
@@ -72,11 +121,21 @@ def test_lockout_window_reset_and_sources(spark):
     assert ("username", "old") not in got and ("source", "unknown") not in got
 
 
-def test_oversight_carries_over_days(spark):
-    t = lambda d, h: dt.datetime(2024, 1, d, h)
-    rows = [(1, "x", "A", t(1, 1)), (2, "x", "A", t(1, 2)), (3, "x", "B", t(1, 3)), (4, "x", "B", t(4, 1)), (5, "x", "A", t(4, 2)), (6, "y", "A", t(4, 3))]
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_oversight_carries_over_ranges(spark, ranges):
+    """One admin has most of the accesses; the rest is compared with a plain walk."""
+    import random
+
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(n, rng.choice("xxxxxxxy"), rng.choice("ABC"), start + dt.timedelta(minutes=rng.randrange(400))) for n in range(1, 900)]
+    rows += [(1000, "z", "A", start), (1001, "z", "A", start + dt.timedelta(days=9))]
     df = spark.createDataFrame(rows, "access_id long, admin_user string, viewed_studio string, accessed_at timestamp_ntz")
-    assert sorted(r.access_id for r in audit.oversight_log(df).collect()) == [1, 3, 5, 6]
+    last, want = {}, []
+    for access, admin, studio, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        if last.get(admin) != studio:
+            want.append(access)
+        last[admin] = studio
+    assert sorted(r.access_id for r in audit.oversight_log(df, ranges=ranges).collect()) == sorted(want)
 
 
 def test_append_upsert_and_panel_overwrite(spark, tmp_path):

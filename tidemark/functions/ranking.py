@@ -67,6 +67,15 @@ def _with_bucket(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
     return df.withColumn(_B, _bucket_of(edges, F.col(value)))
 
 
+def in_ranges(df: DataFrame, value: str, *, out: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with the number of the range its numeric ``value`` falls in; ranges have about equal numbers of rows.
+
+    Equal values are in one range, and ranges are numbered in the order of values. The rows are materialised, as
+    they are read twice.
+    """
+    return _with_bucket(checkpointed(df), value, ranges).withColumnRenamed(_B, out)
+
+
 def global_row_number(
     df: DataFrame, value: str, tiebreak: str, *, descending: bool = False,
     out: str = "row_number", buckets: int | None = None,

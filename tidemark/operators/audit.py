@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when
+from tidemark.functions.ranking import group_row_number, in_ranges
+from tidemark.session import checkpointed
 
 CHAIN_FIELDS = ["event", "outcome", "prev_hash", "reason", "source", "ts", "username"]
 
@@ -69,8 +71,8 @@ def record_hash(prev: Column, fields: list[str] = CHAIN_FIELDS) -> Column:
     return F.sha2(F.concat(prev, _ascii_json(body)), 256)
 
 
-def linked_lines(events: Column, *, genesis: str = C.GENESIS_HASH) -> Column:
-    """JSON lines of one chain from an array of records in order, each with the hash before it and its own."""
+def linked_lines(events: Column, start: Column) -> Column:
+    """JSON lines from an array of records in order, each with the hash before it (first ``start``) and its own."""
     names = [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f not in ("prev_hash", "hash")]
 
     def link(done: Column, e: Column) -> Column:
@@ -80,37 +82,104 @@ def linked_lines(events: Column, *, genesis: str = C.GENESIS_HASH) -> Column:
         line = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], own.alias("hash")), {"ignoreNullFields": "false"})
         return F.struct(own.alias("hash"), F.array_append(done["lines"], line).alias("lines"))
 
-    start = F.struct(F.lit(genesis).alias("hash"), F.array().cast("array<string>").alias("lines"))
-    return F.aggregate(events, start, link)["lines"]
+    first = F.struct(start.alias("hash"), F.array().cast("array<string>").alias("lines"))
+    return F.aggregate(events, first, link)["lines"]
+
+
+# Records of a chain that are linked one after the other; each segment starts at a hash of its own.
+SEGMENT = 256
+
+
+def anchor(segment: Column, genesis: str = C.GENESIS_HASH) -> Column:
+    """The hash a segment starts from: the genesis hash for the first one, a hash of the number for others."""
+    return F.when(segment == 0, F.lit(genesis)).otherwise(F.sha2(F.concat(F.lit(genesis + ":"), segment.cast("string")), 256))
+
+
+def _segment(seq: str, segment: int) -> Column:
+    return F.floor((F.col(seq) - 1) / F.lit(segment))
+
+
+def linked_log(
+    events: DataFrame, by: list[str], order: str, *, segment: int = SEGMENT, genesis: str = C.GENESIS_HASH,
+) -> DataFrame:
+    """(by, seq, line): the log of one chain for each value of ``by``, as JSON lines.
+
+    Records are numbered by the unique numeric ``order``; each run of ``segment`` of them is linked from its own
+    anchor, so a long chain is spread over tasks and no array is longer than that. Segments are bound
+    together by ``chain_seals``.
+    """
+    names = [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f not in ("prev_hash", "hash")]
+    records = events.select(*by, F.col(order).alias("__order"), F.struct(*names).alias("__record"))
+    numbered = group_row_number(records, by, "__order", out="seq")
+    parts = numbered.withColumn("__segment", _segment("seq", segment)).groupBy(*by, "__segment").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "__record"))).alias("__rows"))
+    lines = linked_lines(F.transform("__rows", lambda r: r["__record"]), anchor(F.col("__segment"), genesis))
+    return parts.select(*by, "__segment", F.posexplode(lines).alias("__at", "line")).select(
+        *by, (F.col("__segment") * segment + F.col("__at") + 1).alias("seq"), "line")
+
+
+def chain_seals(
+    log: DataFrame, by: list[str], *, seq: str = "seq", segment: int = SEGMENT, genesis: str = C.GENESIS_HASH,
+) -> DataFrame:
+    """(by, records, seal): one hash for each chain that depends on all its records and their order.
+
+    The last hash of each segment is a record of a shorter chain, which is cut into segments in turn, until one is
+    left; so a lost end or a segment put elsewhere is found too. Each step is one shuffle of bounded groups.
+    """
+    level = log.groupBy(*by, _segment(seq, segment).alias("__segment")).agg(
+        F.count(F.lit(1)).alias("records"), F.max_by("hash", seq).alias("seal"))
+    while True:
+        level = checkpointed(level)
+        if not (level.agg(F.max("__segment")).first()[0] or 0):
+            return level.select(*by, "records", "seal")
+        rows = level.select(*by, F.floor(F.col("__segment") / F.lit(segment)).alias("__next"), F.struct("__segment", "records", "seal").alias("__part"))
+        parts = rows.groupBy(*by, "__next").agg(F.array_sort(F.collect_list("__part")).alias("__parts"))
+        sealed = F.aggregate("__parts", anchor(F.col("__next"), genesis), lambda h, p: F.sha2(F.concat(h, F.coalesce(p["seal"], F.lit(""))), 256))
+        total = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["records"])
+        level = parts.select(*by, F.col("__next").alias("__segment"), total.alias("records"),
+                             F.when(F.size("__parts") > 1, sealed).otherwise(F.col("__parts")[0]["seal"]).alias("seal"))
 
 
 def check_hash_chain(
-    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = ()
+    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = (), segment: int | None = None,
 ) -> DataFrame:
     """Each record with ``linked`` (it follows its predecessor's hash) and ``intact``
     (linked, and its own hash is right).
 
     The predecessor is found by an equi join on the dense sequence number, so no
     task needs the whole log in order. A record whose hash is null (a malformed
-    line) is itself a break. ``by`` names the columns that tell several chains apart.
+    line) is itself a break. ``by`` names the columns that tell several chains apart; with ``segment`` each run of
+    so many records starts from its own anchor.
     """
     before = log.select(*by, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
-    joined = log.join(before, [*by, seq], "left").withColumn(
-        "__prev", F.when(F.col(seq) == 1, F.lit(genesis)).otherwise(F.col("__before"))
-    )
+    first = F.col(seq) == 1 if segment is None else F.pmod(F.col(seq), F.lit(segment)) == F.lit(1 % segment)
+    start = F.lit(genesis) if segment is None else anchor(_segment(seq, segment), genesis)
+    joined = log.join(before, [*by, seq], "left").withColumn("__prev", F.when(first, start).otherwise(F.col("__before")))
     linked = F.coalesce(F.col("prev_hash") == F.col("__prev"), F.lit(False))
     right = F.coalesce(F.col("hash") == record_hash(F.col("__prev")), F.lit(False))
     return joined.withColumns({"linked": linked, "intact": linked & right}).drop("__before", "__prev")
 
 
 def verify_hash_chain(
-    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = ()
+    log: DataFrame, *, seq: str = "seq", genesis: str = C.GENESIS_HASH, by: tuple[str, ...] = (), segment: int | None = None,
+    seals: DataFrame | None = None,
 ) -> DataFrame:
-    """Whether each chain holds, its first broken position and its record count (one row per chain)."""
+    """Whether each chain holds, its first broken position and its record count (one row per chain).
+
+    With ``seals`` (``chain_seals`` of the log as it was written) a chain also has to have its seal and its number of
+    records: ``sealed`` is false for a chain that was cut at its end, or lost altogether (no records, not ok).
+    """
     broken = F.min(F.when(~F.col("intact"), F.col(seq)))
-    return check_hash_chain(log, seq=seq, genesis=genesis, by=by).groupBy(*by).agg(
+    found = check_hash_chain(log, seq=seq, genesis=genesis, by=by, segment=segment).groupBy(*by).agg(
         broken.isNull().alias("ok"), broken.alias("first_broken"), F.count(F.lit(1)).alias("records")
     )
+    if seals is None:
+        return found
+    now = chain_seals(log, list(by), seq=seq, segment=segment or SEGMENT, genesis=genesis).drop("records")
+    both = seals.select(*by, F.col("seal").alias("__seal"), F.col("records").alias("__records")).join(found.join(now, [*by]), [*by], "full_outer")
+    sealed = F.coalesce((F.col("__seal") == F.col("seal")) & (F.col("__records") == F.col("records")), F.lit(False))
+    return both.select(*by, (F.coalesce("ok", F.lit(False)) & sealed).alias("ok"), "first_broken",
+                       F.coalesce("records", F.lit(0).cast("long")).alias("records"), sealed.alias("sealed"))
 
 
 def parse_auth_lines(lines: DataFrame) -> DataFrame:
@@ -190,28 +259,28 @@ def auth_failure_summary(events: DataFrame, *, now: Column, minutes: int = 60) -
     return reduce(DataFrame.unionByName, by)
 
 
-def oversight_log(accesses: DataFrame) -> DataFrame:
+def oversight_log(accesses: DataFrame, *, ranges: int | None = None) -> DataFrame:
     """Accesses whose studio differs from the same admin's previous access.
 
-    Rows are compared inside admin-days; the last studio of an admin's previous
-    active day is carried in from a table of one row per admin-day. A very
-    active admin is therefore spread over days, not held by one task.
+    Time is cut into ranges of about equal numbers of accesses. Rows are compared inside an admin's ranges; the last
+    studio of the admin's previous range is carried in from a table of one row per admin and range. An admin
+    with most of all accesses is therefore spread over ranges, not held by one task.
     """
-    day = F.to_date("accessed_at")
     order = ["accessed_at", "access_id"]
-    rows = accesses.withColumn("__day", day)
-    closing = rows.groupBy("admin_user", "__day").agg(
+    rows = in_ranges(accesses.withColumn("__t", F.unix_micros(F.col("accessed_at").cast("timestamp"))), "__t", out="__range", ranges=ranges)
+    closing = rows.groupBy("admin_user", "__range").agg(
         F.max_by("viewed_studio", F.struct(*order)).alias("__last")
     )
+    # One row for each range of an admin.
     carried = closing.select(
-        "admin_user", "__day",
-        F.lag("__last").over(W.partitionBy("admin_user").orderBy("__day")).alias("__carry"),
+        "admin_user", "__range",
+        F.lag("__last").over(W.partitionBy("admin_user").orderBy("__range")).alias("__carry"),
     )
-    inside = W.partitionBy("admin_user", "__day").orderBy(*order)
+    inside = W.partitionBy("admin_user", "__range").orderBy(*order)
     before = F.coalesce(F.lag("viewed_studio").over(inside), F.col("__carry"))
     return (
-        rows.join(carried, ["admin_user", "__day"])
+        rows.join(carried, ["admin_user", "__range"])
         .withColumn("__before", before)
         .filter(F.col("__before").isNull() | (F.col("__before") != F.col("viewed_studio")))
-        .drop("__day", "__carry", "__before")
+        .drop("__t", "__range", "__carry", "__before")
     )

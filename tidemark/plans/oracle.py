@@ -545,8 +545,9 @@ SELECT line + 1 AS seq, sha256(p || '{"event":"auth","outcome":"' || outcome ||
   || '","ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","username":"' || username || '"}') AS digest
 FROM (SELECT a.*, e.event_type, sha256(line || '-prev') AS p FROM auth a JOIN events e ON e.event_id = a.line)""")
 check("verify_hash_chain", """
-SELECT username, day, NOT (edited OR lost) AS ok, CASE WHEN edited OR lost THEN 2 END AS first_broken, n - CAST(lost AS INTEGER) AS records
-FROM (SELECT username, day, n, u % 3 = 0 AND n > 1 AS edited, u % 3 = 1 AND n > 2 AS lost
+SELECT username, day, NOT (edited OR lost OR cut) AS ok, CASE WHEN edited OR lost THEN 2 END AS first_broken,
+  n - CAST(lost OR cut AS INTEGER) AS records, NOT (edited AND n = 2 OR lost OR cut) AS sealed
+FROM (SELECT username, day, n, u % 3 = 0 AND n > 1 AS edited, u % 3 = 1 AND n > 2 AS lost, u % 3 = 2 AND n > 2 AS cut
   FROM (SELECT username, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(substr(username, 5) AS BIGINT) AS u FROM auth GROUP BY 1, 2, 4))""")
 _KEYED = """(SELECT 'username' AS key_type, username AS key_value, ts, outcome FROM auth
   UNION ALL SELECT 'source', source, ts, outcome FROM auth WHERE source <> 'unknown')"""
@@ -765,7 +766,9 @@ check("running_send_count", f"""
 SELECT hashed_member_id, round(risk_score, 6) AS risk_score, row_number() OVER (ORDER BY d.risk_score DESC, hashed_member_id) AS sent_so_far
 FROM (SELECT *, CASE WHEN is_holdout THEN 'Holdout' WHEN dt IN ('Email','SMS') AND hashed_member_id IN {_RECENT} THEN 'RateLimited' ELSE 'Sent' END AS st FROM {_D}) d
 WHERE dt IN ('Email','SMS') AND st = 'Sent'""")
-check("prev_row_link", "SELECT line + 1 AS seq, line > 0 AS linked, FALSE AS intact FROM auth")
+check("prev_row_link", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY line) AS seq, TRUE AS linked,
+  row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY line) % 10 <> 0 AS intact FROM auth""")
 check("dq_constant_flag", """
 SELECT unnest(['studios','members','ground_truth','memberships','sessions','transactions','app_events','ai_coach_chats','email_events']) AS table_name, TRUE AS flag_constant""")
 

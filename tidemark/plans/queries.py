@@ -889,11 +889,28 @@ def record_hash(f: Frames) -> DataFrame:
     return f.auth_chain.select("seq", audit.record_hash(F.col("prev_hash")).alias("digest"))
 
 
+def _auth_records(f: Frames) -> DataFrame:
+    return f.auth.select(
+        "line", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event", "outcome", "reason", "source",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "username")
+
+
+def _read_back(f: Frames, lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """A log written as text and read back, its records numbered along each chain."""
+    path = runner.scratch_dir(f.spark, "auth-chains")
+    lines.repartition(*by).sortWithinPartitions(*by, *order).select("line").write.text(path)
+    log = audit.parse_auth_lines(audit.number_lines(f.spark, path)).withColumn("day", F.left("ts", F.lit(10)))
+    return ranking.group_row_number(log.drop("seq"), by, "line", out="seq")
+
+
 @query
 def prev_row_link(f: Frames) -> DataFrame:
-    """Whether each record names the hash of the record before it."""
-    log = f.auth_chain.withColumn("hash", X.salted_hash(F.col("seq").cast("string"), "-prev"))
-    return audit.check_hash_chain(log).select("seq", "linked", "intact")
+    """The links of one chain per day, in segments of 64 records; every tenth record's outcome is edited."""
+    chains = audit.linked_log(_auth_records(f), ["day"], "line", segment=64)
+    edited = F.regexp_replace("line", '"outcome":"[a-z]+"', '"outcome":"forged"')
+    lines = chains.withColumn("line", F.when(F.col("seq") % 10 == 0, edited).otherwise(F.col("line")))
+    log = _read_back(f, lines, ["day"], ["seq"])
+    return audit.check_hash_chain(log, by=("day",), segment=64).select("day", "seq", "linked", "intact")
 
 
 @query
@@ -901,21 +918,19 @@ def verify_hash_chain(f: Frames) -> DataFrame:
     """A log of one chain per user and day, with some lines edited or lost, written and read back.
 
     Of users with numbers divisible by three, the second record gets a key more; with remainder one it is lost
-    if a third follows.
+    if a third follows, and with remainder two the last of three or more, which only the seals tell.
     """
-    day, number = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.substring("username", 5, 20).cast("long") % 3
-    events = f.auth.select("username", day, F.struct(
-        "line", "event", "outcome", "reason", "source", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "username").alias("e"))
-    chains = events.groupBy("username", "day").agg(F.array_sort(F.collect_list("e")).alias("events"))
-    lines = chains.select("username", "day", F.size("events").alias("n"), F.posexplode(audit.linked_lines(F.col("events"))).alias("at", "line"))
-    second, rest = F.col("at") == 1, number
+    by, rest = ["username", "day"], F.substring("username", 5, 20).cast("long") % 3
+    chains = checkpointed(audit.linked_log(_auth_records(f), by, "line", segment=4))
+    written = audit.parse_auth_lines(chains.select(F.col("seq"), F.col("seq").alias("line"), F.col("line").alias("value"))).withColumn(
+        "day", F.left("ts", F.lit(10)))
+    seals = audit.chain_seals(written, by, segment=4)
+    lines = chains.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+    second, last = F.col("seq") == 2, F.col("seq") == F.col("n")
     edited = F.when(second & (rest == 0), F.regexp_replace("line", r"\}$", ', "note": "forged"}')).otherwise(F.col("line"))
-    kept = lines.filter(~(second & (rest == 1) & (F.col("n") > 2))).withColumn("line", edited)
-    path = runner.scratch_dir(f.spark, "auth-chains")
-    kept.repartition("username", "day").sortWithinPartitions("username", "day", "at").select("line").write.text(path)
-    log = audit.parse_auth_lines(audit.number_lines(f.spark, path)).withColumn("day", F.left("ts", F.lit(10)))
-    of_chain = W.partitionBy("username", "day").orderBy("line")
-    return audit.verify_hash_chain(log.withColumn("seq", F.row_number().over(of_chain).cast("long")), by=("username", "day"))
+    lost = (F.col("n") > 2) & (second & (rest == 1) | last & (rest == 2))
+    log = _read_back(f, lines.filter(~lost).withColumn("line", edited), by, ["seq"])
+    return audit.verify_hash_chain(log, by=("username", "day"), segment=4, seals=seals)
 
 
 @query
