@@ -117,20 +117,24 @@ def group_row_number(
     df: DataFrame, group: list[str], order: str, *, out: str = "row_number", buckets: int | None = None,
 ) -> DataFrame:
     """row_number per group by a unique numeric ``order``; hot groups are split by order range."""
-    marked = _with_bucket(checkpointed(df), order, buckets)
-    before = W.partitionBy(*group).orderBy(_B).rowsBetween(W.unboundedPreceding, -1)
-    # At most ``buckets`` rows per group.
+    return row_number_in_ranges(_with_bucket(checkpointed(df), order, buckets), group, order, _B, out=out).drop(_B)
+
+
+def row_number_in_ranges(df: DataFrame, group: list[str], order: str, ranges: str, *, out: str) -> DataFrame:
+    """row_number per group by a unique ``order`` whose ranges (``in_ranges``) are numbered in column ``ranges``."""
+    before = W.partitionBy(*group).orderBy(ranges).rowsBetween(W.unboundedPreceding, -1)
+    # At most as many rows per group as there are ranges.
     offsets = (
-        marked.groupBy(*group, _B).agg(F.count(F.lit(1)).alias("__n"))
+        df.groupBy(*group, ranges).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(_OFF, F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    inside = W.partitionBy(*group, _B).orderBy(order)
+    inside = W.partitionBy(*group, ranges).orderBy(order)
     return (
-        marked.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, [*group, _B])
+        df.withColumn("__rn", F.row_number().over(inside))
+        .join(offsets, [*group, ranges])
         .withColumn(out, F.col(_OFF) + F.col("__rn"))
-        .drop(_B, "__rn", _OFF)
+        .drop("__rn", _OFF)
     )
 
 

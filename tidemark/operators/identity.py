@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions.expressions import (
     normalize_email, normalize_name, normalize_phone, salted_hash,
 )
-from tidemark.functions.ranking import group_row_number
+from tidemark.functions.ranking import in_ranges, row_number_in_ranges
 from tidemark.session import checkpointed
 
 
@@ -144,15 +144,15 @@ def _similarity_bound(a: str, b: str) -> Column:
 
 # --- matching ------------------------------------------------------------------
 
-def _pair_by_key(pos: DataFrame, app: DataFrame, key: str) -> DataFrame:
-    """The i-th free POS row and the i-th free app row with the same non-empty key."""
-    left = group_row_number(
-        pos.filter(F.col(key) != "").select("member_id", "row_order", key), [key], "row_order", out="nth"
-    ).select(key, "nth", "member_id")
-    right = group_row_number(
-        app.filter(F.col(key) != "").select("app_member_id", "row_order", key), [key], "row_order", out="nth"
-    ).select(key, "nth", "app_member_id")
-    return left.join(right, [key, "nth"]).select("member_id", "app_member_id")
+def _pair_by_key(pos: DataFrame, app: DataFrame, keys: list[str]) -> DataFrame:
+    """The i-th POS row and the i-th app row with the same keys, by ``row_order``; both have its ranges."""
+    left = row_number_in_ranges(pos, keys, "row_order", "__range", out="nth").select(*keys, "nth", "member_id")
+    right = row_number_in_ranges(app, keys, "row_order", "__range", out="nth").select(*keys, "nth", "app_member_id")
+    return left.join(right, [*keys, "nth"]).select("member_id", "app_member_id")
+
+
+def _with(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(F.col(key) != "")
 
 
 def _without(df: DataFrame, matches: DataFrame, key: str) -> DataFrame:
@@ -168,61 +168,124 @@ def match_exact_contacts(
     row order without listing all pairs, however many rows share the key.
     """
     pos, app = normalize_contacts(pos, **contact_options), normalize_contacts(app, **contact_options)
-    pos = checkpointed(pos.select("member_id", "row_order", "norm_email", "norm_phone"))
-    app = checkpointed(app.select("app_member_id", "row_order", "norm_email", "norm_phone"))
+    pos = in_ranges(pos.select("member_id", "row_order", "norm_email", "norm_phone"), "row_order", out="__range")
+    app = in_ranges(app.select("app_member_id", "row_order", "norm_email", "norm_phone"), "row_order", out="__range")
     by_email = pos
     if shared_email_guard:
         shared = (
             pos.filter(F.col("norm_email") != "").groupBy("norm_email").count().filter("count > 1")
         )
         by_email = pos.join(shared.select("norm_email"), "norm_email", "left_anti")
-    email = checkpointed(_pair_by_key(by_email, app, "norm_email"))
+    email = checkpointed(_pair_by_key(_with(by_email, "norm_email"), _with(app, "norm_email"), ["norm_email"]))
     phone = _pair_by_key(
-        _without(pos, email, "member_id"), _without(app, email, "app_member_id"), "norm_phone"
+        _with(_without(pos, email, "member_id"), "norm_phone"), _with(_without(app, email, "app_member_id"), "norm_phone"),
+        ["norm_phone"],
     )
     return email.withColumn("layer", F.lit("email")).unionByName(
         phone.withColumn("layer", F.lit("phone"))
     )
 
 
-def fuzzy_candidates(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
-    """Pairs with a contact overlap and a similar name.
+def _blocks(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """(block, name, key, order, home) of each record: one row for its email and one for its area, ``home`` is the area block."""
+    local = F.substring_index("norm_email", "@", 1)
+    area = F.when(F.col("norm_phone") != "", F.concat(F.lit("p:"), F.substring("norm_phone", 1, 3)))
+    return df.withColumn("home", area).withColumn(
+        "block",
+        F.explode(F.array_compact(F.array(
+            F.when(F.col("norm_email") != "", F.concat(F.lit("e:"), local)), F.col("home"),
+        ))),
+    ).select("block", _compact(F.col("norm_name")).alias(name), key, F.col("row_order").alias(order), "home")
+
 
-    Distinct names per overlap block meet on keys that any pair at or above the
-    threshold must share, so blocks are never compared pair by pair. A bound
-    computed in the JVM then drops what cannot reach the threshold, and the Arrow
+def _alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(block, a, b): distinct names of both sides of a block that are similar enough.
+
+    Names meet on keys that any pair at or above the threshold must share, so blocks are never compared pair
+    by pair. A bound computed in the JVM then drops what cannot reach the threshold, and the Arrow
     UDF only sees plausible pairs.
     """
-    def blocks(df: DataFrame, key: str) -> DataFrame:
-        local = F.substring_index("norm_email", "@", 1)
-        return df.withColumn(
-            "block",
-            F.explode(F.array_compact(F.array(
-                F.when(F.col("norm_email") != "", F.concat(F.lit("e:"), local)),
-                F.when(F.col("norm_phone") != "", F.concat(F.lit("p:"), F.substring("norm_phone", 1, 3))),
-            ))),
-        ).select("block", _compact(F.col("norm_name")).alias("cname"), key, "row_order")
-
-    left, right = blocks(pos, "member_id"), blocks(app, "app_member_id")
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        names = df.select("block", F.col("cname").alias(name)).distinct()
+        names = df.select("block", name).distinct()
         tokens = names.withColumn(f"{name}_tokens", _tokens(F.col(name)))
         return tokens.withColumn("key", F.explode(_name_keys(name, threshold)))
 
-    alike = (
+    return (
         keyed(left, "a").join(keyed(right, "b"), ["block", "key"])
         .filter(_similarity_bound("a", "b") >= threshold - 1e-9)
         .select("block", "a", "b").distinct()
         .filter(_jaro_winkler_udf("a", "b") >= threshold)
     )
-    return (
-        left.select("block", F.col("cname").alias("a"), "member_id", F.col("row_order").alias("pos_order"))
-        .join(alike, ["block", "a"])
-        .join(right.select("block", F.col("cname").alias("b"), "app_member_id",
-                           F.col("row_order").alias("app_order")), ["block", "b"])
-        .select("member_id", "pos_order", "app_member_id", "app_order")
-        .distinct()
-    )
+
+
+def _candidate_pairs(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
+    return left.join(alike, ["block", "a"]).join(right, ["block", "b"]).select(
+        "member_id", "pos_order", "app_member_id", "app_order").distinct()
+
+
+def fuzzy_candidates(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
+    """Pairs with a contact overlap and a similar name; for looking at them, as a common name gives many pairs."""
+    left, right = (_blocks(df, key, order, name).drop("home") for df, key, order, name in (
+        (pos, "member_id", "pos_order", "a"), (app, "app_member_id", "app_order", "b")))
+    return _candidate_pairs(left, right, _alike_names(left, right, threshold))
+
+
+def _not_implied(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
+    """``alike`` without the names of email blocks whose records all meet in one area block as well."""
+    def homes(df: DataFrame, name: str, side: str) -> DataFrame:
+        return df.filter(F.col("block").startswith("e:")).groupBy("block", name).agg(
+            F.when((F.min("home") == F.max("home")) & (F.count("home") == F.count(F.lit(1))), F.min("home")).alias(side))
+
+    both = alike.join(homes(left, "a", "home_a"), ["block", "a"], "left").join(homes(right, "b", "home_b"), ["block", "b"], "left")
+    return both.filter(~F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))).select("block", "a", "b")
+
+
+def closed_groups(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, a, group) and (block, b, group) of the names that are alike to exactly the names of their group.
+
+    In such a group every name of one side is alike to every name of the other and to no further one.
+    Names of a block that are alike to the same names have the same group; it is closed if each of those is alike
+    to no more names than the group has.
+    """
+    of_a = checkpointed(alike.groupBy("block", "a").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("b"))), 256).alias("group")))
+    size = of_a.groupBy("block", "group").agg(F.count(F.lit(1)).alias("names"))
+    degree = alike.groupBy("block", "b").agg(F.count(F.lit(1)).alias("degree"))
+    met = checkpointed(alike.join(of_a, ["block", "a"]).join(degree, ["block", "b"]).select("block", "b", "group", "degree").distinct())
+    closed = met.groupBy("block", "group").agg(F.min("degree").alias("least"), F.max("degree").alias("most")).join(
+        size, ["block", "group"]).filter((F.col("least") == F.col("names")) & (F.col("most") == F.col("names"))).select("block", "group")
+    return of_a.join(closed, ["block", "group"]).select("block", "a", "group"), met.join(closed, ["block", "group"]).select("block", "b", "group")
+
+
+def match_fuzzy_names(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
+    """(member_id, app_member_id): POS rows in order, each with the first free app row it is a candidate of.
+
+    Where everyone of one side is a candidate of everyone on the other and of no one else, as people of one name and
+    area are, the i-th POS row gets the i-th app row, and no pairs are listed. Only what is left, names that are alike
+    to different sets of names or records that meet in two blocks, is paired and settled in rounds.
+    """
+    left, right = (checkpointed(_blocks(df, key, order, name)) for df, key, order, name in (
+        (pos, "member_id", "pos_order", "a"), (app, "app_member_id", "app_order", "b")))
+    alike = checkpointed(_not_implied(left, right, checkpointed(_alike_names(left, right, threshold))))
+    groups_a, groups_b = closed_groups(alike)
+
+    def placed(rows: DataFrame, name: str, key: str, groups: DataFrame) -> DataFrame:
+        """Records with a candidate, with the number of blocks they have one in and their closed group if they have one."""
+        met = rows.join(alike.select("block", name).distinct(), ["block", name], "left_semi")
+        blocks = met.groupBy(key).agg(F.count(F.lit(1)).alias("blocks"))
+        return met.join(blocks, key).join(groups, ["block", name], "left")
+
+    own, other = checkpointed(placed(left, "a", "member_id", groups_a)), checkpointed(placed(right, "b", "app_member_id", groups_b))
+    # A group with a record that has candidates elsewhere is left to the rounds as a whole.
+    grouped = own.select("block", "group", "blocks").unionByName(other.select("block", "group", "blocks")).filter(F.col("group").isNotNull())
+    apart = checkpointed(grouped.groupBy("block", "group").agg(F.max("blocks").alias("__most")).filter("__most = 1").select("block", "group"))
+    in_group = [x.join(apart, ["block", "group"]) for x in (own, other)]
+    by_place = _pair_by_key(*(
+        in_ranges(x.select("block", "group", key, F.col(order).alias("row_order")), "row_order", out="__range")
+        for x, key, order in zip(in_group, ("member_id", "app_member_id"), ("pos_order", "app_order"))), ["block", "group"])
+    rest = [x.join(apart, ["block", "group"], "left_anti") for x in (own, other)]
+    pairs = _candidate_pairs(
+        rest[0].select("block", "a", "member_id", "pos_order"), rest[1].select("block", "b", "app_member_id", "app_order"), alike)
+    return by_place.unionByName(assign_in_order(pairs))
 
 
 def assign_in_order(candidates: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -266,12 +329,8 @@ def resolve_identities(
     """
     pos_n, app_n = normalize_contacts(pos, **contact_options), normalize_contacts(app, **contact_options)
     exact = checkpointed(match_exact_contacts(pos, app, shared_email_guard=shared_email_guard, **contact_options))
-    fuzzy = assign_in_order(
-        fuzzy_candidates(
-            _without(pos_n, exact, "member_id"), _without(app_n, exact, "app_member_id"),
-            threshold=threshold,
-        )
-    )
+    fuzzy = match_fuzzy_names(
+        _without(pos_n, exact, "member_id"), _without(app_n, exact, "app_member_id"), threshold=threshold)
     matches = exact.select("member_id", "app_member_id").unionByName(fuzzy)
     hashed = salted_hash(F.col("norm_email"), salt).alias("hashed_member_id")
     contact = ["name", "email", "phone"]
