@@ -22,7 +22,7 @@ HEADLINE = [
     "conversion_rates", "revenue_summary", "studio_leaderboard", "km_retention",
     "route_churn_actions", "send_cap", "risk_kpis", "studio_digest", "member_payload",
     "match_exact_contacts", "resolve_identities", "calibration_deciles", "auc_roc",
-    "feature_drift", "psi", "dq_foreign_keys", "oversight_log", "stream_rolling_activity",
+    "feature_drift", "psi", "dq_foreign_keys", "oversight_log", "rolling_activity",
 ]
 
 

@@ -83,3 +83,17 @@ def test_lockout_stream_by_source_counts_all(spark, tmp_path):
     df = spark.createDataFrame(rows, "username string, ts timestamp, outcome string, source string")
     out = run_available(lockout.stream_lockout(_stream(spark, df, tmp_path / "s")), "lock-source").collect()
     assert [(r.key_type, r.key_value, r.locked_at, r.failures) for r in out] == [("source", "s1", base, 9)]
+
+
+def test_late_rows_of_a_second_delivery_are_told(spark):
+    from tidemark.streaming.runner import run_deliveries
+
+    t = lambda d, m="m": (m, dt.datetime(2024, 1, d, 12), "open_app")
+    first = spark.createDataFrame([t(1), t(2), t(9), t(9, "n")], SCHEMA)
+    second = spark.createDataFrame([t(1), t(1), t(8), t(10), t(2, "n")], SCHEMA)
+    far = spark.createDataFrame([("end", dt.datetime(2024, 3, 1), "open_app")], SCHEMA)
+    # After the first delivery days up to the 7th are final; the 8th still counts.
+    late = {(r.member_id, r.event_date.day): r.rows for r in run_deliveries([first, second, far], S.stream_late_rows, "t").collect()}
+    assert late == {("m", 1): 2, ("n", 2): 1}
+    days = {(r.member_id, r.event_date.day): r.events for r in run_deliveries([first, second, far], S.stream_daily_activity, "t").collect()}
+    assert days == {("m", 1): 1, ("m", 2): 1, ("m", 8): 1, ("m", 9): 1, ("n", 9): 1, ("m", 10): 1}

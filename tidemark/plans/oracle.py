@@ -777,14 +777,19 @@ _ACT = """(SELECT member_id, scheduled_at AS ts, CASE WHEN attended THEN 'attend
   UNION ALL SELECT member_id, event_timestamp, event_type FROM app_events UNION ALL SELECT member_id, sent_at, status FROM emails
   UNION ALL SELECT member_id, CAST(transaction_date AS TIMESTAMP), CASE WHEN status = 'Failed' THEN 'failed_payment' ELSE 'payment' END FROM transactions
   UNION ALL SELECT member_id, timestamp, CASE WHEN lower(message_text) LIKE '%cancel%' THEN 'cancel_question' ELSE 'chat' END FROM chats WHERE sender = 'member')"""
+_LATE = "(CAST(ts AS DATE) <= DATE '2024-01-10' AND CAST(substr(member_id, 2) AS BIGINT) % 5 = 0)"
+_IN_TIME = f"(SELECT * FROM {_ACT} WHERE NOT {_LATE})"
 _ACT_COUNTS = """count(*) AS events, count(*) FILTER (kind IN ('booked','attended')) AS booked, count(*) FILTER (kind = 'attended') AS attended,
   count(*) FILTER (kind = 'open_app') AS logins, count(*) FILTER (kind = 'view_metrics') AS metric_views, count(*) FILTER (kind IN ('Sent','Delivered','Bounced','Opened','Clicked')) AS emails_sent,
   count(*) FILTER (kind IN ('Opened','Clicked')) AS emails_opened, count(*) FILTER (kind = 'Clicked') AS emails_clicked, count(*) FILTER (kind IN ('payment','failed_payment')) AS payments,
   count(*) FILTER (kind = 'failed_payment') AS failed_payments, count(*) FILTER (kind IN ('chat','cancel_question')) AS chats, count(*) FILTER (kind = 'cancel_question') AS cancel_questions"""
 check("stream_daily_activity", f"""
-SELECT member_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, {_ACT_COUNTS} FROM {_ACT} GROUP BY 1, 2""")
-check("stream_rolling_activity", f"""
-SELECT member_id, CAST(CAST(ts AS DATE) + CAST(o AS INTEGER) AS VARCHAR) AS date_day, {_ACT_COUNTS} FROM {_ACT}, range(0, 30) t(o) GROUP BY 1, 2""")
+SELECT member_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, {_ACT_COUNTS} FROM {_IN_TIME} GROUP BY 1, 2""")
+check("stream_late_rows", f"""
+SELECT member_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS rows FROM {_ACT} WHERE {_LATE} GROUP BY 1, 2""")
+for _name, _rows in (("stream_rolling_activity", _IN_TIME), ("rolling_activity", _ACT)):
+    check(_name, f"""
+SELECT member_id, CAST(CAST(ts AS DATE) + CAST(o AS INTEGER) AS VARCHAR) AS date_day, {_ACT_COUNTS} FROM {_rows}, range(0, 30) t(o) GROUP BY 1, 2""")
 check("stream_lockout", f"""
 SELECT * FROM (WITH RECURSIVE keyed AS (
   SELECT key_type, key_value, ts, count(*) FILTER (outcome = 'failure') AS failed, bool_or(outcome = 'success') AS good
@@ -813,4 +818,4 @@ UNION ALL SELECT chat_id, member_id, {_TS.format('timestamp')}, 'cancel_question
 check("stream_member_sessions", f"""
 SELECT member_id, {_TS.format('min(ts)')} AS session_start, {_TS.format('max(ts) + INTERVAL 30 MINUTE')} AS session_end, count(*) AS events
 FROM (SELECT *, sum(CASE WHEN ts < prior + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY member_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT *, lag(ts) OVER (PARTITION BY member_id ORDER BY ts) AS prior FROM {_ACT})) GROUP BY member_id, g""")
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY member_id ORDER BY ts) AS prior FROM {_IN_TIME})) GROUP BY member_id, g""")

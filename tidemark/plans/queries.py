@@ -1250,36 +1250,85 @@ def attendance_by_lifetime_decile(f: Frames) -> DataFrame:
     return explore.attendance_by_lifetime_decile(f.t["members"], f.t["ground_truth"], f.t["sessions"])
 
 
-# --- streams, run as batches of the same functions ------------------------------------------------------------------------
+# --- streams ---------------------------------------------------------------------------------------------------------------
 
-def _stream_events(f: Frames) -> DataFrame:
-    return streams.activity_events(
-        f.t["sessions"], f.t["app_events"], f.t["email_events"], f.t["transactions"], f.t["ai_coach_chats"])
+# The day the first delivery ends with, and the last day of which rows come late.
+_DELIVERED, _LATE = "2024-01-20", "2024-01-10"
+_FAR = "2024-06-30 00:00:00"
+
+
+def _activity_run(f: Frames, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The activity in three deliveries: early days, later days with rows that come late, and one far later event.
+
+    Late are the first days of members with numbers divisible by five. The last event closes all windows.
+    """
+    events = checkpointed(streams.activity_events(
+        f.t["sessions"], f.t["app_events"], f.t["email_events"], f.t["transactions"], f.t["ai_coach_chats"]))
+    day = F.to_date("ts")
+    late = (day <= F.lit(_LATE).cast("date")) & (F.substring("member_id", 2, 20).cast("long") % 5 == 0)
+    early = (day <= F.lit(_DELIVERED).cast("date")) & ~late
+    closing = events.limit(1).select(F.lit("closing").alias("member_id"), F.lit(_FAR).cast("timestamp_ntz").alias("ts"), F.lit("chat").alias("kind"))
+    out = runner.run_deliveries([events.filter(early), events.filter(~early), closing], build, name)
+    return out.filter(F.col("member_id") != "closing")
 
 
 @query
 def stream_daily_activity(f: Frames) -> DataFrame:
-    return streams.stream_daily_activity(_stream_events(f))
+    """Late rows are passed over: their days were final before they came."""
+    return _activity_run(f, streams.stream_daily_activity, "daily")
+
+
+@query
+def stream_late_rows(f: Frames) -> DataFrame:
+    """The rows that ``stream_daily_activity`` has passed over."""
+    return _activity_run(f, streams.stream_late_rows, "late")
 
 
 @query
 def stream_rolling_activity(f: Frames) -> DataFrame:
-    return streams.stream_rolling_activity(_stream_events(f))
+    return _activity_run(f, streams.stream_rolling_activity, "rolling")
+
+
+@query
+def rolling_activity(f: Frames) -> DataFrame:
+    """The same windows over the whole history as a batch, with no row late."""
+    return streams.stream_rolling_activity(streams.activity_events(
+        f.t["sessions"], f.t["app_events"], f.t["email_events"], f.t["transactions"], f.t["ai_coach_chats"]))
 
 
 @query
 def stream_send_rate_guard(f: Frames) -> DataFrame:
-    return streams.stream_send_rate_guard(f.audit, limit=2)
+    """The audit in two deliveries and a closing event of another status."""
+    sends = checkpointed(f.audit.select("sent_at", "status"))
+    early = F.to_date("sent_at") <= F.lit(_DELIVERED).cast("date")
+    closing = sends.limit(1).select(F.lit(_FAR).cast("timestamp_ntz").alias("sent_at"), F.lit("Sent").alias("status"))
+    return runner.run_deliveries(
+        [sends.filter(early), sends.filter(~early), closing], lambda s: streams.stream_send_rate_guard(s, limit=2), "guard")
 
 
 @query
 def stream_intent_flags(f: Frames) -> DataFrame:
-    return streams.stream_intent_flags(f.t["transactions"], f.t["ai_coach_chats"])
+    """Payments and chats in two deliveries, of which the second brings some of the first's events again."""
+    columns = {"transactions": "transaction_id as event_id, member_id, cast(transaction_date as timestamp_ntz) as ts, status, cast(null as string) as sender, cast(null as string) as message_text",
+               "ai_coach_chats": "chat_id as event_id, member_id, timestamp as ts, cast(null as string) as status, sender, message_text"}
+    both = checkpointed(f.t["transactions"].selectExpr(*columns["transactions"].split(", ")).unionByName(
+        f.t["ai_coach_chats"].selectExpr(*columns["ai_coach_chats"].split(", "))))
+    early = F.to_date("ts") <= F.lit(_DELIVERED).cast("date")
+    again = F.to_date("ts") == F.lit(_DELIVERED).cast("date")
+
+    def flags(events: DataFrame) -> DataFrame:
+        payments = events.filter(F.col("status").isNotNull()).select(
+            F.col("event_id").alias("transaction_id"), "member_id", F.col("ts").alias("transaction_date"), "status")
+        chats = events.filter(F.col("sender").isNotNull()).select(
+            F.col("event_id").alias("chat_id"), "member_id", F.col("ts").alias("timestamp"), "sender", "message_text")
+        return streams.stream_intent_flags(payments, chats, delay="1 day")
+
+    return runner.run_deliveries([both.filter(early), both.filter(~early | again)], flags, "flags")
 
 
 @query
 def stream_member_sessions(f: Frames) -> DataFrame:
-    return streams.stream_member_sessions(_stream_events(f))
+    return _activity_run(f, lambda s: streams.stream_member_sessions(s, delay="1 day"), "bursts")
 
 
 @query

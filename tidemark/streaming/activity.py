@@ -7,7 +7,12 @@ a batch, so both give the same rows on the same files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, has_text_intent
@@ -129,3 +134,20 @@ def stream_member_sessions(events: DataFrame, *, gap: str = "30 minutes", delay:
         .agg(F.count(F.lit(1)).alias("events"))
         .select("member_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
     )
+
+
+def stream_late_rows(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
+    """(member_id, event_date, rows) of events that come after their day is final, for each run that meets some.
+
+    These are the rows that ``stream_daily_activity`` with the same delay passes over. No state is kept;
+    a batch has no late rows.
+    """
+    def late(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = sum(len(p) for p in parts)
+        end = pd.Timestamp(key[1] + timedelta(days=1))
+        if end.value // 1_000_000 <= state.getCurrentWatermarkMs():
+            yield pd.DataFrame({"member_id": [key[0]], "event_date": [key[1]], "rows": [rows]})
+
+    days = _timed(events, "ts", delay).withColumn("event_date", F.to_date("ts"))
+    return days.groupBy("member_id", "event_date").applyInPandasWithState(
+        late, "member_id string, event_date date, rows long", "seen long", "append", GroupStateTimeout.NoTimeout)

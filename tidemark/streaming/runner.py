@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,23 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def run_deliveries(deliveries: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Files that arrive one delivery after the other, each followed by a run over one and the same checkpoint.
+
+    The next run takes up the state and the watermark the one before has left, so a row that comes with a
+    later delivery than its window allows is late. All deliveries have one schema. What was appended is returned.
+    """
+    spark = deliveries[0].sparkSession
+    base = scratch_dir(spark, name)
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(deliveries[0].schema).parquet(f"{base}/in"))
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
