@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 from html.parser import HTMLParser
 
 from tidemark.llm import queries, warc
@@ -111,3 +112,57 @@ def test_open_heads_and_closed_svgs_keep_the_text(spark):
     frame = spark.createDataFrame([(i, f"http://{i}/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     made = warc.derivatives(warc.page_responses(frame)).filter("warc_type = 'conversion'").collect()
     assert sorted(r.record.partition("\r\n\r\n")[2] for r in made) == sorted(pages.values())
+
+
+def test_unclosed_tags_take_linear_time():
+    for part in ("<a ", "<title>", "<head ", "<head><title>", "<svg ", "<p ", "</p", "<!-- ", "<a href='", "<script", "<head><meta "):
+        page = part * (1_000_000 // len(part))
+        for text in (page, "<head>" + page, page + ">", "</title></head><body>" + page):
+            start = time.process_time()
+            warc.plain_text(text), warc.page_title(text), warc.page_links(text)
+            assert time.process_time() - start < 1, part
+
+
+def test_odd_charsets_and_chunks_end_no_job():
+    for name in ("idna", "undefined", "punycode", "rot13", "hex", "utf-99", "latin-1", "unicode_escape", "utf-16"):
+        for headers, body in (([("Content-Type", f"text/html; charset={name}")], b"<p>a\xff</p>"),
+                              ([], b"<meta charset=" + name.encode() + b"><p>a\xff</p>")):
+            text, charset, error = warc.decoded_body(headers, body)
+            assert error == "" and (charset == name if name in ("latin-1", "utf-16") else charset == "utf-8" and "a\ufffd" in text)
+    for body in (b"-5\r\nabc", b"+3\r\nabc", b"0x3\r\nabc", b"\r\nabc", b"3\r\nab", b"zz\r\n", b"3", b"99999999999999999999\r\nx"):
+        text, _, error = warc.decoded_body([("Transfer-Encoding", "chunked")], body)
+        assert error or text == "ab"
+
+
+def _record(n, block):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{n}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_damaged_files_are_read_on(spark, tmp_path):
+    blocks = [b"block %d " % n * 50 for n in range(6)]
+    members = [gzip.compress(_record(n, b)) for n, b in enumerate(blocks)]
+    hurt = bytearray(members[2])
+    hurt[20:60] = b"\xff" * 40
+    files = {
+        "good.gz": b"".join(members), "one.gz": gzip.compress(b"".join(_record(n, b) for n, b in enumerate(blocks))),
+        "hurt.gz": b"".join([*members[:2], bytes(hurt), *members[3:]]), "cut.gz": b"".join(members)[:-30], "plain": b"junk" + _record(0, blocks[0]),
+        "short": _record(0, blocks[0])[:-80], "headless": b"WARC/1.1\r\nWARC-Type: response", "empty": b"", "tail.gz": members[0] + b"no member"}
+    got = {}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        rows = warc.read_records(spark, str(tmp_path / name))
+        got[name] = [(dict(warc.header_lines(r.headers)).get("WARC-Record-ID"), bytes(r.block), r.error) for r in rows.collect()]
+        assert warc.derivatives(rows).count() >= sum(x[0] is not None for x in got[name])
+    whole = [(f"<r{n}>", b, None) for n, b in enumerate(blocks)]
+    assert got["good.gz"] == got["one.gz"] == whole and got["plain"] == whole[:1] and got["empty"] == []
+    assert [x for x in got["hurt.gz"] if not x[2]] == whole[:2] + whole[3:] and sum(bool(x[2]) for x in got["hurt.gz"]) == 1
+    assert [x for x in got["cut.gz"] if not x[2]] == whole[:5] and got["cut.gz"][-1][2]
+    assert got["short"][0][0] == "<r0>" and got["short"][0][2] == "a record is cut off" and got["headless"][0][2]
+    assert got["tail.gz"][0] == whole[0] and got["tail.gz"][1][2] == "no gzip member"
+
+
+def test_many_members_take_linear_time():
+    data = b"".join(gzip.compress(_record(n, b"x" * 2000), 1) for n in range(20_000))
+    start = time.process_time()
+    assert sum(1 for r in warc._records(warc._members(memoryview(data))) if not r[2]) == 20_000
+    assert time.process_time() - start < 10
