@@ -56,10 +56,26 @@ def fingerprint(paths) -> str:
 
 
 MAPPINGS = {fingerprint(layout["paths"]): layout for layout in LAYOUTS}
+# Only paths that some mapping names make the fingerprint; a record may have any others besides.
+NAMED = frozenset(p for layout in LAYOUTS for p in layout["paths"])
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def layout_of(record) -> dict | None:
+    """The layout of a record, or None if it has none, or a turn number that is no whole number of 64 bits."""
+    if not isinstance(record, dict):
+        return None
+    layout = MAPPINGS.get(fingerprint(field_paths(record) & NAMED))
+    if layout and "turn" in layout:
+        number = record[layout["turn"][0]]
+        if number is not None and (type(number) is not int or not -(1 << 63) <= number < 1 << 63):
+            return None
+    return layout
 
 
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    """A text as it is, other values as JSON; halves of surrogate pairs cannot be written and are replaced."""
+    return _LONE.sub("\ufffd", value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False))
 
 
 def turns_of(record: dict, layout: dict) -> list[tuple[int | None, str, str]]:
@@ -80,7 +96,7 @@ def turn_records(conversations: DataFrame) -> DataFrame:
         F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
 
 
-_TURNS = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+_TURNS = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("record", pa.string())])
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,23 +105,31 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
             try:
                 record = json.loads(raw.as_py() or "")
-            except ValueError:
-                record = None
-            layout = MAPPINGS.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
-            found = turns_of(record, layout) if layout else [(None, None, None)]
-            rows.extend((conv_id, layout and layout["name"], *turn) for turn in found)
+                layout = layout_of(record)
+                found = turns_of(record, layout) if layout else []
+            except (ValueError, RecursionError):  # no JSON, numbers too long to read, or nested too deeply
+                layout, found = None, []
+            if not found:
+                rows.append((conv_id, None, None, None, None, raw.as_py()))
+            rows.extend((conv_id, layout["name"], *turn, None) for turn in found)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_TURNS)], schema=_TURNS)
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """(conv_id, layout, turn, role, text) from (conv_id, record) with JSON records.
+    """(conv_id, layout, turn, role, text, record) from (conv_id, record) with JSON records.
 
-    A record that is no JSON object, or of an unknown layout, gives one row with nothing but its
-    conv_id, so that it can be counted. Null roles and texts count as empty.
+    A layout is known by the paths its mapping names; other fields are passed over. A record that is no JSON object,
+    is nested too deeply, has no layout, no turns, or a turn number that is no 64-bit integer, gives one row with
+    nothing but its conv_id and the record (``unformatted``); for others record is null. Null roles and texts count as empty.
     """
     return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(
-        _canonical, "conv_id long, layout string, turn long, role string, text string")
+        _canonical, "conv_id long, layout string, turn long, role string, text string, record string")
+
+
+def unformatted(turns: DataFrame) -> DataFrame:
+    """(conv_id, record) of the records that no mapping fits, as they came; ``formatted_turns`` has all others."""
+    return turns.filter(F.col("layout").isNull()).select("conv_id", "record")
 
 
 def escaped(text: Column) -> Column:
@@ -123,7 +147,8 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, chunk, loss_start, loss_end): each turn's part of its conversation's text.
 
     The chunks of a conversation by turn (ties by chunk) are its formatted text. The offsets (in code
-    points of the chunk) bound what the loss is taken on: texts of the assistant; else they are null.
+    points of the chunk) bound what the loss is taken on: texts of the assistant; else they are null. Records
+    without a layout are not in it, see ``unformatted``.
     """
     known = turns.filter(F.col("layout").isNotNull())
     role, text = escaped(F.coalesce("role", F.lit(""))), escaped(F.coalesce("text", F.lit("")))
