@@ -186,3 +186,34 @@ def test_name_keys_lose_no_pair(spark, threshold):
     want = {(str(r.i), str(r.j)) for r in a.join(b).withColumn(
         "s", identity.jaro_winkler(F.col("a"), F.col("b"))).filter(F.col("s") >= threshold).collect()}
     assert got == want and len(want) > len(names)
+
+
+def test_windows_as_flags_give_the_drift_of_two_frames(spark):
+    """Rows of both windows, of one and of none; shifted values only count on the recent side."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 40, float(rng.integers(0, 30)), float(rng.integers(0, 9)) if i % 11 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "day int, sessions_attended_30d double, app_logins_30d double")
+    names = ["sessions_attended_30d", "app_logins_30d"]
+    ref, cur = F.col("day") < 20, F.col("day").between(15, 30)
+    for perturb in (False, True):
+        recent = monitoring.perturb_window(df.filter(cur)) if perturb else df.filter(cur)
+        want = {r.feature: (r.psi, r.severity) for r in monitoring.feature_drift(df.filter(ref), recent, names).collect()}
+        drift = monitoring.window_drift(df, ref, cur, names, perturb=perturb)
+        assert {r.feature: (r.psi, r.severity) for r in drift.collect()} == want and any(p > 0 for p, _ in want.values())
+    counts = monitoring._flagged_counts(df, ref, cur, names, {})
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("k", [0.0, 0.1, 0.37, 1.0])
+def test_top_share_ranks_only_the_cut_range(spark, k, monkeypatch):
+    """Scores with one value that many rows share, below, at and above the cut."""
+    rng, ranked = random.Random(9), []
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), rng.choice([0.5, 0.5, round(rng.random(), 2)]), rng.random() < 0.3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_key string, churn_probability double, actual boolean")
+    whole = evaluation.global_row_number
+    monkeypatch.setattr(evaluation, "global_row_number", lambda part, *a, **b: ranked.append(part.count()) or whole(part, *a, **b))
+    top = sorted(rows, key=lambda r: (-r[1], r[0]))[:int(3000 * k)]
+    got = evaluation.precision_at_top_k(df, k).first()
+    assert got.top_rows == len(top)
+    assert got.precision_at_k == (pytest.approx(sum(r[2] for r in top) / len(top), abs=1e-6) if top else None)
+    assert not ranked or ranked[0] < 3000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.expressions import count_when, ratio
-from tidemark.functions.ranking import global_row_number, running_totals
+from tidemark.functions.ranking import global_row_number, in_ranges, running_totals
 from tidemark.session import checkpointed
 
 PRED, LABEL = "churn_probability", "actual"
@@ -96,10 +96,25 @@ def precision_at_top_k(
     scored: DataFrame, k: float = 0.10, *, pred: str = PRED, label: str = LABEL,
     tiebreak: str = "row_key",
 ) -> DataFrame:
-    """Mean label over the top floor(n * k) scores."""
-    rows = checkpointed(scored.select(pred, label, tiebreak))
-    n = rows.agg(F.floor(F.count(F.lit(1)) * k)).scalar()
-    top = global_row_number(rows, pred, tiebreak, descending=True, out="__r").filter(F.col("__r") <= n)
+    """Mean label over the top floor(n * k) scores.
+
+    Scores are cut into ranges; ranges above the cut count whole, unsorted, and only the range the cut falls in
+    is ranked.
+    """
+    rows = in_ranges(scored.select(pred, label, tiebreak), pred, out="__range")
+    # One row per range.
+    sizes = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted, above, cut = int(sum(sizes.values()) * k), 0, None
+    for number in sorted(sizes, reverse=True):
+        if above + sizes[number] > wanted:
+            cut = number
+            break
+        above += sizes[number]
+    top = rows if cut is None else rows.filter(F.col("__range") > cut)
+    if cut is not None and above < wanted:
+        part = rows.filter(F.col("__range") == cut)
+        ranked = global_row_number(part, pred, tiebreak, descending=True, out="__r").filter(F.col("__r") <= wanted - above)
+        top = top.unionByName(ranked.drop("__r"))
     return top.agg(
         F.count(F.lit(1)).alias("top_rows"),
         F.round(F.avg(F.col(label).cast("double")), 6).alias("precision_at_k"),

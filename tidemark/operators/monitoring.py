@@ -50,21 +50,26 @@ def calibration_deciles(
     ).orderBy("decile")
 
 
-def drift_windows(
-    features: DataFrame, as_of: Column, *, train_start=None, train_end=None, recent_days: int = 30,
-    fallback_months: int = 12,
-) -> tuple[DataFrame, DataFrame]:
-    """Reference rows (training window, or the year before the recent days) and recent rows."""
+def drift_flags(
+    as_of: Column, *, train_start=None, train_end=None, recent_days: int = 30, fallback_months: int = 12,
+) -> tuple[Column, Column]:
+    """Whether a feature row is of the reference window (the training window, or the year before the recent days), and
+    whether it is recent."""
     day = F.col("date_day")
-    current = features.filter(day > F.date_sub(as_of, recent_days))
+    recent = day > F.date_sub(as_of, recent_days)
     if train_start is not None and train_end is not None:
-        bounds = day.between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date"))
-        return features.filter(bounds), current
+        return day.between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date")), recent
     start = F.add_months(as_of, -fallback_months)
-    return features.filter((day >= start) & (day <= F.date_sub(as_of, recent_days))), current
+    return (day >= start) & (day <= F.date_sub(as_of, recent_days)), recent
 
 
-def perturb_window(current: DataFrame) -> DataFrame:
+def drift_windows(features: DataFrame, as_of: Column, **window) -> tuple[DataFrame, DataFrame]:
+    """The reference rows and the recent rows (``drift_flags``)."""
+    reference, recent = drift_flags(as_of, **window)
+    return features.filter(reference), features.filter(recent)
+
+
+def _shifts(columns: list[str]) -> dict[str, Column]:
     """A what-if shift: fewer visits and logins, longer idle time, more failed payments."""
     shifts = {
         "sessions_attended_30d": F.col("sessions_attended_30d") * 0.3,
@@ -72,23 +77,43 @@ def perturb_window(current: DataFrame) -> DataFrame:
         "app_logins_30d": F.col("app_logins_30d") * 0.4,
         "failed_payments_count_30d": F.col("failed_payments_count_30d") + 1,
     }
-    return current.withColumns({k: v for k, v in shifts.items() if k in current.columns})
+    return {k: v for k, v in shifts.items() if k in columns}
 
 
-def _long_counts(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+def perturb_window(current: DataFrame) -> DataFrame:
+    """The rows after the what-if shift."""
+    return current.withColumns(_shifts(current.columns))
+
+
+def _value_counts(wide: DataFrame, features: list[str]) -> DataFrame:
     """Occurrences per feature and value on both sides, in one aggregation."""
+    return (
+        wide.unpivot(["in_ref", "in_cur"], features, "feature", "value")
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        .groupBy("feature", "value").agg(F.sum("in_ref").alias("nr"), F.sum("in_cur").alias("nc"))
+    )
+
+
+def _long_counts(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     def side(df: DataFrame, nr: int) -> DataFrame:
         return df.select(
             *[F.col(f).cast("double").alias(f) for f in features],
             F.lit(nr).alias("in_ref"), F.lit(1 - nr).alias("in_cur"),
         )
 
-    wide = side(reference, 1).unionByName(side(current, 0))
-    return (
-        wide.unpivot(["in_ref", "in_cur"], features, "feature", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value").agg(F.sum("in_ref").alias("nr"), F.sum("in_cur").alias("nc"))
-    )
+    return _value_counts(side(reference, 1).unionByName(side(current, 0)), features)
+
+
+def _flagged_counts(
+    df: DataFrame, reference: Column, current: Column, features: list[str], shifts: dict[str, Column],
+) -> DataFrame:
+    """The counts of rows that carry their windows as flags: one pass, a row of both windows counts on both sides."""
+    def side(flag: Column, nr: int, changed: dict[str, Column]) -> Column:
+        values = [changed.get(f, F.col(f)).cast("double").alias(f) for f in features]
+        return F.when(flag, F.struct(F.lit(nr).alias("in_ref"), F.lit(1 - nr).alias("in_cur"), *values))
+
+    sides = F.array_compact(F.array(side(reference, 1, {}), side(current, 0, shifts)))
+    return _value_counts(df.filter(reference | current).select(F.inline(sides)), features)
 
 
 def psi_table(
@@ -101,7 +126,22 @@ def psi_table(
     Fewer than ``min_rows`` values on a side, or fewer than three distinct
     edges, gives 0.
     """
-    both = checkpointed(_long_counts(reference, current, features))
+    return _psi_of_counts(_long_counts(reference, current, features), bins, min_rows, eps)
+
+
+def psi_of_windows(
+    df: DataFrame, reference: Column, current: Column, features: list[str], *, shifts: dict[str, Column] | None = None,
+    bins: int = 10, min_rows: int = 10, eps: float = 1e-6,
+) -> DataFrame:
+    """``psi_table`` of two windows of one table, given as flags of its rows; the table is read once.
+
+    ``shifts`` changes the values of current rows.
+    """
+    return _psi_of_counts(_flagged_counts(df, reference, current, features, shifts or {}), bins, min_rows, eps)
+
+
+def _psi_of_counts(counts: DataFrame, bins: int, min_rows: int, eps: float) -> DataFrame:
+    both = checkpointed(counts)
     ref = both.filter(F.col("nr") > 0)
     probs = [i / bins for i in range(bins + 1)]
     q = exact_quantiles(ref, ["feature"], "value", probs, weight="nr")
@@ -137,9 +177,21 @@ def feature_drift(
 ) -> DataFrame:
     """PSI per watched feature with its severity, worst first."""
     present = [f for f in features if f in reference.columns and f in current.columns]
-    table = psi_table(reference, current, present, **options)
-    spark = reference.sparkSession
-    names = spark.createDataFrame([(f,) for f in present], "feature string")
+    return _severity(psi_table(reference, current, present, **options), present, significant, moderate)
+
+
+def window_drift(
+    panel: DataFrame, reference: Column, current: Column, features: list[str] = C.DRIFT_FEATURES, *, perturb: bool = False,
+    significant: float = 0.20, moderate: float = 0.10, **options,
+) -> DataFrame:
+    """``feature_drift`` of two windows of one panel (``drift_flags``), which is read once."""
+    present = [f for f in features if f in panel.columns]
+    table = psi_of_windows(panel, reference, current, present, shifts=_shifts(panel.columns) if perturb else None, **options)
+    return _severity(table, present, significant, moderate)
+
+
+def _severity(table: DataFrame, present: list[str], significant: float, moderate: float) -> DataFrame:
+    names = table.sparkSession.createDataFrame([(f,) for f in present], "feature string")
     p = F.round(F.coalesce("psi", F.lit(0.0)), 4)
     return (
         names.join(table, "feature", "left")

@@ -1092,9 +1092,8 @@ def perturb_window(f: Frames) -> DataFrame:
 
 
 def _drift(f: Frames, perturb: bool) -> DataFrame:
-    ref, cur = monitoring.drift_windows(
-        f.panel, f.as_of, train_start="2024-01-01", train_end="2024-01-15", recent_days=10)
-    return monitoring.feature_drift(ref, monitoring.perturb_window(cur) if perturb else cur)
+    windows = monitoring.drift_flags(f.as_of, train_start="2024-01-01", train_end="2024-01-15", recent_days=10)
+    return monitoring.window_drift(f.panel, *windows, perturb=perturb)
 
 
 @query
@@ -1112,8 +1111,7 @@ def psi(f: Frames) -> DataFrame:
     """Item value drift between the two halves of the line items' ship years."""
     lines = f.raw("lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     early = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
-    return monitoring.psi_table(
-        lines.filter(early), lines.filter(~early), ["l_quantity", "l_extendedprice", "l_discount"])
+    return monitoring.psi_of_windows(lines, early, ~early, ["l_quantity", "l_extendedprice", "l_discount"])
 
 
 @query
