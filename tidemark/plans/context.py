@@ -27,6 +27,12 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        """A frame as a table that is written once a session, as a nightly run leaves it to the reports."""
+        path = scratch_dir(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
@@ -69,13 +75,16 @@ class Frames:
         self.store.rebuild_panel(self.t)
         return self.store.panel.read()
 
+    def member_days(self, days_before: int = 0) -> DataFrame:
+        return features.member_features_snapshot(self.t, salt=B.SALT, as_of=F.date_sub(self.as_of, days_before))
+
     @cached_property
     def snapshot(self) -> DataFrame:
-        return features.member_features_snapshot(self.t, salt=B.SALT)
+        return self._kept("member-day", self.member_days())
 
     @cached_property
     def snapshot_before(self) -> DataFrame:
-        return features.member_features_snapshot(self.t, salt=B.SALT, as_of=F.date_sub(self.as_of, 7))
+        return self._kept("member-day-before", self.member_days(7))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -91,19 +100,19 @@ class Frames:
             p.alias("churn_probability"), F.col("is_churned_14d").alias("actual"),
         )
 
-    def _stages(self, snapshot: DataFrame, day: Column) -> DataFrame:
+    def stages(self, snapshot: DataFrame, day: Column) -> DataFrame:
         scores = scoring.with_risk_tier(B.stand_in_scores(snapshot))
         return lifecycle.lifecycle_stage(
             snapshot, scores, self.t["ground_truth"], self.t["memberships"], self.identity, as_of=day)
 
     @cached_property
     def life_now(self) -> DataFrame:
-        return self._stages(self.snapshot, self.as_of)
+        return self._kept("stages", self.stages(self.snapshot, self.as_of))
 
     @cached_property
     def life_before(self) -> DataFrame:
-        prior = self._stages(self.snapshot_before, F.date_sub(self.as_of, 7))
-        return lifecycle.stage_transition(prior, None)
+        prior = self.stages(self.snapshot_before, F.date_sub(self.as_of, 7))
+        return self._kept("stages-before", lifecycle.stage_transition(prior, None))
 
     @cached_property
     def lifecycle(self) -> DataFrame:
@@ -122,11 +131,14 @@ class Frames:
     def audit(self) -> DataFrame:
         return B.audit_domain(self.spark, self.sf_dir, self.identity)
 
-    @cached_property
-    def outcomes(self) -> DataFrame:
+    def intervention_outcomes(self) -> DataFrame:
         return outcomes.intervention_outcomes(
             self.audit, self.t["sessions"], self.t["transactions"], self.t["ground_truth"])
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return self._kept("outcomes", self.intervention_outcomes())
+
     @cached_property
     def treated(self) -> DataFrame:
         return revenue.treated_members(self.outcomes, self.life_now)

@@ -339,12 +339,12 @@ def member_state_daily(f: Frames) -> DataFrame:
 
 @query
 def member_features_snapshot(f: Frames) -> DataFrame:
-    return f.snapshot
+    return f.member_days()
 
 
 @query
 def member_features_snapshot_earlier(f: Frames) -> DataFrame:
-    return f.snapshot_before
+    return f.member_days(7)
 
 
 @query
@@ -452,7 +452,7 @@ def dedup_first(f: Frames) -> DataFrame:
 
 @query
 def lifecycle_stage(f: Frames) -> DataFrame:
-    return f.life_now
+    return f.stages(f.snapshot, f.as_of)
 
 
 @query
@@ -515,7 +515,7 @@ def tier_mismatch_check(f: Frames) -> DataFrame:
 
 @query
 def intervention_outcomes(f: Frames) -> DataFrame:
-    return f.outcomes
+    return f.intervention_outcomes()
 
 
 @query
