@@ -157,8 +157,9 @@ def components(edges: DataFrame) -> DataFrame:
     too, until nothing changes; the number of rounds grows with the logarithm of the longest path.
     """
     def smallest(of: DataFrame) -> DataFrame:
-        least = of.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")).select("u", F.least("u", "m").alias("m"), "_rows")
-        return join_by_key(of, least, ["u"], F.col("v"), sizes="_rows").drop("_rows")
+        # Materialised, so that the join is between two shuffles, of which adaptive execution splits a large node's part.
+        least = checkpointed(of.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        return of.join(least, "u")
 
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark, before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), None

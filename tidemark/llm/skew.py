@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import checkpointed
 
@@ -77,3 +79,12 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], spread: Colu
     left = with_lots(rows, keys, frequent).withColumn("_lot", lot_of(spread)).drop("_lots")
     right = each_lot(with_lots(table, keys, frequent))
     return left.join(right, [*keys, "_lot"], how).drop("_lot")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints of frames that are no longer referenced.
+
+    It does so when the driver collects its garbage, which on a large job may be long after they are of use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
