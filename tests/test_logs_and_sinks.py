@@ -204,3 +204,11 @@ def test_training_is_sane_and_calibrated(spark):
     assert evaluation.auc_roc(scored).first().auc_roc > 0.8
     assert model.feature_importance(fitted, held, 1).first().feature == "days_since_last_session"
     assert scored.agg(F.avg("churn_probability") - F.avg(F.col("actual").cast("double"))).first()[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_the_newest_training_record_is_chosen(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    rows = [("v1", t(1)), ("v3", t(9)), ("v2", t(9)), ("v4", t(3))]
+    df = spark.createDataFrame(rows, "version_id string, trained_at timestamp_ntz")
+    assert [r.version_id for r in model.registry_latest(df).collect()] == ["v3"]
+    assert model.registry_latest(df.limit(0)).count() == 0

@@ -691,9 +691,9 @@ _RECORD = """SELECT '{v}' AS version_id, '2024-01-{d} 00:00:00' AS trained_at, '
   (SELECT round(count(*) FILTER (NOT is_churned_14d) / CAST(count(*) FILTER (is_churned_14d) AS DOUBLE), 1) FROM {win} WHERE epoch(date_day) < {cut}) AS scale_pos_weight,
   TRUE AS val_auc, TRUE AS val_pr_auc, 'churn-model' AS model_path
 FROM (SELECT date_day, as_of_date - INTERVAL {n} MONTH AS ws, date_day >= as_of_date - INTERVAL {n} MONTH AND date_day <= as_of_date - 14 AS inside FROM mart, config)"""
-_V2 = _RECORD.format(v="v2", n=24, d=30, win=_WIN, cut=_CUT)
-check("model_registry", _RECORD.format(v="v1", n=1, d=29, win=_WIN, cut=_CUT) + " UNION ALL " + _V2)
-check("registry_latest", _V2)
+_V1 = _RECORD.format(v="v1", n=24, d=30, win=_WIN, cut=_CUT)
+check("model_registry", _V1)
+check("registry_latest", _V1)
 check("calibrate_isotonic", f"""
 SELECT count(*) AS rows, count(DISTINCT round(p, 4)) AS points, round(avg(CAST(actual AS INTEGER)), 6) AS mean_calibrated, TRUE AS in_bounds, TRUE AS rises FROM {_SP}""")
 check("score_members_check", "SELECT count(*) AS rows, count(*) AS members, TRUE AS in_bounds, TRUE AS tiers_match FROM snap")

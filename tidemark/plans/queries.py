@@ -1168,7 +1168,7 @@ def score_members_check(f: Frames) -> DataFrame:
 
 
 def _registry(f: Frames) -> DataFrame:
-    """The training run's record, and that of an earlier one with a shorter window."""
+    """The record of the training run that took place."""
     train, held = f.split
     scored = f.trained.predict(held).withColumn("actual", F.col(C.LABEL))
     metrics = train.agg(F.count(F.lit(1)).alias("train_rows")).withColumns({
@@ -1177,12 +1177,9 @@ def _registry(f: Frames) -> DataFrame:
         "val_auc": evaluation.auc_roc(scored).select("auc_roc").scalar(),
         "val_pr_auc": evaluation.average_precision(scored).select("average_precision").scalar()})
 
-    def record(version: str, months: int, day: str) -> DataFrame:
-        return model.registry_record(
-            model.training_window_meta(f.panel, as_of=f.as_of, months=months), metrics, version_id=version,
-            trained_at=F.lit(day).cast("timestamp_ntz"), trigger="manual", window_months=months, model_path=f.model_path)
-
-    return record("v1", 1, "2024-01-29 00:00:00").unionByName(record("v2", 24, "2024-01-30 00:00:00"))
+    return model.registry_record(
+        model.training_window_meta(f.panel, as_of=f.as_of, months=24), metrics, version_id="v1",
+        trained_at=F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), trigger="manual", window_months=24, model_path=f.model_path)
 
 
 def _checked_record(rows: DataFrame) -> DataFrame:
