@@ -81,6 +81,14 @@ def test_exact_groups_with_frequent_blocks(spark):
         assert r.group_size == groups[texts[r.doc_id]]
 
 
+def test_exact_groups_of_frequent_texts_with_an_odd_number_of_blocks(spark):
+    texts = [t for n in (17, 33, 50) for t in ["x" * n] * 80] + ["x" * 16, "x" * 17 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, block_bytes=8).collect()}
+    last = {t: i for i, t in enumerate(texts)}
+    assert got == {i: (last[t], texts.count(t), i == last[t]) for i, t in enumerate(texts)}
+
+
 def test_join_by_key_keeps_all_rows(spark):
     left = spark.createDataFrame([(i % 5 if i < 900 else 5 + i, i) for i in range(1000)], "k long, v long")
     right = left.groupBy("k").agg(F.count("*").alias("n"))

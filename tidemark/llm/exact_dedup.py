@@ -27,7 +27,7 @@ def sorted_names(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the integer ``name`` in place of ``keys``; equal keys get equal names.
 
     A name is the place of the first equal row in sorted order. Rows of frequent keys do not meet
-    in one task: their distinct keys are named below zero and joined back in lots.
+    in one task: their distinct keys are named below zero and joined back in lots. Keys must not be null.
     """
     frequent = frequent_keys(rows, keys)
     tagged = rows if frequent is None else with_lots(rows, keys, frequent)
@@ -70,8 +70,9 @@ def block_identities(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> Data
         rest = names.filter(F.col("blocks") > 1) if len(done) == 1 else names.filter(~finished)
         pair = rest.groupBy("doc_id", "sha", "blocks", "copies", F.shiftright("at", 1).alias("at")).agg(
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("first"),
-            F.max(F.when(F.col("at") % 2 == 1, F.struct("name"))).alias("second"))
-        names = checkpointed(sorted_names(pair, ["first", "second"]))
+            F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(0)).alias("second"),
+            (F.max(F.col("at") % 2) == 1).alias("paired"))
+        names = checkpointed(sorted_names(pair, ["first", "second", "paired"]))
         finished = left <= 1
         done.append(names.filter(finished))
     out = done[0]
