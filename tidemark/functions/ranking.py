@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shuffled
 
 _B, _S, _OFF = "__bucket", "__sub", "__offset"
 # Rows a bucket is meant for, and the least and most buckets. The most bounds the offset tables
@@ -132,7 +132,7 @@ def row_number_in_ranges(df: DataFrame, group: list[str], order: str, ranges: st
     inside = W.partitionBy(*group, ranges).orderBy(order)
     return (
         df.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, [*group, ranges])
+        .join(shuffled(offsets), [*group, ranges])
         .withColumn(out, F.col(_OFF) + F.col("__rn"))
         .drop("__rn", _OFF)
     )

@@ -9,7 +9,7 @@ from tidemark.functions.expressions import (
     normalize_email, normalize_name, normalize_phone, salted_hash,
 )
 from tidemark.functions.ranking import in_ranges, row_number_in_ranges
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shuffled
 
 
 def member_identity(members: DataFrame, salt: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _pair_by_key(pos: DataFrame, app: DataFrame, keys: list[str]) -> DataFrame:
     """The i-th POS row and the i-th app row with the same keys, by ``row_order``; both have its ranges."""
     left = row_number_in_ranges(pos, keys, "row_order", "__range", out="nth").select(*keys, "nth", "member_id")
     right = row_number_in_ranges(app, keys, "row_order", "__range", out="nth").select(*keys, "nth", "app_member_id")
-    return left.join(right, [*keys, "nth"]).select("member_id", "app_member_id")
+    return left.join(shuffled(right), [*keys, "nth"]).select("member_id", "app_member_id")
 
 
 def _with(df: DataFrame, key: str) -> DataFrame:
@@ -156,7 +156,7 @@ def _with(df: DataFrame, key: str) -> DataFrame:
 
 
 def _without(df: DataFrame, matches: DataFrame, key: str) -> DataFrame:
-    return df.join(matches.select(key), key, "left_anti")
+    return df.join(shuffled(matches.select(key)), key, "left_anti")
 
 
 def match_exact_contacts(
@@ -175,7 +175,7 @@ def match_exact_contacts(
         shared = (
             pos.filter(F.col("norm_email") != "").groupBy("norm_email").count().filter("count > 1")
         )
-        by_email = pos.join(shared.select("norm_email"), "norm_email", "left_anti")
+        by_email = _without(pos, shared, "norm_email")
     email = checkpointed(_pair_by_key(_with(by_email, "norm_email"), _with(app, "norm_email"), ["norm_email"]))
     phone = _pair_by_key(
         _with(_without(pos, email, "member_id"), "norm_phone"), _with(_without(app, email, "app_member_id"), "norm_phone"),
@@ -211,7 +211,7 @@ def _alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
         return tokens.withColumn("key", F.explode(_name_keys(name, threshold)))
 
     return (
-        keyed(left, "a").join(keyed(right, "b"), ["block", "key"])
+        keyed(left, "a").join(shuffled(keyed(right, "b")), ["block", "key"])
         .filter(_similarity_bound("a", "b") >= threshold - 1e-9)
         .select("block", "a", "b").distinct()
         .filter(_jaro_winkler_udf("a", "b") >= threshold)
@@ -219,7 +219,7 @@ def _alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
 
 
 def _candidate_pairs(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
-    return left.join(alike, ["block", "a"]).join(right, ["block", "b"]).select(
+    return left.join(shuffled(alike), ["block", "a"]).join(shuffled(right), ["block", "b"]).select(
         "member_id", "pos_order", "app_member_id", "app_order").distinct()
 
 
@@ -236,7 +236,8 @@ def _not_implied(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFra
         return df.filter(F.col("block").startswith("e:")).groupBy("block", name).agg(
             F.when((F.min("home") == F.max("home")) & (F.count("home") == F.count(F.lit(1))), F.min("home")).alias(side))
 
-    both = alike.join(homes(left, "a", "home_a"), ["block", "a"], "left").join(homes(right, "b", "home_b"), ["block", "b"], "left")
+    both = alike.join(shuffled(homes(left, "a", "home_a")), ["block", "a"], "left").join(
+        shuffled(homes(right, "b", "home_b")), ["block", "b"], "left")
     return both.filter(~F.coalesce(F.col("home_a") == F.col("home_b"), F.lit(False))).select("block", "a", "b")
 
 
@@ -250,10 +251,10 @@ def closed_groups(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_a = checkpointed(alike.groupBy("block", "a").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("b"))), 256).alias("group")))
     size = of_a.groupBy("block", "group").agg(F.count(F.lit(1)).alias("names"))
     degree = alike.groupBy("block", "b").agg(F.count(F.lit(1)).alias("degree"))
-    met = checkpointed(alike.join(of_a, ["block", "a"]).join(degree, ["block", "b"]).select("block", "b", "group", "degree").distinct())
+    met = checkpointed(alike.join(shuffled(of_a), ["block", "a"]).join(shuffled(degree), ["block", "b"]).select("block", "b", "group", "degree").distinct())
     closed = met.groupBy("block", "group").agg(F.min("degree").alias("least"), F.max("degree").alias("most")).join(
-        size, ["block", "group"]).filter((F.col("least") == F.col("names")) & (F.col("most") == F.col("names"))).select("block", "group")
-    return of_a.join(closed, ["block", "group"]).select("block", "a", "group"), met.join(closed, ["block", "group"]).select("block", "b", "group")
+        shuffled(size), ["block", "group"]).filter((F.col("least") == F.col("names")) & (F.col("most") == F.col("names"))).select("block", "group")
+    return tuple(x.join(shuffled(closed), ["block", "group"]).select("block", name, "group") for x, name in ((of_a, "a"), (met, "b")))
 
 
 def match_fuzzy_names(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
@@ -270,19 +271,19 @@ def match_fuzzy_names(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85
 
     def placed(rows: DataFrame, name: str, key: str, groups: DataFrame) -> DataFrame:
         """Records with a candidate, with the number of blocks they have one in and their closed group if they have one."""
-        met = rows.join(alike.select("block", name).distinct(), ["block", name], "left_semi")
+        met = rows.join(shuffled(alike.select("block", name).distinct()), ["block", name], "left_semi")
         blocks = met.groupBy(key).agg(F.count(F.lit(1)).alias("blocks"))
-        return met.join(blocks, key).join(groups, ["block", name], "left")
+        return met.join(shuffled(blocks), key).join(shuffled(groups), ["block", name], "left")
 
     own, other = checkpointed(placed(left, "a", "member_id", groups_a)), checkpointed(placed(right, "b", "app_member_id", groups_b))
     # A group with a record that has candidates elsewhere is left to the rounds as a whole.
     grouped = own.select("block", "group", "blocks").unionByName(other.select("block", "group", "blocks")).filter(F.col("group").isNotNull())
     apart = checkpointed(grouped.groupBy("block", "group").agg(F.max("blocks").alias("__most")).filter("__most = 1").select("block", "group"))
-    in_group = [x.join(apart, ["block", "group"]) for x in (own, other)]
+    in_group = [x.join(shuffled(apart), ["block", "group"]) for x in (own, other)]
     by_place = _pair_by_key(*(
         in_ranges(x.select("block", "group", key, F.col(order).alias("row_order")), "row_order", out="__range")
         for x, key, order in zip(in_group, ("member_id", "app_member_id"), ("pos_order", "app_order"))), ["block", "group"])
-    rest = [x.join(apart, ["block", "group"], "left_anti") for x in (own, other)]
+    rest = [x.join(shuffled(apart), ["block", "group"], "left_anti") for x in (own, other)]
     pairs = _candidate_pairs(
         rest[0].select("block", "a", "member_id", "pos_order"), rest[1].select("block", "b", "app_member_id", "app_order"), alike)
     return by_place.unionByName(assign_in_order(pairs))
@@ -303,14 +304,14 @@ def assign_in_order(candidates: DataFrame, max_rounds: int | None = None) -> Dat
             F.min(F.struct("app_order", "app_member_id")).alias("pick")
         ).select("member_id", "pos_order", "pick.app_order", "pick.app_member_id")
         held = offers.groupBy("app_member_id").agg(F.min("pos_order").alias("held_by"))
-        refused = offers.join(held, "app_member_id").filter(F.col("pos_order") > F.col("held_by"))
+        refused = offers.join(shuffled(held), "app_member_id").filter(F.col("pos_order") > F.col("held_by"))
         rounds += 1
         if refused.isEmpty():
             return offers.select("member_id", "app_member_id")
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"assignment not settled after {rounds} rounds")
         edges = checkpointed(
-            edges.join(held, "app_member_id", "left")
+            edges.join(shuffled(held), "app_member_id", "left")
             .filter(F.col("held_by").isNull() | (F.col("pos_order") <= F.col("held_by")))
             .drop("held_by")
         )
@@ -334,7 +335,7 @@ def resolve_identities(
     matches = exact.select("member_id", "app_member_id").unionByName(fuzzy)
     hashed = salted_hash(F.col("norm_email"), salt).alias("hashed_member_id")
     contact = ["name", "email", "phone"]
-    from_pos = pos_n.join(matches, "member_id", "left").select(
+    from_pos = pos_n.join(shuffled(matches), "member_id", "left").select(
         "member_id", F.coalesce("app_member_id", F.lit("NONE")).alias("app_member_id"), hashed, *contact
     )
     app_only = _without(app_n, matches, "app_member_id").select(

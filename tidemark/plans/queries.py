@@ -13,7 +13,7 @@ from tidemark.operators import (
     monitoring, outcomes, quality, reports, revenue, routing, scoring, summaries, winback,
 )
 from tidemark.plans.context import NOW, STORED_DAY, Frames
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shuffled
 from tidemark.sources import bindings as B, sinks, tables
 from tidemark.sources.store import KeyTable
 from tidemark.streaming import activity as streams, lockout, runner
@@ -991,9 +991,9 @@ def shared_email_guard(f: Frames) -> DataFrame:
 @query
 def fuzzy_candidates(f: Frames) -> DataFrame:
     pos, app = (identity.normalize_contacts(x) for x in f.people)
-    exact = identity.match_exact_contacts(*f.people)
+    exact = checkpointed(identity.match_exact_contacts(*f.people))
     return identity.fuzzy_candidates(
-        pos.join(exact, "member_id", "left_anti"), app.join(exact, "app_member_id", "left_anti")
+        pos.join(shuffled(exact), "member_id", "left_anti"), app.join(shuffled(exact), "app_member_id", "left_anti")
     ).select("member_id", "app_member_id")
 
 
