@@ -97,3 +97,13 @@ def test_late_rows_of_a_second_delivery_are_told(spark):
     assert late == {("m", 1): 2, ("n", 2): 1}
     days = {(r.member_id, r.event_date.day): r.events for r in run_deliveries([first, second, far], S.stream_daily_activity, "t").collect()}
     assert days == {("m", 1): 1, ("m", 2): 1, ("m", 8): 1, ("m", 9): 1, ("n", 9): 1, ("m", 10): 1}
+
+
+def test_an_event_after_exactly_the_gap_begins_a_new_session(spark, tmp_path):
+    t = lambda m, us=0: dt.datetime(2024, 1, 1, 0, m, 0, us)
+    at = [t(0), t(30), t(59, 999_999), t(59, 999_999)]
+    df = spark.createDataFrame([("m", ts, "open_app") for ts in at] + [("end", dt.datetime(2024, 2, 1), "open_app")], SCHEMA)
+    want = [(t(0), t(30), 1), (t(30), dt.datetime(2024, 1, 1, 1, 29, 0, 999_999), 3)]
+    for rows in (S.stream_member_sessions(df), run_available(S.stream_member_sessions(_stream(spark, df, tmp_path / "s")), "t")):
+        got = sorted((r.session_start, r.session_end, r.events) for r in rows.collect() if r.member_id == "m")
+        assert got == want

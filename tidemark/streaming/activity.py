@@ -128,11 +128,15 @@ def stream_intent_flags(
 
 
 def stream_member_sessions(events: DataFrame, *, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Bursts of a member's activity separated by a quiet gap."""
+    """Bursts of a member's activity separated by a quiet gap; an event after exactly the gap begins a new one.
+
+    Spark joins a session to one that begins at its very end, so its gap is a microsecond short.
+    """
+    end = F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")
     return (
-        _timed(events, "ts", delay).groupBy("member_id", F.session_window("ts", gap).alias("w"))
+        _timed(events, "ts", delay).groupBy("member_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w"))
         .agg(F.count(F.lit(1)).alias("events"))
-        .select("member_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+        .select("member_id", F.col("w.start").alias("session_start"), end.alias("session_end"), "events")
     )
 
 
