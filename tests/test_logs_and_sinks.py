@@ -212,3 +212,18 @@ def test_the_newest_training_record_is_chosen(spark):
     df = spark.createDataFrame(rows, "version_id string, trained_at timestamp_ntz")
     assert [r.version_id for r in model.registry_latest(df).collect()] == ["v3"]
     assert model.registry_latest(df.limit(0)).count() == 0
+
+
+def test_the_registry_holds_both_runs_and_the_newest_is_latest(spark):
+    from types import SimpleNamespace
+
+    from tidemark.plans import queries
+
+    rows = [(f"h{i}", dt.date(2024, 1, 1 + i), i % 3 == 0, i / 20) for i in range(20)]
+    panel = spark.createDataFrame(rows, "hashed_member_id string, date_day date, is_churned_14d boolean, churn_probability double")
+    frames = SimpleNamespace(
+        split=(panel.filter("date_day < '2024-01-15'"), panel.filter("date_day >= '2024-01-15'")), panel=panel,
+        trained=SimpleNamespace(predict=lambda df: df), as_of=F.lit("2024-02-10").cast("date"), model_path="churn-model-0a")
+    got = {r.version_id: r for r in queries.model_registry(frames).collect()}
+    assert {v: (r.window_months, r.rows_discarded_as_old) for v, r in got.items()} == {"v1": (1, 9), "v2": (24, 0)}
+    assert queries.registry_latest(frames).collect() == [got["v2"]]
