@@ -11,3 +11,10 @@ def test_people_are_matched_without_broadcasts_of_growing_tables(spark, sf_dir):
     for frame, broadcasts in ((pos, 1), (app, 1), (exact, 0), (identity._without(pos, exact, "member_id"), 1)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == broadcasts
+
+
+def test_audit_and_routes_are_joined_without_broadcasts(spark, sf_dir):
+    f = frames_for(spark, sf_dir)
+    for frame in (f.audit, f.intervention_outcomes()):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

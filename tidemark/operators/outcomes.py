@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, parse_risk_tier
+from tidemark.session import shuffled
 
 WINDOWS = (7, 14, 30)
 
@@ -70,8 +71,8 @@ def intervention_outcomes(
     effects = _after_sent(_member_timeline(sent, sessions, transactions), windows)
     fate = ground_truth.select("member_id", "churned", "churn_date")
     rows = (
-        sent.join(effects, ["member_id", "intervention_date"])
-        .join(fate, "member_id", "left")
+        sent.join(shuffled(effects), ["member_id", "intervention_date"])
+        .join(shuffled(fate), "member_id", "left")
         .withColumn("churned", F.coalesce("churned", F.lit(False)))
     )
     day, churn, paid = F.col("intervention_date"), F.col("churn_date"), F.col("payment_resolved_date")
