@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, rank_of
 from tidemark.operators.scoring import dedup_first
+from tidemark.session import shuffled
 
 
 def stage_of(
@@ -47,9 +48,9 @@ def lifecycle_stage(
         "member_id", F.col("studio_id").alias("g_studio"), F.col("monthly_price").alias("g_price")
     )
     fate = ground_truth.select("member_id", "churned", "churn_date")
-    known = names.join(fate, "member_id", "left").join(plan, "member_id", "left")
+    known = names.join(shuffled(fate), "member_id", "left").join(shuffled(plan), "member_id", "left")
     # One outer join decides active or cancelled, so the snapshot is computed once.
-    rows = active.join(known, "hashed_member_id", "full_outer").filter(
+    rows = active.join(shuffled(known), "hashed_member_id", "full_outer").filter(
         F.col("is_active") | F.col("churned")
     )
     here = F.col("is_active").isNotNull()
@@ -101,7 +102,7 @@ def stage_transition(
     entered = F.when(same, F.col("__entered")).otherwise(day)
     runs = F.when(same, F.coalesce("__days", F.lit(0)) + 1).otherwise(0)
     return (
-        current.join(before, "hashed_member_id", "left")
+        current.join(shuffled(before), "hashed_member_id", "left")
         .withColumns({
             "stage_entered_at": entered,
             "days_in_stage": F.datediff(day, entered) if count_days else runs,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, in_holdout
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shuffled
 
 ESCALATION = {"Email": "SMS", "SMS": "Call"}
 
@@ -57,7 +57,7 @@ def recently_messaged(audit: DataFrame, now, days: int = 7) -> DataFrame:
 
 def cooldown_filter(candidates: DataFrame, audit: DataFrame, *, now, days: int = 7) -> DataFrame:
     """Candidates without a recent message."""
-    return candidates.join(recently_messaged(audit, now, days), "hashed_member_id", "left_anti")
+    return candidates.join(shuffled(recently_messaged(audit, now, days)), "hashed_member_id", "left_anti")
 
 
 def sends_last_hour(audit: DataFrame, now) -> DataFrame:
@@ -210,7 +210,7 @@ def _by_key(key: Column, values: dict[str, Column]) -> Column:
 
 def _with_cooldown(df: DataFrame, audit: DataFrame, now, days: int) -> DataFrame:
     recent = recently_messaged(audit, now, days).withColumn("in_cooldown", F.lit(True))
-    return df.join(recent, "hashed_member_id", "left").withColumn(
+    return df.join(shuffled(recent), "hashed_member_id", "left").withColumn(
         "in_cooldown", F.coalesce("in_cooldown", F.lit(False))
     )
 
@@ -229,8 +229,8 @@ def route_churn_actions(
         "hashed_member_id", F.col("date_day").alias("score_date"), "home_studio_id"
     ).distinct()
     base = (
-        scores.join(identity, "hashed_member_id")
-        .join(home, ["hashed_member_id", "score_date"], "left")
+        scores.join(shuffled(identity), "hashed_member_id")
+        .join(shuffled(home), ["hashed_member_id", "score_date"], "left")
         .withColumns({
             "default_type": _by_key(tier, {k: F.lit(v[0]) for k, v in CHURN_ACTIONS.items()}),
             "details": _by_key(tier, {k: F.lit(v[1]) for k, v in CHURN_ACTIONS.items()}),
@@ -326,7 +326,7 @@ def route_lifecycle_actions(
     candidates = lifecycle.filter(welcome | gone)
     return (
         cooldown_filter(candidates, audit, now=now, days=cooldown_days)
-        .join(people, "hashed_member_id", "left")
+        .join(shuffled(people), "hashed_member_id", "left")
         .select(
             "hashed_member_id", F.coalesce("member_id", "__id").alias("member_id"),
             F.coalesce("home_studio_id", F.lit(default_studio)).alias("home_studio_id"),
@@ -374,7 +374,7 @@ def route_segment_actions(
     """Segment campaigns with holdout, then cooldown, then cap."""
     segment, score = F.col("segment"), F.col("engagement_score").cast("string")
     texts = {"name": F.col("name"), "tier": F.col("membership_tier"), "brand": F.lit(brand)}
-    base = engagement.join(identity, "hashed_member_id").withColumns({
+    base = engagement.join(shuffled(identity), "hashed_member_id").withColumns({
         "action_type": _by_key(segment, {k: F.lit(v[0]) for k, v in SEGMENT_CAMPAIGNS.items()}),
         "details": _by_key(segment, {k: F.lit(v[1]) for k, v in SEGMENT_CAMPAIGNS.items()}),
         "body": _by_key(segment, {k: fill(v[2], texts) for k, v in SEGMENT_CAMPAIGNS.items()}),
