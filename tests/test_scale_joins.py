@@ -18,3 +18,8 @@ def test_audit_and_routes_are_joined_without_broadcasts(spark, sf_dir):
     for frame in (f.audit, f.intervention_outcomes()):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_order_years_are_joined_without_a_broadcast(spark, sf_dir):
+    plan = frames_for(spark, sf_dir).order_history._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -38,7 +38,7 @@ def lifecycle_stage(
     """
     names = identity.select("hashed_member_id", "member_id")
     active = snapshot.join(
-        scores.select("hashed_member_id", "churn_probability", "risk_tier"), "hashed_member_id", "left"
+        shuffled(scores.select("hashed_member_id", "churn_probability", "risk_tier")), "hashed_member_id", "left"
     ).select(
         "hashed_member_id", F.lit(True).alias("is_active"), F.col("home_studio_id").alias("a_studio"),
         F.col("monthly_price").alias("a_price"), "tenure_days", "risk_tier", "churn_probability",
