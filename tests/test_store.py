@@ -119,3 +119,16 @@ def test_completions_rewrite_only_their_part_of_the_queue(spark, tmp_path):
     assert {os.path.basename(os.path.dirname(p)) for p in before ^ _files(table.path)} <= {f"key_bucket={n}" for n in touched} and len(touched) <= 3
     rows = table.read().collect()
     assert len(rows) == 400 and {r.action_id for r in rows if r.status == "Sent" and r.processed_at} == {"x7", "x8"}
+
+
+def test_a_day_without_a_state_is_built_from_the_newest_before_it(spark, tmp_path):
+    t = _tables(spark)
+    fresh = MemberStore(spark, str(tmp_path / "members"), salt="s", buckets=4)
+    fresh.add_feeds(t)
+    panel = features.member_features_daily(t, salt="s")
+    for started in ("2024-01-10", "2024-01-02"):  # the newest state is after the day asked for, then two days before it
+        fresh.start(t, started)
+        want = _rows(panel.filter(F.col("date_day") == "2024-01-05"))
+        assert want and _rows(fresh.panel_after(t, "2024-01-04", "2024-01-05")) == want
+    fresh.advance(t, "2024-01-04", "2024-01-05")
+    assert _rows(fresh.state.read("2024-01-05", "2024-01-05")) == _rows(daily_state.initial_state(t, "2024-01-05"))

@@ -96,18 +96,30 @@ class MemberStore:
         """The state of ``day`` from all history."""
         self.state.write(daily_state.initial_state(tables, day))
 
+    def _last_state(self, before) -> tuple[DataFrame, Column | None]:
+        """The newest state up to ``before``, and the first day it does not hold.
+
+        A day without any state is not taken for one on which nothing had happened yet: what came since the newest
+        state is read from the feeds. With none at all, that is their whole history (no first day).
+        """
+        days = [r[0].split("=")[1] for r in self.spark.sql(f"SHOW PARTITIONS `{self.state.name}`").collect()]
+        newest = max((d for d in days if d <= str(before)), default=None)
+        state = self.state.read(newest or before, newest or before)
+        return state, None if newest is None else F.date_add(F.lit(newest).cast("date"), 1)
+
     def advance(self, members: dict[str, DataFrame], before, day) -> None:
-        """Writes the state of ``day`` from that of ``before`` and the days of the feeds in between."""
-        first = F.date_add(F.lit(before).cast("date"), 1)
+        """Writes the state of ``day`` from the newest up to ``before`` and the days of the feeds since."""
+        state, first = self._last_state(before)
         new = daily_state.member_activity(self.feed_days(members, first, day))
-        self.state.write(daily_state.moved_on(self.state.read(before, before), new, day))
+        self.state.write(daily_state.moved_on(state, new, day))
 
     def panel_after(self, members: dict[str, DataFrame], before, last) -> DataFrame:
-        """The panel's rows of the days after ``before`` up to ``last``, from the state of ``before``."""
+        """The panel's rows of the days after ``before`` up to ``last``, from the newest state up to ``before``."""
+        state, since = self._last_state(before)
+        tables = self.feed_days(members, since, last)
         first = F.date_add(F.lit(before).cast("date"), 1)
-        tables = self.feed_days(members, first, last)
         return daily_state.panel_rows(
-            self.state.read(before, before), daily_state.since_joining(tables), tables, salt=self.salt, first=first, last=last)
+            state, daily_state.since_joining(tables), tables, salt=self.salt, first=first, last=last)
 
     def panel_of(self, members: dict[str, DataFrame], day) -> DataFrame:
         """The panel's rows of a day from its own state; no feed is read."""
