@@ -227,3 +227,17 @@ def test_the_registry_holds_both_runs_and_the_newest_is_latest(spark):
     got = {r.version_id: r for r in queries.model_registry(frames).collect()}
     assert {v: (r.window_months, r.rows_discarded_as_old) for v, r in got.items()} == {"v1": (1, 9), "v2": (24, 0)}
     assert queries.registry_latest(frames).collect() == [got["v2"]]
+
+
+def test_rows_that_trees_cannot_tell_apart_are_one_weighted_row(spark):
+    df = spark.range(4000).select(*[(F.col("id") % (1000 if c == "age" else 3)).cast("double").alias(c) for c in C.NUMERIC_FEATURES])
+    bins = model.number_bins(df)
+    binned = bins.transform(df)
+    assert [binned.select(c).distinct().count() for c in bins.getOutputCols()[:2]] == [32, 3]
+    cut = {c: s for c, s in zip(C.NUMERIC_FEATURES, bins.getSplitsArray())}
+    assert cut["tenure_days"][1:-1] == [1.0, 2.0]
+    rows = model.weighted_rows(binned, bins.getOutputCols(), lots=50).collect()
+    assert len(rows) <= 100 and sum(r["rows"] for r in rows) == 4000
+    # No row stands for more than its part of the draws.
+    lots = model.weighted_rows(binned, bins.getOutputCols()[1:2], lots=10).collect()
+    assert len(lots) == 12 and sum(r["rows"] for r in lots) == pytest.approx(4000) and max(r["rows"] for r in lots) <= 400

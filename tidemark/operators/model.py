@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,6 +21,8 @@ from tidemark.session import checkpointed
 MISSING = -1.0
 # Decimals of raw probabilities in calibration, both when it is fitted and when it is applied.
 DIGITS = 4
+# Rows of a task while trees are fitted.
+ROWS_PER_TASK = 500_000
 
 
 def training_window(
@@ -106,12 +109,12 @@ def _prepared(df: DataFrame) -> DataFrame:
     return df.withColumns(fixes)
 
 
-def feature_stages() -> list:
+def feature_stages(numbers: list[str] = C.NUMERIC_FEATURES) -> list:
     """Scale 21 numbers, one-hot 3 categories (unseen values ignored), pass 2 flags."""
     idx = [f"{f}_ix" for f in C.CATEGORICAL_FEATURES]
     hot = [f"{f}_oh" for f in C.CATEGORICAL_FEATURES]
     return [
-        VectorAssembler(inputCols=C.NUMERIC_FEATURES, outputCol="numbers"),
+        VectorAssembler(inputCols=numbers, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
         StringIndexer(inputCols=C.CATEGORICAL_FEATURES, outputCols=idx, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
@@ -177,15 +180,62 @@ def train_churn_lr(train: DataFrame, *, max_iter: int = 50) -> ChurnModel:
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter))
 
 
+# Bins of a number in the trees (Spark's own default), and the least number of parts the rows are drawn in.
+BINS, LOTS = 32, 65_536
+
+
+def number_bins(data: DataFrame, bins: int = BINS) -> Bucketizer:
+    """Cuts each number into bins of about equal numbers of rows; a number with few values has a bin for each."""
+    grid = [i / bins for i in range(1, bins)]
+    few = data.agg(*[F.approx_count_distinct(f).alias(f) for f in C.NUMERIC_FEATURES]).first()
+    found = data.agg(*[
+        (F.array_sort(F.collect_set(f)) if few[f] <= bins else F.percentile_approx(f, grid, 100 * bins)).alias(f)
+        for f in C.NUMERIC_FEATURES]).first()
+    splits = []
+    for f in C.NUMERIC_FEATURES:
+        cuts = sorted({v for v in found[f] or [] if math.isfinite(v)})
+        # A cut is the least value of its bin; of few values the least one is in the first bin, which has none.
+        splits.append([-math.inf, *((cuts[1:] if few[f] <= bins else cuts) or [0.0]), math.inf])
+    return Bucketizer(splitsArray=splits, inputCols=C.NUMERIC_FEATURES,
+                      outputCols=[f"{f}_bin" for f in C.NUMERIC_FEATURES], handleInvalid="keep")
+
+
+def weighted_rows(binned: DataFrame, by: list[str], lots: int = LOTS) -> DataFrame:
+    """Rows equal in ``by`` as one with their number in ``rows``.
+
+    Trees are drawn a share of the rows each, so no row stands for more than one part in ``lots`` of all.
+    """
+    counted = checkpointed(binned.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("rows")))
+    size = counted.agg(F.greatest(F.ceil(F.sum("rows") / lots), F.lit(1))).first()[0] or 1
+    parts = F.ceil(F.col("rows") / size)
+    return counted.withColumn("__parts", F.sequence(F.lit(1), parts)).withColumn(
+        "rows", F.col("rows") / F.size("__parts")).withColumn("__part", F.explode("__parts")).drop("__parts", "__part")
+
+
 def train_churn_gbt(
     train: DataFrame, *, trees: int = 150, depth: int = 5, rate: float = 0.08,
     subsample: float = 0.8, feature_share: str = "0.8", seed: int = 42,
 ) -> ChurnModel:
-    """Boosted trees, class weighted."""
-    return _fit(train, GBTClassifier(
+    """Boosted trees, class weighted.
+
+    Trees see numbers by their bins only, so all rows are binned once, and those that no tree can tell apart are one
+    row with their weight: the passes of the fit go over distinct rows.
+    """
+    data = _prepared(train)
+    bins = number_bins(data)
+    by = [*bins.getOutputCols(), *C.BOOLEAN_FEATURES, *C.CATEGORICAL_FEATURES, "label"]
+    rows = weighted_rows(bins.transform(data), by)
+    classes = rows.agg(
+        F.coalesce(F.try_divide(F.sum((1 - F.col("label")) * F.col("rows")), F.sum(F.col("label") * F.col("rows"))), F.lit(1.0)),
+        F.count(F.lit(1))).first()
+    weight = F.col("rows") * F.when(F.col("label") == 1.0, F.lit(classes[0])).otherwise(1.0)
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-classes[1] // ROWS_PER_TASK))
+    spread = checkpointed(rows.withColumn("weight", weight).repartition(tasks))
+    fitted = Pipeline(stages=[*feature_stages(bins.getOutputCols()), GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees,
         maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
-        featureSubsetStrategy=feature_share, seed=seed))
+        featureSubsetStrategy=feature_share, seed=seed)]).fit(spread)
+    return ChurnModel(PipelineModel([bins, *fitted.stages]))
 
 
 def calibrate_isotonic(model: ChurnModel, held_out: DataFrame) -> ChurnModel:
