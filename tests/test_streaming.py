@@ -107,3 +107,32 @@ def test_an_event_after_exactly_the_gap_begins_a_new_session(spark, tmp_path):
     for rows in (S.stream_member_sessions(df), run_available(S.stream_member_sessions(_stream(spark, df, tmp_path / "s")), "t")):
         got = sorted((r.session_start, r.session_end, r.events) for r in rows.collect() if r.member_id == "m")
         assert got == want
+
+
+def test_late_rows_are_counted_by_day_not_by_member(spark, tmp_path):
+    from tidemark.streaming.runner import run_deliveries
+
+    t = dt.datetime
+    rows = [(m, t(2024, 1, 1, h), "x") for m in ("a", "b", None) for h in range(2)]
+    frame = lambda r: spark.createDataFrame(r, "member_id string, ts timestamp, kind string")
+    keys = []
+
+    def build(events):
+        out = S.stream_late_rows(events)
+        keys.append(out._jdf.queryExecution().analyzed().toString().split("\n")[0])
+        return out
+
+    out = run_deliveries([frame([("z", t(2024, 2, 1), "x")]), frame(rows), frame([("z", t(2024, 3, 1), "x")])], build, "late")
+    assert sorted((r.member_id or "", r.event_date.day, r.rows) for r in out.collect()) == [("", 1, 2), ("a", 1, 2), ("b", 1, 2)]
+    assert all("[event_date#" in k and ", part#" in k for k in keys)
+
+
+def test_rolling_history_equals_the_stream_and_is_shuffled_once(spark):
+    t = dt.datetime
+    rows = [(f"m{i % 7}", t(2024, 1, 1) + dt.timedelta(hours=11 * i), k) for i in range(90) for k in ("attended", "chat", "Clicked")]
+    events = spark.createDataFrame([*rows, ("m1", None, "chat")], "member_id string, ts timestamp_ntz, kind string")
+    got = S.rolling_activity(events, rows_per_task=500)
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(got) == key(S.stream_rolling_activity(events))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(member_id" in plan

@@ -1290,7 +1290,7 @@ def stream_rolling_activity(f: Frames) -> DataFrame:
 @query
 def rolling_activity(f: Frames) -> DataFrame:
     """The same windows over the whole history as a batch, with no row late."""
-    return streams.stream_rolling_activity(streams.activity_events(
+    return streams.rolling_activity(streams.activity_events(
         f.t["sessions"], f.t["app_events"], f.t["email_events"], f.t["transactions"], f.t["ai_coach_chats"]))
 
 

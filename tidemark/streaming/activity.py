@@ -7,6 +7,7 @@ a batch, so both give the same rows on the same files.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -17,6 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark import contracts as C
 from tidemark.functions.expressions import count_when, has_text_intent
 
+# Groups that the members of a day are dealt to when late rows are counted.
+LATE_PARTS = 64
+# Rows of days and the windows they are part of that one task sums.
+ROLLING_ROWS = 1_000_000
+_NO_MEMBER = "\0"
+
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -96,6 +103,18 @@ def stream_rolling_activity(events: DataFrame, *, days: int = 30, delay: str = "
     )
 
 
+def rolling_activity(events: DataFrame, *, days: int = 30, rows_per_task: int = ROLLING_ROWS) -> DataFrame:
+    """The rows of ``stream_rolling_activity`` over a whole history, with one shuffle by member.
+
+    Each active day counts on ``days`` days, so tasks follow the rows after that, not the shuffled events.
+    """
+    n = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() * days // rows_per_task))
+    day = F.to_date("ts").alias("event_date")
+    daily = events.filter(F.col("ts").isNotNull()).repartition(n, "member_id").groupBy("member_id", day).agg(*_counts())
+    closing = F.explode(F.sequence("event_date", F.date_add("event_date", days - 1)))
+    return daily.withColumn("date_day", closing).groupBy("member_id", "date_day").agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def stream_send_rate_guard(
     audit: DataFrame, *, limit: int = 50, span: str = "60 minutes", slide: str = "5 minutes",
     delay: str = "10 minutes",
@@ -144,14 +163,19 @@ def stream_late_rows(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
     """(member_id, event_date, rows) of events that come after their day is final, for each run that meets some.
 
     These are the rows that ``stream_daily_activity`` with the same delay passes over. No state is kept;
-    a batch has no late rows.
+    a batch has no late rows. Whether rows are late depends on their day alone, so members of a day go through Python
+    in ``LATE_PARTS`` groups, not one by one.
     """
     def late(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sum(len(p) for p in parts)
-        end = pd.Timestamp(key[1] + timedelta(days=1))
-        if end.value // 1_000_000 <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame({"member_id": [key[0]], "event_date": [key[1]], "rows": [rows]})
-
-    days = _timed(events, "ts", delay).withColumn("event_date", F.to_date("ts"))
-    return days.groupBy("member_id", "event_date").applyInPandasWithState(
+        final = pd.Timestamp(key[0] + timedelta(days=1)).value // 1_000_000 <= state.getCurrentWatermarkMs()
+        rows: Counter = Counter()
+        for part in parts:
+            if final:
+                rows.update(part["member_id"].fillna(_NO_MEMBER).value_counts(sort=False).to_dict())
+        if rows:
+            yield pd.DataFrame({"member_id": [None if m == _NO_MEMBER else m for m in rows], "event_date": key[0], "rows": list(rows.values())})
+
+    days = _timed(events, "ts", delay).withColumn("event_date", F.to_date("ts")).withColumn(
+        "part", F.pmod(F.xxhash64("member_id"), F.lit(LATE_PARTS)))
+    return days.select("member_id", "ts", "event_date", "part").groupBy("event_date", "part").applyInPandasWithState(
         late, "member_id string, event_date date, rows long", "seen long", "append", GroupStateTimeout.NoTimeout)
