@@ -11,7 +11,7 @@ from test_rules import _tables
 from tidemark.operators import daily_state, features, scoring
 from tidemark.session import checkpointed
 from tidemark.sources import sinks
-from tidemark.sources.store import KeyTable, MemberStore
+from tidemark.sources.store import DayTable, KeyTable, MemberStore
 
 D = dt.date
 
@@ -132,3 +132,25 @@ def test_a_day_without_a_state_is_built_from_the_newest_before_it(spark, tmp_pat
         assert want and _rows(fresh.panel_after(t, "2024-01-04", "2024-01-05")) == want
     fresh.advance(t, "2024-01-04", "2024-01-05")
     assert _rows(fresh.state.read("2024-01-05", "2024-01-05")) == _rows(daily_state.initial_state(t, "2024-01-05"))
+
+
+def test_a_bucket_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        table = DayTable(spark, str(tmp_path / "days"), "day", "k", buckets=1)
+        rows = spark.range(40000).select(
+            F.sha2(F.col("id").cast("string"), 256).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("day"))
+        table.write(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len({os.path.basename(p)[:10] for p in _files(table.path)}) > 1
+    assert table.read().count() == 40000 and table.read().select("k").distinct().count() == 40000
+
+
+def test_first_and_last_days_are_sorted_once(spark):
+    rows = [(m, D(2024, 1, 1) + dt.timedelta(days=i)) for m, n in (("a", 30), ("b", 3)) for i in range(n)]
+    got = scoring.first_last_days(spark.createDataFrame(rows, "hashed_member_id string, date_day date"))
+    assert _plan(got).count("Sort [") == 1
+    days = sorted((r.hashed_member_id, r.day_no) for r in got.collect())
+    assert days == [("a", n) for n in (1, 2, 3, 4, 5, *range(21, 31))] + [("b", n) for n in (1, 2, 3)]

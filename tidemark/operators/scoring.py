@@ -51,12 +51,13 @@ def last_n_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) ->
 
 
 def first_last_days(features: DataFrame, first: int = 5, last: int = 10) -> DataFrame:
-    """First and last days of every member's history; short histories are whole."""
-    head = W.partitionBy("hashed_member_id").orderBy("date_day")
-    tail = W.partitionBy("hashed_member_id").orderBy(F.desc("date_day"))
-    ranked = features.withColumns(
-        {"day_no": F.row_number().over(head), "from_end": F.row_number().over(tail)}
-    )
+    """First and last days of every member's history; short histories are whole.
+
+    The place from the end follows from the number of days, so each member's days are sorted once.
+    """
+    member = W.partitionBy("hashed_member_id")
+    ranked = features.withColumn("day_no", F.row_number().over(member.orderBy("date_day"))).withColumn(
+        "from_end", F.count(F.lit(1)).over(member) - F.col("day_no") + 1)
     return ranked.filter((F.col("day_no") <= first) | (F.col("from_end") <= last)).drop("from_end")
 
 

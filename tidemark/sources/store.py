@@ -57,7 +57,12 @@ class DayTable:
         """Replaces the days that ``df`` has rows of; no other day is read or written."""
         ordered = df.select(*(c for c in df.columns if c != self.day), self.day)
         self._known(ordered)
-        spread = ordered.repartition(self.buckets, self.key) if self.key else ordered.hint("rebalance", self.day)
+        if self.key:
+            # A task writes some days of some buckets, as many as fit a partition, not a bucket of the whole table.
+            bucket = F.pmod(F.hash(self.key), F.lit(self.buckets))
+            spread = ordered.withColumn("__bucket", bucket).hint("rebalance", "__bucket", self.day).drop("__bucket")
+        else:
+            spread = ordered.hint("rebalance", self.day)
         before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
