@@ -411,3 +411,21 @@ def test_quality_with_little_to_learn(spark, docs, rows, empty):
     sets = [np.unique(rng.integers(0, 50, 20) + 60 * (i % 2)) for i in range(200)]
     model = quality.fit(sets, np.arange(200) % 2)
     assert all((model.score(s) > 0.5) == bool(i % 2) for i, s in enumerate(sets))
+
+
+def test_phrase_keys_are_hashed_once_a_text(spark):
+    from tidemark.llm import passages, repeated_phrases as R
+
+    hashed = spark.sparkContext.accumulator(0)
+
+    class Counted(R.WordUnits):
+        def keys(self, content):
+            hashed.add(1)
+            return super().keys(content)
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[i:i + 40])) for i in range(12)], "doc_id long, text string")
+    rows = passages.cut_documents(docs, Counted(), R.compare_words(20), "doc_id long, n_words long, n_removed long",
+                                  lambda c, a, b: (len(c.split()), int((b - a).sum())), first_stays=True).collect()
+    assert hashed.value == 12
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, **{i: 39 for i in range(1, 12)}}
