@@ -14,6 +14,7 @@ from tidemark.llm import (
     bpe, chat, exact_dedup, hashing, mixing, passages, pivot_search, quality, queries, repeated_bytes, repeated_phrases,
     shingles, simhash, skew,
 )
+from tidemark.session import checkpointed
 
 ODD = "doc_id long, text string, source string, _row string, sha string, _id long, _tokens long"
 WORDS = "the of and stone river north amber field quiet lamp over under glass wheel seven".split()
@@ -171,6 +172,23 @@ def test_similar_groups_are_those_of_brute_force(spark, docs, rows, empty):
     assert shingles.similar_groups(empty).count() == 0 and simhash.drop_near_copies(empty, similarity=0.8).count() == 0
 
 
+def test_tables_of_keys_hold_no_sketches(spark, docs, monkeypatch):
+    seen = []
+
+    def spy(df):
+        seen.append(df.columns)
+        return checkpointed(df)
+
+    monkeypatch.setattr(shingles, "checkpointed", spy)
+    shingles.similar_groups(docs.select("doc_id", "text"))
+    of_keys = [columns for columns in seen if {"key", "node"} <= set(columns) or "low" in columns]
+    assert of_keys and not any("sketch" in columns for columns in of_keys)
+    ends = spark.createDataFrame(
+        [(bytes([n] * 16), 9, 0, bytes([3 - n] * 16), 8, 0) for n in (1, 2, 1)],
+        "node binary, size int, place int, node_b binary, size_b int, place_b int")
+    assert [(r.a[0], r.b[0], r.total) for r in shingles._pairs(ends, 0.8).collect()] == [(1, 2, 17)]
+
+
 def test_links_in_dense_groups_and_chains(spark):
     rng = random.Random(3)
     base = rng.getrandbits(63)
