@@ -90,6 +90,24 @@ def test_long_chains_are_cut_into_segments_and_sealed(spark):
     assert state(log.withColumn("seq", swapped))["u0"] == (False, 5, 700, False)
 
 
+def test_linking_makes_each_json_once(spark):
+    """Texts that need escapes; no JSON is made or hashed inside the walk over a segment but once for a record."""
+    odd = [(1, 'a"\\', "é\u20ac\U0001f600", "s", "o", None, "2024-01-01"), (2, "b\n", "\x7f", "", "o", "r", "2024-01-02")]
+    events = spark.createDataFrame(odd, "line long, event string, username string, source string, outcome string, reason string, ts string").withColumn("k", F.lit(1))
+    rows = [json.loads(r.line) for r in audit.linked_log(events, ["k"], "line").orderBy("seq").collect()]
+    prev = C.GENESIS_HASH
+    for row, want in zip(rows, odd):
+        own = row.pop("hash")
+        assert list(row) == [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f != "hash"]
+        assert (row["event"], row["username"], row["reason"], row["prev_hash"]) == (want[1], want[2], want[5], prev)
+        prev = hashlib.sha256((prev + json.dumps(row, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
+        assert own == prev
+    walk = audit.linked_lines(F.array(audit.link_parts("r")), F.lit("0"))
+    plan = spark.createDataFrame(odd, "line long, event string, username string, source string, outcome string, reason string, ts string").select(
+        F.struct("*").alias("r")).select(walk.alias("lines"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sha2(") == 1
+
+
 @pytest.mark.parametrize("edit", [
     lambda line: line[:-1] + ', "note": "forged"}', lambda line: line + " trailing", lambda line: line + "]", lambda line: line + "} x",
     lambda line: line + "," + line, lambda line: json.dumps({k: v for k, v in json.loads(line).items() if k != "reason"}),

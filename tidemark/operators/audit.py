@@ -71,19 +71,39 @@ def record_hash(prev: Column, fields: list[str] = CHAIN_FIELDS) -> Column:
     return F.sha2(F.concat(prev, _ascii_json(body)), 256)
 
 
-def linked_lines(events: Column, start: Column) -> Column:
-    """JSON lines from an array of records in order, each with the hash before it (first ``start``) and its own."""
+def _json(record: str, fields: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(f"{record}.{f}").alias(f) for f in fields]), {"ignoreNullFields": "false"})
+
+
+def _without_end(text: Column) -> Column:
+    return F.left(text, F.length(text) - 1)
+
+
+def link_parts(record: str) -> Column:
+    """What a record's line and body are made of besides the hashes: the line up to ``prev_hash``, the body before and after it.
+
+    All are JSON text without the outer brace on the side of ``prev_hash``, so linking needs no JSON work of its own.
+    """
     names = [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f not in ("prev_hash", "hash")]
+    before, after = ([f for f in sorted(names) if (f < "prev_hash") == first] for first in (True, False))
+    line, head, tail = _json(record, names), _ascii_json(_json(record, before)), _ascii_json(_json(record, after))
+    return F.struct(_without_end(line).alias("line"), _without_end(head).alias("head"), F.substring(tail, 2, 2147483647).alias("tail"))
+
+
+def linked_lines(parts: Column, start: Column) -> Column:
+    """JSON lines from an array of ``link_parts`` in order, each with the hash before it (first ``start``) and its own."""
+    def quoted(text: Column) -> Column:
+        return F.substring(F.to_json(F.struct(text.alias("h"))), 6, 2147483647)
 
     def link(done: Column, e: Column) -> Column:
-        fields = {f: e[f] for f in names} | {"prev_hash": done["hash"]}
-        body = F.to_json(F.struct(*[fields[f].alias(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
-        own = F.sha2(F.concat(done["hash"], _ascii_json(body)), 256)
-        line = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], own.alias("hash")), {"ignoreNullFields": "false"})
-        return F.struct(own.alias("hash"), F.array_append(done["lines"], line).alias("lines"))
+        # The own hash is bound once, as an element, so that it is not computed for each of its uses.
+        own = F.array(F.sha2(F.concat(done["hash"], e["head"], F.lit(',"prev_hash":'), _ascii_json(done["quoted"]), F.lit(","), e["tail"]), 256))
+        return F.transform(own, lambda h: F.struct(
+            h.alias("hash"), F.concat(F.lit('"'), h, F.lit('"')).alias("quoted"),
+            F.array_append(done["lines"], F.concat(e["line"], F.lit(',"prev_hash":'), done["quoted"], F.lit(',"hash":"'), h, F.lit('"}'))).alias("lines")))[0]
 
-    first = F.struct(start.alias("hash"), F.array().cast("array<string>").alias("lines"))
-    return F.aggregate(events, first, link)["lines"]
+    first = F.struct(start.alias("hash"), _without_end(quoted(start)).alias("quoted"), F.array().cast("array<string>").alias("lines"))
+    return F.aggregate(parts, first, link)["lines"]
 
 
 # Records of a chain that are linked one after the other; each segment starts at a hash of its own.
@@ -111,9 +131,10 @@ def linked_log(
     names = [f for f in C.AUTH_LOG_SCHEMA.fieldNames() if f not in ("prev_hash", "hash")]
     records = events.select(*by, F.col(order).alias("__order"), F.struct(*names).alias("__record"))
     numbered = group_row_number(records, by, "__order", out="seq")
-    parts = numbered.withColumn("__segment", _segment("seq", segment)).groupBy(*by, "__segment").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "__record"))).alias("__rows"))
-    lines = linked_lines(F.transform("__rows", lambda r: r["__record"]), anchor(F.col("__segment"), genesis))
+    # JSON of a record is made row by row before the segments are gathered.
+    parts = numbered.select(*by, "seq", link_parts("__record").alias("__part")).groupBy(*by, _segment("seq", segment).alias("__segment")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "__part"))).alias("__rows"))
+    lines = linked_lines(F.transform("__rows", lambda r: r["__part"]), anchor(F.col("__segment"), genesis))
     return parts.select(*by, "__segment", F.posexplode(lines).alias("__at", "line")).select(
         *by, (F.col("__segment") * segment + F.col("__at") + 1).alias("seq"), "line")
 
@@ -194,7 +215,9 @@ def parse_auth_lines(lines: DataFrame) -> DataFrame:
     held = F.from_json(F.concat(F.lit('{"r":'), "value", F.lit("}")), T.StructType([T.StructField("r", C.AUTH_LOG_SCHEMA)]))
     keys = F.array_sort(F.json_object_keys("value"))
     fields = F.array(*[F.lit(f) for f in sorted(C.AUTH_LOG_SCHEMA.fieldNames())])
-    whole = (F.size(listed) == 1) & held["r"].isNotNull() & (keys == fields)
+    # A line that is just what the record is written as needs no further parsing.
+    same = F.coalesce(F.to_json(rec, {"ignoreNullFields": "false"}) == F.col("value"), F.lit(False))
+    whole = F.when(same, F.lit(True)).otherwise((F.size(listed) == 1) & held["r"].isNotNull() & (keys == fields))
     return lines.select("seq", "line", rec.alias("r"), whole.alias("__whole")).select("seq", "line", "r.*", "__whole").withColumn(
         "hash", F.when(F.col("__whole"), F.col("hash"))).drop("__whole")
 
