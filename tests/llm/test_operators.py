@@ -431,6 +431,24 @@ def test_quality_with_little_to_learn(spark, docs, rows, empty):
     assert all((model.score(s) > 0.5) == bool(i % 2) for i, s in enumerate(sets))
 
 
+def test_the_fit_holds_its_rows_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, quality.SLOTS, 4000)).astype(np.int32) for _ in range(1500)]
+    sets[7:9], labels = [sets[3], sets[3][:40]], rng.integers(0, 2, len(sets)).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(labels, pa.int32())], ["slots", "label"])
+    tracemalloc.start()
+    next(quality._fit_batches(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 2
+    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), labels[i]))
+    assert [(sets[i].tobytes(), labels[i]) for i in quality._ordered(sets, labels)] == [(sets[i].tobytes(), labels[i]) for i in order]
+
+
 def test_phrase_keys_are_hashed_once_a_text(spark):
     from tidemark.llm import passages, repeated_phrases as R
 
