@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.functions import similarity
 from tidemark.functions.expressions import (
     normalize_email, normalize_name, normalize_phone, salted_hash,
 )
@@ -34,43 +35,10 @@ def normalize_contacts(
 
 # --- name similarity ----------------------------------------------------------
 
-def _similarity_udf():
-    """Arrow UDF over two columns of names without spaces; the prefix boost always applies.
-
-    Built in a closure so that it travels to the workers by value.
-    """
-    def matched(a: str, b: str) -> tuple[list[str], list[str]]:
-        reach = max(len(a), len(b)) // 2 - 1
-        used = [False] * len(b)
-        from_a = []
-        for i, ch in enumerate(a):
-            window = range(max(0, i - reach), min(len(b), i + reach + 1))
-            j = next((j for j in window if b[j] == ch and not used[j]), None)
-            if j is not None:
-                used[j] = True
-                from_a.append(ch)
-        return from_a, [ch for ch, hit in zip(b, used) if hit]
-
-    def similarity(a: str, b: str) -> float:
-        if a == b:
-            return 1.0
-        left, right = matched(a, b) if a and b else ([], [])
-        m = len(left)
-        if m == 0:
-            return 0.0
-        swaps = sum(x != y for x, y in zip(left, right)) // 2
-        jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3.0
-        prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-        return jaro + prefix * 0.1 * (1.0 - jaro)
-
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return run
-
-
-_jaro_winkler_udf = _similarity_udf()
+@F.pandas_udf(T.DoubleType())
+def _similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Over two columns of names without spaces; the prefix boost always applies."""
+    return pd.Series([similarity.similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _compact(name: Column) -> Column:
@@ -79,7 +47,7 @@ def _compact(name: Column) -> Column:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity ignoring case and whitespace."""
-    return _jaro_winkler_udf(_compact(a), _compact(b))
+    return _similarity_udf(_compact(a), _compact(b))
 
 
 # Letters from frequent to rare, and stand-ins that sort the other way round.
@@ -106,28 +74,6 @@ def _tokens(name: Column) -> Column:
     return F.array_sort(numbered)
 
 
-def _name_keys(name: str, threshold: float) -> Column:
-    """Keys such that two names at or above the threshold share at least one.
-
-    A shared prefix of k letters boosts the score, so the unboosted similarity,
-    and with it the number of shared letters, has a lower bound that depends on
-    k. Names sharing four letters meet on those. For each smaller k two names
-    meet on their first k letters and one of their rarest letters: enough of
-    those are listed that a pair with the required overlap cannot miss.
-    """
-    size = F.length(name)
-    keys = [F.array(F.when(size == 0, "empty").when(size >= 4, F.concat(F.lit("4"), F.left(F.col(name), F.lit(4)))))]
-    for k in (0, 1, 2, 3):
-        jaro = (threshold - 0.1 * k) / (1.0 - 0.1 * k)
-        share = max(3.0 * jaro - 2.0, 0.0)
-        needed = F.greatest(F.ceil(size * share - 1e-9), F.lit(1))
-        listed = F.slice(f"{name}_tokens", F.lit(1), F.greatest(size - needed + 1, F.lit(0)).cast("int"))
-        lead = F.concat(F.lit(str(k)), F.left(F.col(name), F.lit(k)) if k else F.lit(""))
-        keys.append(F.when((size > 0) & (size >= k), F.transform(listed, lambda t: F.concat(lead, F.lit("~"), t)))
-                    .otherwise(F.array().cast("array<string>")))
-    return F.array_compact(F.concat(*keys))
-
-
 def _similarity_bound(a: str, b: str) -> Column:
     """Upper bound of the similarity from lengths, shared letters and shared prefix."""
     la, lb = F.length(a), F.length(b)
@@ -198,24 +144,42 @@ def _blocks(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     ).select("block", _compact(F.col("norm_name")).alias(name), key, F.col("row_order").alias(order), "home")
 
 
+# Rows of a side that meet the other side's in one group, pairs of rows meant for a task, and the most tasks.
+LOT_ROWS, TASK_PAIRS, MOST_TASKS = 2_048, 1 << 22, 4_096
+
+
+def _meetings(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(block, i, j, side, *columns) of both sides: each row of a block with each lot of the block's other side.
+
+    Rows of a block are dealt over lots, and each pair of lots is a group of its own, so a group has at most about two lots of
+    rows. Blocks that one side lacks are left out. Groups come whole and in order.
+    """
+    sizes = left.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(
+        shuffled(right.groupBy("block").agg(F.count(F.lit(1)).alias("m"))), "block")
+    sizes = checkpointed(sizes.select("block", "n", "m", *(F.ceil(F.col(x) / LOT_ROWS).cast("int").alias(f"lots_{x}") for x in "nm")))
+    pairs = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, pairs // TASK_PAIRS))
+
+    def dealt(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        lot = F.pmod(F.xxhash64(*columns), F.col(f"lots_{own}")).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(f"lots_{other}") - 1))
+        dealt = df.join(shuffled(sizes), "block").withColumn("lot", lot).withColumn("each", each)
+        return dealt.select("block", *(F.col(x).alias(y) for x, y in zip(("each", "lot") if side else ("lot", "each"), "ij")),
+                            F.lit(side).alias("side"), *columns)
+
+    both = dealt(left, 0, "n", "m").unionByName(dealt(right, 1, "m", "n"))
+    return both.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side")
+
+
 def _alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(block, a, b): distinct names of both sides of a block that are similar enough.
 
-    Names meet on keys that any pair at or above the threshold must share, so blocks are never compared pair
-    by pair. A bound computed in the JVM then drops what cannot reach the threshold, and the Arrow
-    UDF only sees plausible pairs.
+    Names of a block meet lot against lot. A bound from lengths, shared letters and shared prefix drops what cannot reach
+    the threshold, and the rest is compared many pairs at a time.
     """
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        names = df.select("block", name).distinct()
-        tokens = names.withColumn(f"{name}_tokens", _tokens(F.col(name)))
-        return tokens.withColumn("key", F.explode(_name_keys(name, threshold)))
-
-    return (
-        keyed(left, "a").join(shuffled(keyed(right, "b")), ["block", "key"])
-        .filter(_similarity_bound("a", "b") >= threshold - 1e-9)
-        .select("block", "a", "b").distinct()
-        .filter(_jaro_winkler_udf("a", "b") >= threshold)
-    )
+    names = _meetings(*(df.select("block", F.col(x).alias("name")).filter(F.col(x).isNotNull()).distinct()
+                        for df, x in ((left, "a"), (right, "b"))), ["name"])
+    return names.mapInArrow(similarity.alike_names(threshold), "block string, a string, b string")
 
 
 def _candidate_pairs(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
@@ -224,10 +188,28 @@ def _candidate_pairs(left: DataFrame, right: DataFrame, alike: DataFrame) -> Dat
 
 
 def fuzzy_candidates(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85) -> DataFrame:
-    """Pairs with a contact overlap and a similar name; for looking at them, as a common name gives many pairs."""
-    left, right = (_blocks(df, key, order, name).drop("home") for df, key, order, name in (
+    """Pairs with a contact overlap and a similar name; for looking at them, as a common name gives many pairs.
+
+    The records themselves meet in their blocks, so names and pairs are not joined. Records of one area that meet by email
+    too are paired in the area only. Pairs can repeat only if an id and its order do.
+    """
+    left, right = (checkpointed(_blocks(df, key, order, name).filter(F.col(name).isNotNull()).distinct()) for df, key, order, name in (
         (pos, "member_id", "pos_order", "a"), (app, "app_member_id", "app_order", "b")))
-    return _candidate_pairs(left, right, _alike_names(left, right, threshold))
+    kind = {x.name: x.dataType.simpleString() for x in (*left.schema, *right.schema)}
+    columns = ["member_id", "pos_order", "app_member_id", "app_order"]
+    sides = [df.select("block", F.col(name).alias("name"), "home", *(
+        F.col(c) if c in df.columns else F.lit(None).cast(kind[c]).alias(c) for c in columns)) for df, name in ((left, "a"), (right, "b"))]
+    pairs = _meetings(*sides, ["name", "home", *columns]).mapInArrow(
+        similarity.alike_records(threshold), ", ".join(f"{c} {kind[c]}" for c in columns))
+
+    def repeats(df: DataFrame, *key: str) -> bool:
+        """Whether an id and order has two names or contacts, and so may give a pair twice."""
+        home, email = F.coalesce("home", F.lit("")), F.col("block").startswith("e:").cast("int")
+        found = df.groupBy(*key).agg(
+            F.sum(email).alias("emails"), F.sum(1 - email).alias("areas"), F.min(home).alias("low"), F.max(home).alias("high"))
+        return not found.filter((F.col("emails") > 1) | (F.col("areas") > 1) | (F.col("low") < F.col("high"))).isEmpty()
+
+    return pairs.distinct() if repeats(left, "member_id", "pos_order") or repeats(right, "app_member_id", "app_order") else pairs
 
 
 def _not_implied(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
@@ -284,9 +266,120 @@ def match_fuzzy_names(pos: DataFrame, app: DataFrame, *, threshold: float = 0.85
         in_ranges(x.select("block", "group", key, F.col(order).alias("row_order")), "row_order", out="__range")
         for x, key, order in zip(in_group, ("member_id", "app_member_id"), ("pos_order", "app_order"))), ["block", "group"])
     rest = [x.join(shuffled(apart), ["block", "group"], "left_anti") for x in (own, other)]
+    rows = checkpointed(rest[0].select(
+        "block", F.lit(0).alias("side"), F.col("pos_order").alias("row_order"), "member_id",
+        F.lit(None).cast(dict(other.dtypes)["app_member_id"]).alias("app_member_id"), F.col("a").alias("name"), (F.col("blocks") > 1).alias("shared"),
+    ).unionByName(rest[1].select(
+        "block", F.lit(1).alias("side"), F.col("app_order").alias("row_order"), F.lit(None).cast(dict(own.dtypes)["member_id"]).alias("member_id"),
+        "app_member_id", F.col("b").alias("name"), (F.col("blocks") > 1).alias("shared"))).distinct())
+    far = _far_blocks(rows)
+    # Blocks that no one task can settle are paired, with all that hangs together with them.
+    paired = [x.join(shuffled(far), "block", "left_semi") for x in (rows.filter("side = 0"), rows.filter("side = 1"), alike)]
     pairs = _candidate_pairs(
-        rest[0].select("block", "a", "member_id", "pos_order"), rest[1].select("block", "b", "app_member_id", "app_order"), alike)
-    return by_place.unionByName(assign_in_order(pairs))
+        paired[0].select("block", F.col("name").alias("a"), "member_id", F.col("row_order").alias("pos_order")),
+        paired[1].select("block", F.col("name").alias("b"), "app_member_id", F.col("row_order").alias("app_order")), paired[2])
+    settled = serve_in_blocks(rows.join(shuffled(far), "block", "left_anti"), threshold)
+    return by_place.unionByName(settled).unionByName(assign_in_order(pairs))
+
+
+# Rows and pairs of names up to which one task settles a block.
+BLOCK_ROWS, BLOCK_PAIRS = 1 << 17, 1 << 24
+
+
+def _far_blocks(rows: DataFrame) -> DataFrame:
+    """The ``block`` of blocks that are not settled by one task, and of those that share records with them, and so on.
+
+    These are blocks that are too large, and those of records that have no order or more than one, or that are in a block twice.
+    """
+    names = rows.groupBy("block", "side", "name").agg(F.count(F.lit(1)).alias("rows")).groupBy("block").agg(
+        F.sum("rows").alias("rows"), *(F.sum((F.col("side") == n).cast("long")).alias(f"names_{n}") for n in (0, 1)))
+    large = names.filter((F.col("rows") > BLOCK_ROWS) | (F.col("names_0") * F.col("names_1") > BLOCK_PAIRS)).select("block")
+    key = ["side", "member_id", "app_member_id"]
+    odd = rows.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"), F.min("row_order").alias("low"), F.max("row_order").alias("high")).groupBy(
+        *key).agg(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("low").isNull()).alias("none"))
+    odd = odd.filter((F.col("n") > 1) | F.col("none") | (F.col("low") < F.col("high"))).select(F.coalesce("member_id", "app_member_id").alias("id"), "side")
+    ids = rows.select("block", "side", F.coalesce("member_id", "app_member_id").alias("id"), "shared")
+    far = checkpointed(large.unionByName(ids.join(shuffled(odd), ["side", "id"], "left_semi").select("block")).distinct())
+    found, before = far.count(), 0
+    while found > before:
+        touched = ids.filter("shared").join(shuffled(far), "block", "left_semi").select("side", "id").distinct()
+        far = checkpointed(far.unionByName(ids.join(shuffled(touched), ["side", "id"], "left_semi").select("block")).distinct())
+        found, before = far.count(), found
+    return far
+
+
+# Rounds in which blocks that share records are gathered into clusters.
+CLUSTER_ROUNDS = 8
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``cluster``, a block's own name or that of the least block it hangs together with by records of two blocks.
+
+    Clusters that would be too large for a task, and blocks not reached in so many rounds, stay apart: that costs rounds later, nothing else.
+    """
+    links = checkpointed(rows.filter("shared").select("block", "side", F.coalesce("member_id", "app_member_id").alias("id")))
+    labels, mark = checkpointed(links.select("block", F.col("block").alias("cluster")).distinct()), None
+    if labels.isEmpty():
+        return rows.withColumn("cluster", F.col("block"))
+    for _ in range(CLUSTER_ROUNDS):
+        of_record = links.join(shuffled(labels), "block").groupBy("side", "id").agg(F.min("cluster").alias("cluster"))
+        labels = checkpointed(links.join(shuffled(of_record), ["side", "id"]).groupBy("block").agg(F.min("cluster").alias("cluster")))
+        before, mark = mark, _mark(labels)
+        if mark == before:
+            break
+    sizes = rows.groupBy("block", "side", "name").agg(F.count(F.lit(1)).alias("rows")).groupBy("block").agg(
+        F.sum("rows").alias("rows"), *(F.sum((F.col("side") == n).cast("long")).alias(f"n{n}") for n in (0, 1)))
+    small = labels.join(shuffled(sizes), "block").groupBy("cluster").agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("n0") * F.col("n1")).alias("pairs")).filter(
+        (F.col("rows") <= BLOCK_ROWS) & (F.col("pairs") <= BLOCK_PAIRS)).select("cluster")
+    labels = checkpointed(labels.join(shuffled(small), "cluster", "left_semi").select("block", "cluster"))
+    return rows.join(shuffled(labels), "block", "left").withColumn("cluster", F.coalesce("cluster", "block"))
+
+
+def serve_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """(member_id, app_member_id): POS rows in order, each with its first free app row of an alike name in one of its blocks.
+
+    ``rows`` has (block, side, row_order, member_id, app_member_id, name, shared). Blocks are gathered into clusters, and each
+    cluster is walked through in order by one task. Of records that are in other clusters too, clusters tell each other what
+    is offered and left there, and are walked through again until there is nothing new.
+    """
+    kind = {x.name: x.dataType.simpleString() for x in rows.schema}
+    graph_schema, told_schema = (x.format(id=kind["member_id"], other=kind["app_member_id"]) for x in (similarity.GRAPH, similarity.TOLD))
+    pairs = rows.groupBy("block").agg(F.sum((F.col("side") == 0).cast("long")).alias("n"), F.sum(F.col("side").cast("long")).alias("m")).agg(
+        F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, pairs // TASK_PAIRS))
+    rows = checkpointed(_clusters(rows))
+    spread = rows.groupBy("side", "member_id", "app_member_id").agg((F.min("cluster") < F.max("cluster")).alias("shared"))
+    of_id = F.coalesce("member_id", "app_member_id")
+    graphs = checkpointed(
+        rows.withColumn("id", of_id).join(shuffled(spread.select("side", of_id.alias("id"), F.col("shared").alias("spread"))), ["side", "id"])
+        .select("cluster", "side", F.col("row_order").cast("long").alias("row_order"), "member_id", "app_member_id", "name", "spread", "block")
+        .repartition(tasks, "cluster").sortWithinPartitions("cluster", "side", "row_order", "member_id", "app_member_id")
+        .mapInArrow(similarity.graphs(threshold), graph_schema))
+    item = f"array<struct<side: int, at: int, best: bigint, best_id: {kind['app_member_id']}>>"
+    out_schema = f"member_id {kind['member_id']}, app_member_id {kind['app_member_id']}"
+    told = checkpointed(graphs.withColumn("told", F.lit(None).cast(item)).mapInArrow(similarity.told_of, told_schema))
+    if told.isEmpty():
+        return graphs.withColumn("told", F.array().cast(item)).mapInArrow(similarity.served, out_schema)
+    mark, before = _mark(told), None
+    while True:
+        # Grouped by record, not joined with itself: a join's estimated size is a product, and squared in each round it takes ever longer to plan.
+        of_record = told.withColumn("id", F.coalesce("p_id", "a_id")).groupBy("side", "id").agg(
+            F.collect_list(F.struct("cluster", "at", F.struct("best", "best_id").alias("known"))).alias("all"))
+        own = of_record.select("side", "all", F.explode("all").alias("own"))
+        heard = own.select("side", "own.cluster", "own.at", F.array_min(F.transform(
+            F.filter("all", lambda x: (x["cluster"] != F.col("own.cluster")) & x["known"]["best"].isNotNull()), lambda x: x["known"])).alias("known")).filter(
+            F.col("known").isNotNull())
+        of_cluster = heard.groupBy("cluster").agg(F.collect_list(F.struct("side", "at", "known.best", "known.best_id")).alias("told"))
+        with_told = graphs.join(shuffled(of_cluster), "cluster", "left").withColumn("told", F.coalesce("told", F.array().cast(item)))
+        if mark == before:
+            return with_told.mapInArrow(similarity.served, out_schema).distinct()
+        told = checkpointed(with_told.mapInArrow(similarity.told_of, told_schema))
+        mark, before = _mark(told), mark
+
+
+def _mark(told: DataFrame) -> tuple:
+    return tuple(told.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*told.columns).cast("decimal(38,0)"))).first())
 
 
 def assign_in_order(candidates: DataFrame, max_rounds: int | None = None) -> DataFrame:
